@@ -5,7 +5,7 @@ Spark's ``levenshtein`` gives only the edit cost; both distances need the charac
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 CELLS_PER_BLOCK = 1 << 20
 
@@ -78,16 +78,7 @@ def _edit_distances(reference: pd.Series, generated: pd.Series) -> pd.Series:
     return pd.Series(result, index=reference.index)
 
 
-@F.pandas_udf("double")
-def edit_distance(reference: pd.Series, generated: pd.Series) -> pd.Series:
-    """1 minus the kept share of the reference, rounded half-even to hundredths; null if it is empty."""
-    return _edit_distances(reference, generated)
-
-
-@F.pandas_udf("double")
-def ratio_distance(reference: pd.Series, generated: pd.Series) -> pd.Series:
-    """1 minus twice the common subsequence over both lengths; 0 for two empty texts."""
-
+def _ratio_distances(reference: pd.Series, generated: pd.Series) -> pd.Series:
     def one(left, right):
         if left is None or right is None:
             return None
@@ -95,3 +86,13 @@ def ratio_distance(reference: pd.Series, generated: pd.Series) -> pd.Series:
         return 1.0 - (2.0 * common_subsequence(left, right) / total if total else 1.0)
 
     return pd.Series([one(a, b) for a, b in zip(reference, generated)], dtype="object")
+
+
+def edit_distance(reference: Column, generated: Column) -> Column:
+    """1 minus the kept share of the reference, rounded half-even to hundredths; null if it is empty."""
+    return F.pandas_udf(_edit_distances, T.DoubleType())(reference, generated)
+
+
+def ratio_distance(reference: Column, generated: Column) -> Column:
+    """1 minus twice the common subsequence over both lengths; 0 for two empty texts."""
+    return F.pandas_udf(_ratio_distances, T.DoubleType())(reference, generated)

@@ -8,7 +8,7 @@ from gradeloom.operators import answers as A, generate as G, memorize as M, prom
 from gradeloom.operators import rewrite as W, scoring as S, training as T
 from gradeloom.plans import fixtures as D
 from gradeloom.plans.fixtures import Tables
-from gradeloom.session import materialize, scratch_path
+from gradeloom.session import materialize, scratch_path, ship_package
 from gradeloom.sources import corpus as C, predictions as I
 
 REGISTRY = {}
@@ -18,6 +18,7 @@ def query(plan):
     """Register ``plan(tables)`` under its name as ``(spark, sf_dir) -> DataFrame``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return plan(Tables(spark, sf_dir))
 
     REGISTRY[plan.__name__] = run
