@@ -59,26 +59,25 @@ def rewrite_fields(
     def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rewriter = make_rewriter()
 
-        def flush(rows):
+        def texts_for(rows):
             texts = list(rewriter([cell for row in rows for cell in row]))
             if len(texts) != sum(map(len, rows)):
                 raise ValueError("the rewriter must return one text per cell")
-            start, result = 0, []
-            for row in rows:
-                result.append(texts[start : start + len(row)])
-                start += len(row)
-            return pd.Series(result, dtype="object")
+            rest = iter(texts)
+            return [[next(rest) for _ in row] for row in rows]
 
         rows, cells = [], 0
         for batch in batches:
+            done = []
             for row in batch:
-                rows.append(list(row))
+                rows.append(row)
                 cells += len(row)
                 if cells >= batch_size:
-                    yield flush(rows)
+                    done += texts_for(rows)
                     rows, cells = [], 0
+            yield pd.Series(done, dtype="object")
         if rows:
-            yield flush(rows)
+            yield pd.Series(texts_for(rows), dtype="object")
 
     call = F.pandas_udf(rewrite, T.ArrayType(T.StringType())).asNondeterministic()
     cells = F.concat(F.array("question"), F.map_values("answers"))

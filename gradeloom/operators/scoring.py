@@ -65,30 +65,41 @@ def exact_match(joined: DataFrame, *, as_lists: bool = False, by: str = "run") -
 
 def hamming_score(joined: DataFrame, by: str = "run") -> DataFrame:
     """Mean overlap per row, with the references as first argument."""
-    return joined.groupBy(by).agg(
-        F.avg(letters.overlap(F.col("gold"), F.col("labels"))).alias("hamming_score")
-    )
+    overlap = letters.overlap(F.col("gold"), F.col("labels")).alias("overlap")
+    return joined.select(by, overlap).groupBy(by).agg(F.avg("overlap").alias("hamming_score"))
 
 
 def hamming_per_option(joined: DataFrame, options: str = "n_options", by: str = "run") -> DataFrame:
     """Sum of overlaps over the number of options of all questions."""
-    total = F.sum(letters.overlap(F.col("labels"), F.col("gold")))
-    return joined.groupBy(by).agg((total / F.sum(options)).alias("hamming_per_option"))
+    overlap = letters.overlap(F.col("labels"), F.col("gold")).alias("overlap")
+    return (
+        joined.select(by, options, overlap)
+        .groupBy(by)
+        .agg((F.sum("overlap") / F.sum(options)).alias("hamming_per_option"))
+    )
 
 
 def score_runs(joined: DataFrame, by: str = "run") -> DataFrame:
     """All run-level scores in one aggregation; ``n_options`` and ``defaulted`` are used if present."""
+    p, r = F.col("labels"), F.col("gold")
+    optional = [c for c in ("n_options", "defaulted") if c in joined.columns]
+    rows = joined.select(
+        by,
+        *optional,
+        letters.same_set(p, r).cast("double").alias("exact"),
+        letters.overlap(r, p).alias("overlap_refs_first"),
+        letters.overlap(p, r).alias("overlap"),
+    )
     scores = [
         F.count(F.lit(1)).alias("n"),
-        _share(letters.same_set(F.col("labels"), F.col("gold"))).alias("exact_match"),
-        F.avg(letters.overlap(F.col("gold"), F.col("labels"))).alias("hamming_score"),
+        F.avg("exact").alias("exact_match"),
+        F.avg("overlap_refs_first").alias("hamming_score"),
     ]
-    if "n_options" in joined.columns:
-        total = F.sum(letters.overlap(F.col("labels"), F.col("gold")))
-        scores.append((total / F.sum("n_options")).alias("hamming_per_option"))
-    if "defaulted" in joined.columns:
+    if "n_options" in optional:
+        scores.append((F.sum("overlap") / F.sum("n_options")).alias("hamming_per_option"))
+    if "defaulted" in optional:
         scores.append(F.count_if("defaulted").alias("n_defaulted"))
-    return joined.groupBy(by).agg(*scores)
+    return rows.groupBy(by).agg(*scores)
 
 
 def label_histogram(predictions: DataFrame, label: str = "n_labels", by: str = "run") -> DataFrame:

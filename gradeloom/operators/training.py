@@ -5,33 +5,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gradeloom import fixed
 from gradeloom.operators.prompts import render_prompts
 
+MOST_BUCKETS = 65536
+
 
 def training_text(corpus: DataFrame, template_id: str = "0", *, full_answers: bool = True) -> DataFrame:
-    """``(id, text)``: the template over the question with its correct answers."""
+    """Add ``text``: the template over the question with its correct answers, with or without their text."""
     style = "gold_full" if full_answers else "gold"
-    return render_prompts(corpus, template_id, style=style).select("id", F.col("prompt").alias("text"))
+    return render_prompts(corpus, template_id, style=style).withColumnRenamed("prompt", "text")
 
 
-def white_space_tokens(text: Column) -> Column:
-    """Words between white space, the default tokenizer."""
-    return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
+def white_space_tokens(text: Column, limit: int = -1) -> Column:
+    """Words between white space; with a limit the last entry holds all the rest, unsplit."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+", limit))
 
 
 def truncate_tokens(
-    df: DataFrame,
-    text: str = "text",
-    *,
-    max_tokens: int = fixed.MAX_TOKENS,
-    pad: str = "<pad>",
-    tokenize=white_space_tokens,
+    df: DataFrame, text: str = "text", *, max_tokens: int = fixed.MAX_TOKENS, pad: str = "<pad>", tokenize=None
 ) -> DataFrame:
     """Add ``tokens``: the first ``max_tokens`` tokens, padded to that length, and ``n_tokens`` kept.
 
     ``tokenize`` maps a text column to an array column: an expression, or a pandas UDF around any
-    tokenizer.
+    tokenizer. Without it words are split, and only as many as are kept.
     """
+    source = F.col(text)
+    words = tokenize(source) if tokenize else white_space_tokens(source, max_tokens + 1)
     return (
-        df.withColumn("_all", tokenize(F.col(text)))
+        df.withColumn("_all", words)
         .withColumn("_kept", F.slice("_all", 1, max_tokens))
         .withColumns(
             {
@@ -110,13 +110,16 @@ def length_batches(
 
     Rows of a bucket are numbered and cut into batches. A bucket with more than ``group_rows`` rows is
     first split by the hash of its unique key, so that a favourite length is numbered by many tasks;
-    each split may end in one short batch.
+    each split may end in one short batch. Lengths are read twice, so ``length`` should be a stored
+    column. The longest rows share the last of ``MOST_BUCKETS`` buckets, which bounds the table of
+    bucket sizes that is sent to all tasks.
     """
-    bucketed = df.withColumn("length_bucket", F.floor(F.col(length) / width))
+    bucket = F.least(F.floor(F.col(length) / width), F.lit(MOST_BUCKETS - 1))
+    bucketed = df.withColumn("length_bucket", bucket)
     splits = bucketed.groupBy("length_bucket").agg(
         F.ceil(F.count(F.lit(1)) / group_rows).cast("long").alias("_splits")
     )
     hashed = F.conv(F.substr(F.md5(F.col(key).cast("string")), F.lit(1), F.lit(8)), 16, 10).cast("long")
-    salted = bucketed.join(splits, "length_bucket").withColumn("salt", F.pmod(hashed, F.col("_splits")))
+    salted = bucketed.join(F.broadcast(splits), "length_bucket").withColumn("salt", F.pmod(hashed, F.col("_splits")))
     place = F.row_number().over(Window.partitionBy("length_bucket", "salt").orderBy(length, key))
     return salted.withColumn("batch", F.floor((place - 1) / batch_size)).drop("_splits")

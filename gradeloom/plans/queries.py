@@ -213,9 +213,10 @@ def gather_fields(t):
 
 @query
 def sft_text(t):
-    corpus = D.mcq(t)
-    full = T.training_text(corpus)
-    return full.join(T.training_text(corpus, full_answers=False).withColumnRenamed("text", "text_letters"), "id")
+    full = T.training_text(D.mcq(t)).withColumnRenamed("text", "text_full")
+    return T.training_text(full, full_answers=False).select(
+        "id", F.col("text_full").alias("text"), F.col("text").alias("text_letters")
+    )
 
 
 # Generated text
