@@ -26,7 +26,7 @@ HELD_OUT_KEYS = "de"
 
 # Patterns of the answer reader.
 PARENTHESIZED = r"^[a-z]\)|\([a-z]\)"
-STANDALONE = r"(?<![\p{L}\p{N}_])[a-z](?![\p{L}\p{N}_])"
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 PARAGRAPH_BREAK = r"\n[ \t]*\n"
 DEFAULT_LABEL = "a"
 DEFAULT_OPTIONS = 5

@@ -35,9 +35,12 @@ def parenthesized(cleaned: Column, last: Column) -> Column:
 def standalone(cleaned: Column, last: Column) -> Column:
     """Letters up to ``last`` that stand alone as a word, in text order.
 
-    This also reads the French words "a", "d'" and "c'" as letters, as the published scores do.
+    This also reads the French words "a", "d'" and "c'" as letters, as the published scores do. Words
+    are told apart first, by code point: looking behind a letter would see half of a rare character.
+    Only the letters found become an array, never all words of a long text.
     """
-    found = F.regexp_extract_all(cleaned, F.lit(fixed.STANDALONE), F.lit(0))
+    words = F.regexp_replace(cleaned, fixed.BETWEEN_WORDS, " ")
+    found = F.regexp_extract_all(words, F.lit("(?<![^ ])[a-z](?![^ ])"), F.lit(0))
     return F.filter(found, lambda x: x <= last)
 
 

@@ -1,0 +1,28 @@
+"""Every registered query against its SQL, on whole tables."""
+
+import pytest
+
+import __spark_entry__ as registered
+import compare
+
+QUERIES, SQL = registered.queries(), registered.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return compare.connect(sf_dir)
+
+
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query_matches_sql(name, spark, sf_dir, con):
+    assert compare.difference(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
+
+
+def test_entry(spark):
+    rows = registered.entry(spark).collect()
+    assert {r["run"] for r in rows} == {"strict", "broad", "status"}
+    assert all(0 <= r["exact_match"] <= r["hamming_score"] <= 1 for r in rows)

@@ -1,0 +1,125 @@
+"""Scores against plain Python on random label lists."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from gradeloom.operators import scoring as S
+
+SCHEMA = "run string, id string, labels array<string>, gold array<string>, n_options int"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(11)
+    draw = lambda: [rng.choice("abcde") for _ in range(rng.randint(1, 4))]
+    return [(f"r{i % 3}", f"q{i // 3}", draw(), draw(), rng.randint(1, 5)) for i in range(900)]
+
+
+@pytest.fixture(scope="module")
+def joined(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def overlap(a, b):
+    return sum(x in b for x in a) / len(set(a) | set(b))
+
+
+def mean(values):
+    values = list(values)
+    return sum(values) / len(values)
+
+
+def by_run(rows, run):
+    return [r for r in rows if r[0] == run]
+
+
+def test_run_scores(joined, rows):
+    lists = {r["run"]: r["exact_match"] for r in S.exact_match(joined, as_lists=True).collect()}
+    single = {r["run"]: r["hamming_score"] for r in S.hamming_score(joined).collect()}
+    per_option = {r["run"]: r["hamming_per_option"] for r in S.hamming_per_option(joined).collect()}
+    for got in S.score_runs(joined).collect():
+        mine = by_run(rows, got["run"])
+        assert got["n"] == len(mine)
+        assert got["exact_match"] == pytest.approx(mean(set(p) == set(r) for _, _, p, r, _ in mine))
+        assert got["hamming_score"] == pytest.approx(mean(overlap(r, p) for _, _, p, r, _ in mine))
+        wanted = sum(overlap(p, r) for _, _, p, r, _ in mine) / sum(n for *_, n in mine)
+        assert got["hamming_per_option"] == pytest.approx(wanted) == per_option[got["run"]]
+        assert single[got["run"]] == pytest.approx(got["hamming_score"])
+        assert lists[got["run"]] == pytest.approx(mean(sorted(p) == sorted(r) for _, _, p, r, _ in mine))
+
+
+def test_rows(joined, rows):
+    got = {(r["run"], r["id"]): r for r in S.score_rows(joined).collect()}
+    for run, key, p, r, _ in rows:
+        row = got[run, key]
+        assert row["overlap"] == pytest.approx(overlap(p, r))
+        assert row["overlap_refs_first"] == pytest.approx(overlap(r, p))
+        assert (row["exact"], row["exact_list"]) == (set(p) == set(r), sorted(p) == sorted(r))
+
+
+def test_overlap_of_nothing_is_null(spark):
+    df = spark.createDataFrame([("r", "q", [], [], 1), ("r", "p", ["a", "c"], ["a"], 1)], SCHEMA)
+    assert {r["id"]: r["overlap"] for r in S.score_rows(df).collect()} == {"q": None, "p": 0.5}
+
+
+def report(pairs, classes):
+    lines = {}
+    for c in classes:
+        hits = sum(p == r == c for p, r in pairs)
+        predicted, support = sum(p == c for p, _ in pairs), sum(r == c for _, r in pairs)
+        precision, recall = hits / predicted if predicted else 0.0, hits / support if support else 0.0
+        f1 = 2 * precision * recall / (precision + recall) if hits else 0.0
+        lines[c] = (precision, recall, f1, support)
+    return lines
+
+
+@pytest.mark.parametrize("labels", [None, ["1", "2", "9"]])
+def test_classification(spark, labels):
+    rng = random.Random(3)
+    rows = [("x", rng.choice("12344"), rng.choice("1123")) for _ in range(500)]
+    df = spark.createDataFrame(rows, "run string, p string, r string")
+    pairs = [(p, r) for _, p, r in rows]
+    wanted = report(pairs, labels or sorted(set("".join(p + r for p, r in pairs))))
+    got = S.classification_report(df, "p", "r", labels=labels)
+    assert {r["label"]: tuple(r)[2:] for r in got.collect()} == {k: pytest.approx(v) for k, v in wanted.items()}
+    averages = {r["average"]: r for r in S.report_averages(got).collect()}
+    total = sum(v[3] for v in wanted.values())
+    assert averages["macro avg"]["f1"] == pytest.approx(mean(v[2] for v in wanted.values()))
+    assert averages["weighted avg"]["recall"] == pytest.approx(sum(v[1] * v[3] for v in wanted.values()) / total)
+    if labels is None:
+        line = S.accuracy_macro_f1(df, "p", "r").first()
+        assert line["accuracy"] == pytest.approx(mean(p == r for p, r in pairs))
+        assert line["macro_f1_pct"] == pytest.approx(100 * mean(v[2] for v in wanted.values()))
+
+
+def test_agreement_counts_one_sided_ids(spark):
+    rows = [("x", "1", "a|b"), ("y", "1", "B|a"), ("x", "2", "a"), ("y", "2", "c"), ("x", "3", "a"), ("y", "4", "a")]
+    df = spark.createDataFrame(rows, "run string, id string, answer string")
+    line = S.agreement(df, [("x", "y")]).first()
+    assert (line["n"], line["only_a"], line["only_b"]) == (2, 1, 1)
+    same = {r["id"]: r["same"] for r in S.pairwise_runs(df, [("x", "y")]).collect()}
+    assert set(same) == {"1", "2"} and not same["2"]
+    assert line["agreement"] == pytest.approx(mean(same.values()))
+
+
+def test_histogram(spark):
+    df = spark.createDataFrame([("x", "1"), ("x", "1"), ("x", "2"), ("y", "1")], "run string, n_labels string")
+    assert {(r["run"], r["n_labels"]): r["n"] for r in S.label_histogram(df).collect()} == Counter(
+        {("x", "1"): 2, ("x", "2"): 1, ("y", "1"): 1}
+    )
+
+
+def test_a_hot_run_and_a_hot_id(spark):
+    """A third of all rows in one run, and one id in all runs: sums per run stay right."""
+    rows = spark.range(60000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 97).cast("string"))).alias("run"),
+        F.lit("same").alias("id"),
+        F.when(F.col("id") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"))).alias("labels"),
+    )
+    refs = spark.createDataFrame([("same", ["a"])], "id string, gold array<string>")
+    got = {r["run"]: r for r in S.exact_match(S.join_predictions(rows, refs)).collect()}
+    assert got["hot"]["n"] == 20000 and got["hot"]["exact_match"] == 0.5
+    assert sum(r["n"] for r in got.values()) == 60000
