@@ -1,0 +1,88 @@
+"""Training text."""
+
+from collections import Counter
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from gradeloom.operators import training as R
+from gradeloom.schema import MCQ
+
+QUESTION = [("q1", "Où ?", {"a": "ici", "b": "là"}, ["b"])]
+
+
+def test_text_and_completion(spark):
+    text = R.training_text(spark.createDataFrame(QUESTION, MCQ))
+    row = R.completion_span(text).first()
+    assert row["text"].endswith("Où ?\n(a) ici.\n(b) là.\nRéponse(s) : (b) là.\n")
+    assert row["completion_part"] == " (b) là.\n"
+    assert row["prompt_part"] + row["completion_part"] == row["text"]
+    assert row["completion_start"] == len(row["prompt_part"])
+
+
+def test_completion_after_the_last_marker_or_null(spark):
+    df = spark.createDataFrame([("x Réponse(s) : a\n\ny Réponse(s) : b",), ("cut off Répon",)], "text string")
+    rows = R.completion_span(df).collect()
+    assert rows[0]["completion_part"] == " b"
+    assert (rows[1]["prompt_part"], rows[1]["completion_part"], rows[1]["completion_start"]) == (None, None, None)
+
+
+@pytest.mark.parametrize(
+    "text,tokens,n,cut",
+    [
+        ("a b c", ["a", "b", "c", "-"], 3, False),
+        (" a\tb\n\nc d e ", ["a", "b", "c", "d"], 4, True),
+        (" a b c d ", ["a", "b", "c", "d"], 4, False),
+        ("", ["-"] * 4, 0, False),
+        (" \n", ["-"] * 4, 0, False),
+    ],
+)
+def test_truncation(spark, text, tokens, n, cut):
+    df = spark.createDataFrame([(text,)], "text string")
+    row = R.truncate_tokens(df, max_tokens=4, pad="-").first()
+    assert (row["tokens"], row["n_tokens"], row["truncated"]) == (tokens, n, cut)
+
+
+def test_own_tokenizer(spark):
+    def characters(texts: pd.Series) -> pd.Series:
+        return texts.map(list)
+
+    df = spark.createDataFrame([("abcdef",)], "text string")
+    row = R.truncate_tokens(
+        df, max_tokens=4, tokenize=F.pandas_udf(characters, T.ArrayType(T.StringType()))
+    ).first()
+    assert (row["tokens"], row["truncated"]) == (list("abcd"), True)
+
+
+def test_shuffle_with_a_hot_copy(spark):
+    """One row is a third of the table, more copies than one chunk holds."""
+    n = 15000
+    df = spark.range(3 * n).select(
+        F.when(F.col("id") < n, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("text")
+    )
+    rows = R.shuffle_rows(df, ["text"], seed=1).collect()
+    assert sorted(r["position"] for r in rows) == list(range(1, 3 * n + 1))
+    assert Counter(r["text"] for r in rows)["hot"] == n and len({r["text"] for r in rows}) == 2 * n + 1
+    ordered = [r["text"] for r in sorted(rows, key=lambda r: r["position"])]
+    thirds = [ordered[i * n : (i + 1) * n].count("hot") for i in range(3)]
+    assert all(abs(x - n / 3) < 0.05 * n for x in thirds)
+
+
+def test_shuffle_repeats_with_its_seed(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("text"))
+    order = lambda d, seed: {r["text"]: r["position"] for r in R.shuffle_rows(d, ["text"], seed).collect()}
+    assert order(df, 1) == order(df.repartition(5), 1) != order(df, 2)
+
+
+def test_batches_of_similar_length(spark):
+    """A third of all rows have one length; that bucket is split and no batch is too large."""
+    df = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, 40).otherwise(F.col("id") % 700).alias("n"))
+    rows = R.length_batches(df, "id", "n", batch_size=32, width=16, group_rows=500).collect()
+    assert len(rows) == 9000
+    batches = Counter((r["length_bucket"], r["salt"], r["batch"]) for r in rows)
+    assert max(batches.values()) == 32
+    hot = [r for r in rows if r["length_bucket"] == 40 // 16]
+    assert len({r["salt"] for r in hot}) == -(-len(hot) // 500)
+    assert all(r["n"] // 16 == r["length_bucket"] for r in rows)
+    assert sum(v < 32 for v in batches.values()) <= len({(r["length_bucket"], r["salt"]) for r in rows})
