@@ -3,6 +3,8 @@
 Spark's ``levenshtein`` gives only the edit cost; both distances need the characters an alignment keeps.
 """
 
+from os.path import commonprefix
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -23,22 +25,31 @@ def common_subsequence(left: str, right: str) -> int:
     return len(left) - row.bit_count()
 
 
+def shared_ends(left: str, right: str) -> tuple[int, int]:
+    """How many leading and, after them, trailing characters two texts share.
+
+    Some cheapest script that keeps most characters keeps all of these, so only the middle needs work.
+    """
+    head = len(commonprefix([left, right]))
+    return head, len(commonprefix([left[head:][::-1], right[head:][::-1]]))
+
+
 def kept_characters(references: list[str], generated: list[str]) -> np.ndarray:
     """Characters kept by a cheapest edit script; among cheapest scripts, one that keeps most.
 
-    All pairs of a block advance together, one reference character per step. A cell holds
-    ``scale * cost - kept``, so one minimum decides both; the running minimum covers insertions.
+    All pairs advance together, one reference character per step. A cell holds ``scale * cost - kept``,
+    so one minimum decides both; the running minimum covers insertions.
     """
     count = len(references)
     ref_len = np.array([len(x) for x in references])
     gen_len = np.array([len(x) for x in generated])
     width, depth = int(gen_len.max()), int(ref_len.max())
     scale = depth + width + 1
-    ref_codes = np.full((count, depth), -1, dtype=np.int64)
-    gen_codes = np.full((count, width), -2, dtype=np.int64)
+    ref_codes = np.full((count, depth), -1, dtype=np.int32)
+    gen_codes = np.full((count, width), -2, dtype=np.int32)
     for i in range(count):
-        ref_codes[i, : ref_len[i]] = [ord(c) for c in references[i]]
-        gen_codes[i, : gen_len[i]] = [ord(c) for c in generated[i]]
+        ref_codes[i, : ref_len[i]] = np.frombuffer(references[i].encode("utf-32-le"), dtype=np.int32)
+        gen_codes[i, : gen_len[i]] = np.frombuffer(generated[i].encode("utf-32-le"), dtype=np.int32)
     inserts = scale * np.arange(width + 1, dtype=np.int64)
     row = np.tile(inserts, (count, 1))
     final = row[np.arange(count), gen_len]
@@ -53,7 +64,7 @@ def kept_characters(references: list[str], generated: list[str]) -> np.ndarray:
 
 
 def blocks(widths: np.ndarray):
-    """Slices of consecutive pairs whose widest row times their number stays within a block."""
+    """Slices of consecutive pairs whose longest text times their number stays within a block."""
     start, widest = 0, 0
     for position, width in enumerate(widths.tolist()):
         widest = max(widest, width)
@@ -66,15 +77,20 @@ def blocks(widths: np.ndarray):
 
 def _edit_distances(reference: pd.Series, generated: pd.Series) -> pd.Series:
     result = np.full(len(reference), None, dtype=object)
-    usable = (reference.notna() & generated.notna() & (reference.str.len() > 0)).to_numpy()
-    order = np.flatnonzero(usable)
-    lengths = reference.str.len().to_numpy()
-    order = order[np.argsort(lengths[order].astype("int64"), kind="stable")]
-    references, texts = reference.to_numpy()[order], generated.to_numpy()[order]
-    sizes = np.array([len(x) for x in references], dtype=np.int64)
-    for block in blocks(np.array([len(x) + 1 for x in texts], dtype=np.int64)):
-        kept = kept_characters(references[block].tolist(), texts[block].tolist())
-        result[order[block]] = 1 - np.round(kept / sizes[block] * 100) / 100
+    pairs = [
+        (i, left, right, *shared_ends(left, right))
+        for i, (left, right) in enumerate(zip(reference, generated))
+        if left and right is not None
+    ]
+    middles = [(a[head : len(a) - tail], b[head : len(b) - tail]) for _, a, b, head, tail in pairs]
+    sizes = np.array([[len(a), len(b)] for a, b in middles], dtype=np.int64).reshape(-1, 2)
+    order = np.lexsort((sizes[:, 1], sizes[:, 0]))
+    for block in blocks(sizes[order].max(axis=1, initial=0) + 1):
+        chosen = order[block].tolist()
+        kept = kept_characters([middles[k][0] for k in chosen], [middles[k][1] for k in chosen])
+        for k, inner in zip(chosen, kept.tolist()):
+            i, left, _, head, tail = pairs[k]
+            result[i] = 1 - round((head + inner + tail) / len(left) * 100) / 100
     return pd.Series(result, index=reference.index)
 
 

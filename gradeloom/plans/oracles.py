@@ -320,7 +320,7 @@ ORACLES = {
         _PREDICTIONS,
         f"SELECT run, id || ';' || {_joined('labels')} AS line, id || ';' || {_joined('labels')} AS lower_line FROM pred",
     ),
-    "label_count": _with(_PREDICTIONS, "SELECT run, id, len(labels) AS n_labels FROM pred"),
+    "label_count": _with(_PREDICTIONS, "SELECT run, id, len(labels) AS n_labels, id || ';' || len(labels) AS line FROM pred"),
     "linearize_bare": _with(_MCQ, f"SELECT id, {_BARE} AS text FROM mcq"),
     "linearize_open": _with(_MCQ, f"SELECT id, {_OPEN} AS text, {_OPEN} || ' (' AS text_parenthesis FROM mcq"),
     "linearize_gold": _with(_MCQ, f"SELECT id, {_GOLD} AS text FROM mcq"),

@@ -6,9 +6,9 @@ from gradeloom import fixed
 from gradeloom.functions import letters, prompts as P, text as X
 from gradeloom.operators import answers as A, generate as G, memorize as M, prompts as R
 from gradeloom.operators import rewrite as W, scoring as S, training as T
-from gradeloom.plans import fixtures as D
+from gradeloom.plans import fixtures as D, jobs as J
 from gradeloom.plans.fixtures import Tables
-from gradeloom.session import materialize, scratch_path, ship_package
+from gradeloom.session import scratch_path, ship_package
 from gradeloom.sources import corpus as C, predictions as I
 
 REGISTRY = {}
@@ -137,7 +137,10 @@ def format_predictions(t):
 
 @query
 def label_count(t):
-    return D.stored_answers(t).select("run", "id", long(letters.label_count(F.col("answer"))).alias("n_labels"))
+    key, answer = F.col("id"), F.col("answer")
+    return D.stored_answers(t).select(
+        "run", "id", long(letters.label_count(answer)).alias("n_labels"), I.count_line(key, answer).alias("line")
+    )
 
 
 # Prompts
@@ -432,12 +435,10 @@ def score_generations(t):
 @query
 def score_answered_run(t):
     """A whole run: prompt, generate, write, read back, extract, score."""
-    prompted = R.render_prompts(D.mcq(t)).withColumns({"run": F.lit("stub"), "n_options": F.size("answers")})
-    answered = G.generate(prompted, G.one_by_one(D.stub_generator)).select(
-        "run", "id", "n_options", F.col("correct_answers").alias("gold"), "generated"
-    )
-    read = A.extract_answers(materialize(answered, "generated"), num_answers="n_options")
-    return rounded(S.score_runs(read), "exact_match", "hamming_score", "hamming_per_option")
+    corpus = D.mcq(t)
+    path = scratch_path(t.spark, "generations")
+    stored = J.answer_corpus(corpus, G.one_by_one(D.stub_generator), path, run="stub", profile="flan-t5")
+    return rounded(J.score_answers(stored, corpus), "exact_match", "hamming_score", "hamming_per_option")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeloom.functions.letters import join_labels
+from gradeloom.functions.letters import join_labels, label_count
 from gradeloom.functions.text import strip
 
 RUN_IN_PATH = r"([^/]+)_prompt\d+\.txt(?:\.task2)?(?:/[^/]*)?$"
@@ -103,6 +103,11 @@ def prediction_line(key: Column, labels: Column, *, lower: bool = False) -> Colu
     return F.concat(key, F.lit(";"), F.lower(joined) if lower else joined)
 
 
+def count_line(key: Column, answer: Column) -> Column:
+    """``id;n``: a stored answer as its number of labels."""
+    return F.concat(key, F.lit(";"), label_count(strip(answer)).cast("string"))
+
+
 def write_predictions(df: DataFrame, path: str, *, lower: bool = False) -> None:
     """Write ``(run, id, labels)`` as prediction lines, one folder per run."""
     df.select("run", prediction_line(F.col("id"), F.col("labels"), lower=lower).alias("value")).write.partitionBy(
