@@ -1,6 +1,6 @@
 """From generated text to answer letters."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom import fixed
 from gradeloom.functions import letters
@@ -46,18 +46,32 @@ def extract_answers(
     )
 
 
-def profile_table(spark: SparkSession) -> DataFrame:
-    """The runner profiles as rows."""
-    return spark.createDataFrame(
-        fixed.RUNNER_PROFILES,
-        "profile string, wrapper string, text_mode string, left_parenthesis boolean, "
-        "paragraph_stop boolean, assumed_options int, max_tokens int",
-    )
+PROFILE_FIELDS = (
+    "wrapper",
+    "text_mode",
+    "left_parenthesis",
+    "paragraph_stop",
+    "assumed_options",
+    "max_tokens",
+)
+
 
+def with_profiles(df: DataFrame, profile: str = "profile") -> DataFrame:
+    """Attach each row's profile settings, null for an unknown profile.
 
-def with_profiles(df: DataFrame) -> DataFrame:
-    """Attach each row's profile settings. The table is fixed at fifteen rows, so it is always sent."""
-    return df.join(F.broadcast(profile_table(df.sparkSession)), "profile")
+    Fifteen fixed profiles are a literal in the expression: no join, and for a profile that is itself
+    a literal, constants.
+    """
+    entries = []
+    for name, *values in fixed.RUNNER_PROFILES:
+        settings = [
+            (F.lit(value).cast("int") if value is None else F.lit(value)).alias(field)
+            for field, value in zip(PROFILE_FIELDS, values)
+        ]
+        entries += [F.lit(name), F.struct(*settings)]
+    return df.withColumn("_settings", F.try_element_at(F.create_map(*entries), F.col(profile))).select(
+        *df.columns, "_settings.*"
+    )
 
 
 def wrapped_prompt(wrapper: Column, prompt: Column) -> tuple[Column, Column]:
