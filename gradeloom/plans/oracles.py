@@ -316,6 +316,10 @@ ORACLES = {
         "CASE WHEN len(f) <> 2 THEN line END AS bad_line FROM trimmed",
     ),
     "scan_runs": _with(_PREDICTIONS, f"SELECT run, id, {_joined('labels')} AS answer FROM pred"),
+    "run_settings": """
+SELECT n_name AS run, 'model é ' || n_name AS backbone, count(c_custkey)::VARCHAR AS epochs,
+  CASE WHEN n_regionkey > 2 THEN 'true' ELSE 'false' END AS is_int8, 'Q: %s' AS prompt
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_regionkey""".strip(),
     "format_predictions": _with(
         _PREDICTIONS,
         f"SELECT run, id || ';' || {_joined('labels')} AS line, id || ';' || {_joined('labels')} AS lower_line FROM pred",
@@ -328,6 +332,9 @@ ORACLES = {
     "render_prompt": _with(
         _MCQ, f"SELECT id, {_templated(_OPEN)} AS prompt_fr, {_templated(_OPEN, 'en/0')} AS prompt_en FROM mcq"
     ),
+    "render_from_table": _with(
+        _MCQ, f"SELECT id, o_orderstatus || ': ' || {_OPEN} || chr(10) || o_orderstatus AS prompt FROM mcq"
+    ),
     "few_shot_prompt": _with(
         _MCQ
         + f""",
@@ -435,6 +442,19 @@ failing AS (SELECT *, ('0x' || substr(md5(prompt), 1, 1))::INTEGER // 4 AS n FRO
         f"SELECT id, CASE WHEN n < 3 THEN {_STUB.format('prompt')} END AS generated, "
         "least(n + 1, 3)::BIGINT AS attempts, CASE WHEN n >= 3 THEN 'Throttled: try again' END AS error FROM failing",
     ),
+    "pending_questions": _with(
+        _SHEET,
+        f"SELECT id, {_joined('gold')} AS gold FROM sheet "
+        "WHERE okey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
+    ),
+    "stream_predictions": _with(
+        _MCQ
+        + f""",
+prompted AS (SELECT id, {_templated(f"({_OPEN} || ' (')")} AS prompt FROM mcq),
+answered AS (SELECT id, {_STUB.format('prompt')} AS generated FROM prompted),"""
+        + _extract("answered", "id", _clean("generated"), "5"),
+        f"SELECT id, {_joined('labels')} AS answer FROM extracted",
+    ),
     "route_models": """
 WITH named AS (
   SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'openai/gpt-4' WHEN 'BUILDING' THEN 'openai/text-davinci-003'
@@ -513,6 +533,14 @@ answered AS (SELECT run, id, n_options, gold, {_STUB.format('prompt')} AS genera
         "SELECT run, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support "
         "FROM report",
     ),
+    "classification_report_named": _with(
+        _PREDICTIONS + "," + _REPORT,
+        """
+SELECT runs.run AS run, named.label AS label, round(coalesce(precision, 0), 6) AS precision,
+  round(coalesce(recall, 0), 6) AS recall, round(coalesce(f1, 0), 6) AS f1, coalesce(support, 0)::BIGINT AS support
+FROM (SELECT DISTINCT run FROM counted) runs CROSS JOIN (VALUES ('1'), ('2'), ('3'), ('4'), ('5')) named(label)
+LEFT JOIN report ON report.run = runs.run AND report.label = named.label""",
+    ),
     "report_averages": _with(
         _PREDICTIONS + "," + _REPORT,
         """

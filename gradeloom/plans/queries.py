@@ -10,6 +10,7 @@ from gradeloom.plans import fixtures as D, jobs as J
 from gradeloom.plans.fixtures import Tables
 from gradeloom.session import scratch_path, ship_package
 from gradeloom.sources import corpus as C, predictions as I
+from gradeloom.streaming import predictions as Stream
 
 REGISTRY = {}
 
@@ -125,6 +126,22 @@ def scan_runs(t):
     return _stored_runs(t)
 
 
+@query
+def run_settings(t):
+    customers = t("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("epochs"))
+    nations = t("nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    settings = F.struct(
+        F.concat(F.lit("model é "), "n_name").alias("backbone"),
+        F.coalesce("epochs", F.lit(0)).alias("epochs"),
+        (F.col("n_regionkey") > 2).alias("is_int8"),
+        F.lit("Q: %s").alias("prompt"),
+    )
+    path = scratch_path(t.spark, "settings")
+    nations.select(F.col("n_name").alias("run"), F.to_json(settings).alias("value")).write.partitionBy("run").text(path)
+    read = C.read_run_settings(t.spark, path)
+    return read.select("run", *[F.col("params")[k].alias(k) for k in ("backbone", "epochs", "is_int8", "prompt")])
+
+
 @query
 def format_predictions(t):
     upper = F.transform("labels", lambda x: F.upper(x))
@@ -176,6 +193,16 @@ def render_prompt(t):
     return R.render_prompts(french, "en/0").select("id", "prompt_fr", F.col("prompt").alias("prompt_en"))
 
 
+@query
+def render_from_table(t):
+    status = F.col("o_orderstatus")
+    templates = t("orders").select(
+        status.alias("template_id"), F.concat(status, F.lit(": %s\n"), status).alias("template")
+    ).distinct()
+    rows = R.with_templates(D.questions(t).withColumnRenamed("o_orderstatus", "template_id"), templates)
+    return rows.select("id", P.apply_template(F.col("template"), R.linearized("open")).alias("prompt"))
+
+
 @query
 def few_shot_prompt(t):
     corpus = D.mcq(t)
@@ -323,6 +350,21 @@ def generate_with_retry(t):
     return tried.select("id", "generated", long(F.col("attempts")).alias("attempts"), "error")
 
 
+@query
+def pending_questions(t):
+    done = t("orders").where(F.col("o_orderstatus") == "F").select(D.question_id(F.col("o_orderkey")).alias("id"))
+    return G.pending(D.references(t).select("id", joined("gold").alias("gold")), done, ["id"])
+
+
+@query
+def stream_predictions(t):
+    path, out, state = [scratch_path(t.spark, name) for name in ("questions", "answers", "state")]
+    C.write_rows(D.mcq(t), path)
+    stream = Stream.stream_predictions(t.spark, path, out, state, G.one_by_one(D.stub_generator), batch_size=24)
+    stream.awaitTermination()
+    return I.parse_lenient(t.spark.read.text(out))
+
+
 @query
 def route_models(t):
     segment = F.col("c_mktsegment")
@@ -451,6 +493,13 @@ def classification_report(t):
     return rounded(S.classification_report(counted(t), "predicted", "reference"), "precision", "recall", "f1")
 
 
+@query
+def classification_report_named(t):
+    """Five classes by name, whether seen or not."""
+    report = S.classification_report(counted(t), "predicted", "reference", labels=["1", "2", "3", "4", "5"])
+    return rounded(report, "precision", "recall", "f1")
+
+
 @query
 def report_averages(t):
     report = S.classification_report(counted(t), "predicted", "reference")
@@ -517,6 +566,17 @@ def meld_recompute(t):
     return rounded(M.recompute(C.read_meld_results(t.spark, path), "ratio").select("id", "distance"), "distance")
 
 
+@query
+def meld_distance_turns(t):
+    """Both distances between whole turns of conversations."""
+    pairs = D.turn_pairs(t).select(
+        "conv_id", "turn", F.col("prompt").alias("reference"), F.col("reply").alias("generated")
+    )
+    edit = M.with_distance(pairs).withColumnRenamed("distance", "edit_distance")
+    both = M.with_distance(edit, "ratio").withColumnRenamed("distance", "ratio_distance")
+    return rounded(both.drop("reference", "generated"), "edit_distance", "ratio_distance")
+
+
 # Training text
 
 

@@ -27,11 +27,11 @@ def read_meld_results(spark: SparkSession, path, *, layout: str = "lines") -> Da
 
 
 def read_run_settings(spark: SparkSession, path) -> DataFrame:
-    """One row per settings file: the folder name as ``run`` and its settings as text values."""
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run"),
-        F.from_json("value", "map<string,string>").alias("params"),
-    )
+    """One row per settings file: its settings as text values, and as ``run`` its folder."""
+    files = spark.read.text(path, wholetext=True)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    run = F.col("run").cast("string") if "run" in files.columns else folder
+    return files.select(run.alias("run"), F.from_json("value", "map<string,string>").alias("params"))
 
 
 def with_splits(splits: dict[str, DataFrame]) -> DataFrame:

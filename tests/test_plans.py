@@ -26,6 +26,7 @@ PYTHON = {
     "meld_summary",
     "meld_results",
     "meld_recompute",
+    "meld_distance_turns",
 }
 
 
