@@ -188,6 +188,10 @@ def stub_generator():
     return stub_text
 
 
+def digest_generator():
+    return digest
+
+
 def flaky_generator():
     """A stand-in that fails zero to three times per prompt before it answers."""
     calls: dict[str, int] = {}

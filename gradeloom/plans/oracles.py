@@ -295,6 +295,18 @@ cut AS (
     return _with(ctes, f"SELECT id, profile, sent, answer_text, {_joined('labels')} AS labels FROM extracted")
 
 
+_ROUTED = """
+named AS (
+  SELECT c_custkey, c_name, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'openai/gpt-4'
+    WHEN 'BUILDING' THEN 'openai/text-davinci-003' WHEN 'FURNITURE' THEN 'cohere/command-xlarge-beta'
+    WHEN 'HOUSEHOLD' THEN 'ai21/' || c_name || '/large' ELSE 'local/' || c_name END AS model
+  FROM customer),
+parts AS (SELECT *, split_part(model, '/', 1) AS provider, substr(model, instr(model, '/') + 1) AS name FROM named),
+routed AS (
+  SELECT *, CASE WHEN provider = 'openai' AND name = 'gpt-4' THEN 'chat'
+    WHEN provider IN ('openai', 'cohere', 'ai21') THEN 'completion' END AS kind
+  FROM parts)"""
+
 _TOKENS = "list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: length(w) > 0)"
 
 _SCORES = (
@@ -455,17 +467,12 @@ answered AS (SELECT id, {_STUB.format('prompt')} AS generated FROM prompted),"""
         + _extract("answered", "id", _clean("generated"), "5"),
         f"SELECT id, {_joined('labels')} AS answer FROM extracted",
     ),
-    "route_models": """
-WITH named AS (
-  SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'openai/gpt-4' WHEN 'BUILDING' THEN 'openai/text-davinci-003'
-    WHEN 'FURNITURE' THEN 'cohere/command-xlarge-beta' WHEN 'HOUSEHOLD' THEN 'ai21/' || c_name || '/large'
-    ELSE 'local/' || c_name END AS model
-  FROM customer),
-parts AS (SELECT *, split_part(model, '/', 1) AS provider, substr(model, instr(model, '/') + 1) AS name FROM named)
-SELECT c_custkey, model, provider, name, CASE
-  WHEN provider = 'openai' AND name = 'gpt-4' THEN 'chat'
-  WHEN provider IN ('openai', 'cohere', 'ai21') THEN 'completion' END AS kind
-FROM parts""".strip(),
+    "route_models": _with(_ROUTED, "SELECT c_custkey, model, provider, name, kind FROM routed"),
+    "generate_routed": _with(
+        _ROUTED,
+        f"SELECT c_custkey, kind, CASE kind WHEN 'chat' THEN {_STUB.format('c_name')} WHEN 'completion' THEN md5(c_name) "
+        "END AS generated FROM routed",
+    ),
     "runner_profiles": _profiled(),
     "join_predictions": _with(
         _PREDICTIONS, f"SELECT run, id, {_joined('labels')} AS labels, {_joined('gold')} AS gold FROM pred"

@@ -365,8 +365,7 @@ def stream_predictions(t):
     return I.parse_lenient(t.spark.read.text(out))
 
 
-@query
-def route_models(t):
+def routed(t: Tables) -> DataFrame:
     segment = F.col("c_mktsegment")
     model = (
         F.when(segment == "AUTOMOBILE", F.lit("openai/gpt-4"))
@@ -375,8 +374,18 @@ def route_models(t):
         .when(segment == "HOUSEHOLD", F.concat(F.lit("ai21/"), "c_name", F.lit("/large")))
         .otherwise(F.concat(F.lit("local/"), "c_name"))
     )
-    routed = G.route_models(t("customer").select("c_custkey", model.alias("model")))
-    return routed.select("c_custkey", "model", "provider", "name", "kind")
+    return G.route_models(t("customer").select("c_custkey", "c_name", model.alias("model")))
+
+
+@query
+def route_models(t):
+    return routed(t).select("c_custkey", "model", "provider", "name", "kind")
+
+
+@query
+def generate_routed(t):
+    makers = {"chat": G.one_by_one(D.stub_generator), "completion": G.one_by_one(D.digest_generator)}
+    return G.generate_by_kind(routed(t), makers, prompt="c_name").select("c_custkey", "kind", "generated")
 
 
 @query

@@ -1,19 +1,20 @@
 """Question sets, run settings and enriched rows as JSON."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gradeloom.schema import MCQ, MELD_RESULT
 
 
-def read_corpus(spark: SparkSession, path, *, layout: str = "lines") -> DataFrame:
-    """Read questions with their given schema.
+def read_corpus(spark: SparkSession, path, *, layout: str = "lines", more: str | None = None) -> DataFrame:
+    """Read questions with their given schema, and with ``more`` fields of the file as DDL text.
 
     ``lines`` (one object per line) splits over tasks at any size. ``array`` reads files that hold one
     JSON array each; such a file is one task, so large sets should be stored as lines.
     """
     if layout not in ("lines", "array"):
         raise ValueError(f"unknown layout {layout!r}")
-    return spark.read.schema(MCQ).option("multiLine", layout == "array").json(path)
+    schema = T.StructType(MCQ.fields + (T.StructType.fromDDL(more).fields if more else []))
+    return spark.read.schema(schema).option("multiLine", layout == "array").json(path)
 
 
 def write_rows(df: DataFrame, path: str) -> None:

@@ -19,6 +19,7 @@ def plan_of(spark, sf_dir):
 PYTHON = {
     "generate_rows",
     "generate_batches",
+    "generate_routed",
     "generate_with_retry",
     "rewrite_fields",
     "meld_distance_edit",

@@ -23,6 +23,8 @@ def test_corpus_layouts(spark, tmp_path, layout):
     assert [r["id"] for r in rows] == ["q1", "q2"]
     assert rows[0]["keys"] == ["b", "a"]
     assert rows[0]["correct_answers"] == ["a", "b"]
+    more = C.read_corpus(spark, str(path), layout=layout, more="type int").orderBy("id").collect()
+    assert [r["type"] for r in more] == [1, 2]
 
 
 def test_run_settings(spark, tmp_path):
