@@ -21,12 +21,14 @@ def memorization_prompts(corpus: DataFrame) -> DataFrame:
     )
 
 
-def with_distance(df: DataFrame, distance: str = "edit") -> DataFrame:
+def with_distance(df: DataFrame, distance: str = "edit", *, tasks: int | None = None) -> DataFrame:
     """Add ``distance`` between ``reference`` and ``generated``.
 
-    The edit form is quadratic in the text length, and exact at any length.
+    The edit form is quadratic in the text length, and exact at any length. For long texts in few
+    partitions ``tasks`` deals the rows out evenly first.
     """
-    return df.withColumn("distance", DISTANCES[distance](F.col("reference"), F.col("generated")))
+    source = df.repartition(tasks) if tasks else df
+    return source.withColumn("distance", DISTANCES[distance](F.col("reference"), F.col("generated")))
 
 
 def meld_results(prompted: DataFrame, distance: str = "edit") -> DataFrame:

@@ -19,7 +19,7 @@ def query(plan):
     """Register ``plan(tables)`` under its name as ``(spark, sf_dir) -> DataFrame``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        ship_package()
         return plan(Tables(spark, sf_dir))
 
     REGISTRY[plan.__name__] = run
@@ -581,7 +581,8 @@ def meld_distance_turns(t):
     pairs = D.turn_pairs(t).select(
         "conv_id", "turn", F.col("prompt").alias("reference"), F.col("reply").alias("generated")
     )
-    edit = M.with_distance(pairs).withColumnRenamed("distance", "edit_distance")
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    edit = M.with_distance(pairs, tasks=tasks).withColumnRenamed("distance", "edit_distance")
     both = M.with_distance(edit, "ratio").withColumnRenamed("distance", "ratio_distance")
     return rounded(both.drop("reference", "generated"), "edit_distance", "ratio_distance")
 

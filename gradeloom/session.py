@@ -1,28 +1,22 @@
 """Shared storage for written intermediate tables, and shipping of this package to the tasks."""
 
-import os
-import shutil
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import gradeloom
+
 _local_dirs: dict[str, str] = {}
-_shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once per application.
+def ship_package() -> None:
+    """Send this package's functions to the Python workers along with the calls that use them.
 
-    Only needed when it is not installed on the cluster nor given with ``--py-files``.
+    Only needed when the package is neither installed on the cluster nor given with ``--py-files``.
     """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base = os.path.join(tempfile.mkdtemp(prefix="gradeloom-"), "gradeloom")
-    context.addPyFile(shutil.make_archive(base, "zip", root, os.path.basename(os.path.dirname(__file__))))
-    _shipped.add(context.applicationId)
+    cloudpickle.register_pickle_by_value(gradeloom)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -23,7 +23,7 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    ship_package(session)
+    ship_package()
     yield session
     session.stop()
 
