@@ -65,22 +65,23 @@ def join_labels(labels: Column) -> Column:
 
 
 def same_set(left: Column, right: Column) -> Column:
-    """Equality as sets."""
-    return letter_set(left) == letter_set(right)
+    """Equality as sets; a missing answer equals nothing."""
+    return F.coalesce(letter_set(left) == letter_set(right), F.lit(False))
 
 
 def same_list(left: Column, right: Column) -> Column:
-    """Equality as sorted lists: repeated labels count."""
-    return F.sort_array(left) == F.sort_array(right)
+    """Equality as sorted lists: repeated labels count, a missing answer equals nothing."""
+    return F.coalesce(F.sort_array(left) == F.sort_array(right), F.lit(False))
 
 
 def overlap(first: Column, second: Column) -> Column:
     """Elements of ``first`` found in ``second``, over the size of the union; null if both are empty.
 
-    Symmetric (a Jaccard index) only while labels do not repeat.
+    Symmetric (a Jaccard index) only while labels do not repeat. A missing answer has no overlap.
     """
     hits = F.size(F.filter(first, lambda x: F.array_contains(second, x)))
-    return F.try_divide(hits.cast("double"), F.size(F.array_union(first, second)))
+    share = F.try_divide(hits.cast("double"), F.size(F.array_union(first, second)))
+    return F.when(first.isNull() | second.isNull(), F.lit(0.0)).otherwise(share)
 
 
 def agreement_key(answer: Column) -> Column:

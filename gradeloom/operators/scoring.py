@@ -75,7 +75,7 @@ def hamming_per_option(joined: DataFrame, options: str = "n_options", by: str =
     return (
         joined.select(by, options, overlap)
         .groupBy(by)
-        .agg((F.sum("overlap") / F.sum(options)).alias("hamming_per_option"))
+        .agg(F.try_divide(F.sum("overlap"), F.sum(options)).alias("hamming_per_option"))
     )
 
 
@@ -96,7 +96,7 @@ def score_runs(joined: DataFrame, by: str = "run") -> DataFrame:
         F.avg("overlap_refs_first").alias("hamming_score"),
     ]
     if "n_options" in optional:
-        scores.append((F.sum("overlap") / F.sum("n_options")).alias("hamming_per_option"))
+        scores.append(F.try_divide(F.sum("overlap"), F.sum("n_options")).alias("hamming_per_option"))
     if "defaulted" in optional:
         scores.append(F.count_if("defaulted").alias("n_defaulted"))
     return rows.groupBy(by).agg(*scores)
@@ -235,7 +235,7 @@ def accuracy_macro_f1(joined: DataFrame, predicted: str, reference: str, by: str
     return (
         class_counts(joined, predicted, reference, by=by)
         .groupBy(by)
-        .agg((F.sum("hits") / F.sum("support")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
+        .agg(F.try_divide(F.sum("hits"), F.sum("support")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
         .withColumn("accuracy_pct", F.col("accuracy") * 100)
         .withColumn("macro_f1_pct", F.col("macro_f1") * 100)
     )

@@ -69,6 +69,8 @@ def shuffle_rows(df: DataFrame, columns: list[str], seed: int, *, bucket_digits:
     size of the hash buckets before its own, at most 16 ** ``bucket_digits`` numbers, plus its rank in
     its own bucket, so no task ever sorts the whole table.
     """
+    if not 1 <= bucket_digits <= 4:
+        raise ValueError("bucket_digits must be 1 to 4: the bucket sizes are sent to all tasks")
     chunk = 4096
     zero = F.lit(0).cast("long")
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))

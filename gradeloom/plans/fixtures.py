@@ -66,7 +66,9 @@ def answer_sheet(t: Tables) -> DataFrame:
     return masks.select(
         "okey",
         question_id(F.col("okey")).alias("id"),
-        F.bit_count("present").cast("long").alias("n_options"),
+        F.when(F.col("present") < (2 << MOST_LINES), F.bit_count("present").cast("long"))
+        .otherwise(F.raise_error(F.lit("an order has a line number above the most expected")))
+        .alias("n_options"),
         *[_letters_in(name).alias(name) for name in marks],
     )
 

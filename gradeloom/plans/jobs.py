@@ -30,6 +30,7 @@ def answer_corpus(
     profile: str,
     template_id: str = "0",
     batch_size: int | None = None,
+    tasks: int | None = None,
     parts: int = 1,
 ) -> DataFrame:
     """Prompt, generate and store under ``path``; returns all that run has stored.
@@ -55,6 +56,7 @@ def answer_corpus(
             prompt="sent",
             params=F.col("params"),
             batch_size=batch_size,
+            tasks=tasks,
         )
         answered.select("id", "profile", "prompt", "generated", F.lit(run).alias("run")).write.mode(
             "append"

@@ -108,8 +108,15 @@ def count_line(key: Column, answer: Column) -> Column:
     return F.concat(key, F.lit(";"), label_count(strip(answer)).cast("string"))
 
 
-def write_predictions(df: DataFrame, path: str, *, lower: bool = False) -> None:
-    """Write ``(run, id, labels)`` as prediction lines, one folder per run."""
-    df.select("run", prediction_line(F.col("id"), F.col("labels"), lower=lower).alias("value")).write.partitionBy(
-        "run"
-    ).text(path)
+def write_predictions(df: DataFrame, path: str, *, lower: bool = False, files_per_run: int | None = None) -> None:
+    """Write ``(run, id, labels)`` as prediction lines, one folder per run.
+
+    Without ``files_per_run`` nothing is shuffled and each task adds a file to each run it has rows of.
+    With it, the hash of the id deals a run's rows out to that many files, large runs included.
+    """
+    lines = df.select(
+        "run", "id", prediction_line(F.col("id"), F.col("labels"), lower=lower).alias("value")
+    )
+    if files_per_run:
+        lines = lines.repartition("run", F.pmod(F.xxhash64("id"), F.lit(files_per_run)))
+    lines.select("run", "value").write.partitionBy("run").text(path)

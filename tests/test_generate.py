@@ -42,6 +42,12 @@ def test_params_reach_the_function_and_columns_stay(spark):
     assert G.generate(df, G.one_by_one(D.stub_generator)).count() == 2
 
 
+def test_rows_are_dealt_out_to_the_asked_tasks(spark):
+    df = spark.range(0, 80, 1, 1).select(F.col("id").cast("string").alias("prompt"))
+    spread = G.generate(df, G.one_by_one(D.stub_generator), tasks=4).withColumn("task", F.spark_partition_id())
+    assert sorted(r["count"] for r in spread.groupBy("task").count().collect()) == [20, 20, 20, 20]
+
+
 def test_wrong_number_of_texts_fails(spark):
     df = spark.createDataFrame([("x",), ("y",)], "prompt string")
     with pytest.raises(Exception, match="texts for"):

@@ -65,6 +65,12 @@ def test_overlap_of_nothing_is_null(spark):
     assert {r["id"]: r["overlap"] for r in S.score_rows(df).collect()} == {"q": None, "p": 0.5}
 
 
+def test_a_missing_answer_is_wrong(spark):
+    df = spark.createDataFrame([("r", "q", None, ["a"], 1), ("r", "p", ["a"], ["a"], 1)], SCHEMA)
+    row = S.score_runs(df).first()
+    assert (row["n"], row["exact_match"], row["hamming_score"], row["hamming_per_option"]) == (2, 0.5, 0.5, 0.5)
+
+
 def report(pairs, classes):
     lines = {}
     for c in classes:

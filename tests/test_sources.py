@@ -101,6 +101,19 @@ def test_written_lines(spark, tmp_path):
     }
 
 
+def test_files_per_run_bounds_the_files_of_a_hot_run(spark, tmp_path):
+    df = spark.range(0, 3000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, "x").otherwise("hot").alias("run"),
+        F.col("id").cast("string").alias("id"),
+        F.array(F.lit("a")).alias("labels"),
+    )
+    out = str(tmp_path / "out")
+    I.write_predictions(df, out, files_per_run=2)
+    files = [len(list((tmp_path / "out" / f"run={r}").glob("part-*"))) for r in ("x", "hot")]
+    assert max(files) <= 2
+    assert spark.read.text(out).groupBy("run").count().count() == 2 and spark.read.text(out).count() == 3000
+
+
 def test_check_ids(spark):
     refs = spark.createDataFrame([(f"q{i}",) for i in range(4)], "id string")
     rows = [("all", f"q{i}") for i in range(4)] + [("short", "q0")] + [("other", x) for x in ("q0", "q1", "q2", "zz")]

@@ -69,6 +69,11 @@ def test_shuffle_with_a_hot_copy(spark):
     assert all(abs(x - n / 3) < 0.05 * n for x in thirds)
 
 
+def test_shuffle_bounds_what_it_broadcasts(spark):
+    with pytest.raises(ValueError, match="bucket_digits"):
+        R.shuffle_rows(spark.range(1), ["id"], 1, bucket_digits=5)
+
+
 def test_shuffle_repeats_with_its_seed(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("text"))
     order = lambda d, seed: {r["text"]: r["position"] for r in R.shuffle_rows(d, ["text"], seed).collect()}
