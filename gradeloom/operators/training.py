@@ -6,6 +6,7 @@ from gradeloom import fixed
 from gradeloom.operators.prompts import render_prompts
 
 MOST_BUCKETS = 65536
+COPIES_AT_ONCE = 65536  # copies of one row that one task numbers in one go
 
 
 def training_text(corpus: DataFrame, template_id: str = "0", *, full_answers: bool = True) -> DataFrame:
@@ -71,7 +72,7 @@ def shuffle_rows(df: DataFrame, columns: list[str], seed: int, *, bucket_digits:
     """
     if not 1 <= bucket_digits <= 4:
         raise ValueError("bucket_digits must be 1 to 4: the bucket sizes are sent to all tasks")
-    chunk = 4096
+    chunk = COPIES_AT_ONCE
     zero = F.lit(0).cast("long")
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     once = counted.where(F.col("_n") <= chunk).withColumn("_first", zero)

@@ -55,8 +55,9 @@ def test_own_tokenizer(spark):
     assert (row["tokens"], row["truncated"]) == (list("abcd"), True)
 
 
-def test_shuffle_with_a_hot_copy(spark):
-    """One row is a third of the table, more copies than one chunk holds."""
+def test_shuffle_with_a_hot_copy(spark, monkeypatch):
+    """One row is a third of the table, more copies than are numbered at once."""
+    monkeypatch.setattr(R, "COPIES_AT_ONCE", 1000)
     n = 15000
     df = spark.range(3 * n).select(
         F.when(F.col("id") < n, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("text")
