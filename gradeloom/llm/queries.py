@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import mixing, quality, tokens
+from gradeloom.llm import idfiles, licenses, mixing, pieces, quality, tokens, toxicity
 from gradeloom.llm.common import read
 from gradeloom.session import ship_package
 
@@ -36,6 +36,29 @@ def op3_mix_sources(spark, sf_dir):
     )
 
 
+@query
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_quality_fertility(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
+
+
+@query
+def op8_id_files(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return idfiles.read(idfiles.write(docs, public_tokenizers.path(WORD_VOCABULARY), end_id=1))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_pieces(spark, sf_dir):
+    return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
