@@ -51,4 +51,28 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies::int AS
 FROM counted
 """
 
-ORACLES = {"op3_mix_sources": MIX}
+NEAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s
+  FROM words),
+sized AS (SELECT doc_id, s, len(s)::bigint AS n FROM sets),
+shingles AS (SELECT doc_id, n, unnest(s) AS shingle FROM sized),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS n_both
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * n_both >= 85 * (an + bn - n_both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a AS node, b AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
+least AS (SELECT node, min(other) AS other FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, coalesce(least(doc_id, other), doc_id) AS component_id,
+  doc_id = coalesce(least(doc_id, other), doc_id) AS kept
+FROM sized LEFT JOIN least ON doc_id = node
+"""
+
+ORACLES = {"op2_near_duplicates": NEAR, "op3_mix_sources": MIX}

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import idfiles, licenses, mixing, pieces, quality, tokens, toxicity
+from gradeloom.llm import idfiles, licenses, mixing, neardup, pieces, quality, tokens, toxicity
 from gradeloom.llm.common import read
 from gradeloom.session import ship_package
 
@@ -27,6 +27,11 @@ def op1_token_counts(spark, sf_dir):
     return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+@query
+def op2_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op3_mix_sources(spark, sf_dir):
     mixed = mixing.mix(mixing.document_sizes(read(spark, sf_dir, "documents")))
