@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import idfiles, licenses, mixing, neardup, pieces, quality, tokens, toxicity
+from gradeloom.llm import idfiles, licenses, mixing, neardup, pieces, pii, quality, tokens, toxicity
 from gradeloom.llm.common import read
 from gradeloom.session import ship_package
 
@@ -46,6 +46,11 @@ def op5_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_personal_data(spark, sf_dir):
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_quality_fertility(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
