@@ -100,6 +100,23 @@ def per_text(df: DataFrame, measure: Callable, schema: str, keep: list[str], tex
     return kept.mapInArrow(run, wanted)
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of each ``place``, which stand together, one group at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("place").to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[0].column("place")[0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _arrow(kind: str) -> pa.DataType:
     plain = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),

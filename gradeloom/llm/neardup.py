@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import mixed, per_text, sequence_hashes, stored, texts, word_hashes
+from gradeloom.llm.common import groups, mixed, per_text, sequence_hashes, stored, texts, word_hashes
 
 SHINGLE = 3
 NEAR = (85, 100)
@@ -121,23 +121,6 @@ def blocks(members: DataFrame) -> DataFrame:
     )
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of each ``place``, which stand together, one group at a time."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column("place").to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and held[0].column("place")[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 class _Group:
     """The documents of a pair of blocks, and which of their pairs this place has to compare."""
 
@@ -193,7 +176,7 @@ def candidates(members: DataFrame, facts: DataFrame, crossing: bool) -> DataFram
     """``(place, print)`` of the documents with a pair worth confirming at that place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
+        for table in groups(batches):
             group = _Group(table)
             wanted = sorted({k for pair in group.pairs() for k in pair})
             if wanted:
@@ -240,7 +223,7 @@ def confirmed(docs: DataFrame, members: DataFrame, facts: DataFrame, crossing: b
     most, least = NEAR[1], NEAR[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
+        for table in groups(batches):
             group = _Group(table)
             sets = [np.frombuffer(s, _U) for s in table["shingles"].to_pylist()]
             leader = list(range(len(sets)))

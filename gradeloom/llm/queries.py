@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import idfiles, licenses, mixing, neardup, pieces, pii, quality, tokens, toxicity
+from gradeloom.llm import idfiles, licenses, mixing, neardup, neighbours, pieces, pii, quality, tokens, toxicity
 from gradeloom.llm.common import read
 from gradeloom.session import ship_package
 
@@ -41,6 +41,11 @@ def op3_mix_sources(spark, sf_dir):
     )
 
 
+@query
+def op4_permutation_index(spark, sf_dir):
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
