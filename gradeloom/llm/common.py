@@ -117,6 +117,25 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+MARKS = 1 << 24
+_PAGE = 1 << 15
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among the ``keys`` (of the same name); a join decides afterwards.
+
+    Keys mark places of a bitmap of ``MARKS`` places, which goes to all tasks: 2 MB, whatever the number of keys. It
+    spares a join the shuffle of rows without a partner; the more keys there are, the more rows it lets through.
+    """
+    place = lambda: F.pmod(F.xxhash64(F.col(column)), F.lit(MARKS)).cast("int")
+    page, byte = (place() / _PAGE).cast("int"), F.shiftright(place() % _PAGE, 3)
+    marks = keys.select(page.alias("_page"), F.bitmap_bit_position(place() % _PAGE + 1).alias("_bit")).groupBy("_page")
+    marks = stored(marks.agg(F.bitmap_construct_agg("_bit").alias("_marks")), "marks")
+    found = df.join(F.broadcast(marks), page == F.col("_page"))
+    marked = F.conv(F.hex(F.col("_marks").substr(byte + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(marked, place() % 8) == 1).select(*df.columns)
+
+
 def _arrow(kind: str) -> pa.DataType:
     plain = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import groups, mixed, per_text, sequence_hashes, stored, texts, word_hashes
+from gradeloom.llm.common import groups, maybe_in, mixed, per_text, sequence_hashes, stored, texts, word_hashes
 
 SHINGLE = 3
 NEAR = (85, 100)
@@ -41,12 +41,12 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> bytes:
-    """Least value of each hash function over the set, 32 bits each."""
+    """Least value of each hash function over the set, its highest 16 bits."""
     least = np.full(SIZE, np.iinfo(np.uint64).max, _U)
     for i in range(0, len(found), 4096):
         part = found[i : i + 4096]
         np.minimum(least, (part[None, :] * _FACTORS[:, None] + _OFFSETS[:, None]).min(axis=1), out=least)
-    return (least >> _U(32)).astype(np.uint32).tobytes()
+    return (least >> _U(48)).astype(np.uint16).tobytes()
 
 
 def _same_prefix(a: np.ndarray, b: np.ndarray, depth: int = DEPTHS[0]) -> np.ndarray:
@@ -58,7 +58,7 @@ def _same_prefix(a: np.ndarray, b: np.ndarray, depth: int = DEPTHS[0]) -> np.nda
 def _prefix(depth: int):
     """Column: a key of the tree ``t`` and the first ``depth`` values of its order of the signature."""
     twice = F.concat("signature", "signature")
-    return F.xxhash64("tree", twice.substr(F.col("tree") * (4 * STEP) + 1, F.lit(4 * depth)))
+    return F.xxhash64("tree", twice.substr(F.col("tree") * (2 * STEP) + 1, F.lit(2 * depth)))
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -125,25 +125,24 @@ class _Group:
     """The documents of a pair of blocks, and which of their pairs this place has to compare."""
 
     def __init__(self, table: pa.Table):
-        self.prints = table["print"].to_pylist()
-        self.signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, SIZE)
+        self.signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SIZE)
         column = lambda n: table[n].to_numpy()
         self.rep, self.n, self.own = column("rep"), column("n_shingles"), column("own")
         self.component, self.hot = column("component"), column("hot")
         self.tree, self.depth, self.crossing = (table[n][0].as_py() for n in ("tree", "depth", "crossing"))
         self.one_block = table["first"][0].as_py() == table["second"][0].as_py()
 
-    def pairs(self) -> list[tuple[int, int]]:
-        """Pairs worth confirming, most alike first.
+    def pairs(self) -> np.ndarray:
+        """Pairs worth confirming, two columns of row numbers, most alike first.
 
         A pair shares several trees and is left to the first of those that are compared at the same depth. Pairs of
         large regions are only of interest if no small region held them and their components differ.
         """
-        found = []
+        found, scores = [np.zeros((0, 2), np.int32)], [np.zeros(0)]
         bits = np.int64(1) << np.arange(TREES, dtype=np.int64)
         small, large = self.n * NEAR[1], self.n * NEAR[0]
         for i in range(len(self.rep) - 1):
-            rest = np.arange(i + 1, len(self.rep))
+            rest = np.arange(i + 1, len(self.rep), dtype=np.int32)
             fits = (small[rest] >= large[i]) & (small[i] >= large[rest]) & (self.rep[rest] != self.rep[i])
             if not self.one_block:
                 fits &= self.own[rest] != self.own[i]
@@ -160,72 +159,70 @@ class _Group:
                 else:
                     mine = ~(shared & ~is_hot)[:, : self.tree].any(axis=1)
                 rest, alike = rest[mine], alike[mine]
-            found += zip(alike.tolist(), [i] * len(rest), rest.tolist())
-        found.sort(key=lambda f: (-f[0], f[1], f[2]))
-        return [(i, j) for _, i, j in found]
+            found.append(np.stack([np.full(len(rest), i, np.int32), rest], axis=1))
+            scores.append(alike)
+        found, scores = np.concatenate(found), np.concatenate(scores)
+        return found[np.argsort(-scores, kind="stable")]
 
 
-def _placed(members: DataFrame, facts: DataFrame, crossing: bool) -> DataFrame:
-    """Blocks beside what is known of their documents, rows of a place together."""
-    place = F.xxhash64("region", "depth", "first", "second")
-    rows = blocks(members).join(facts, "print").withColumn("place", place).withColumn("crossing", F.lit(crossing))
-    return rows.repartition("place").sortWithinPartitions("place", "print")
-
+def candidates(members: DataFrame, classes: DataFrame, hot: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Documents with a pair worth confirming, for each pair of blocks they have one in.
 
-def candidates(members: DataFrame, facts: DataFrame, crossing: bool) -> DataFrame:
-    """``(place, print)`` of the documents with a pair worth confirming at that place."""
+    With ``known`` components, only pairs across them count. What a place gets is bounded by two blocks.
+    """
+    place = F.xxhash64("region", "depth", "first", "second")
+    rows = blocks(members).withColumn("place", place)
+    met = maybe_in(classes, "print", members.select("print"))
+    rows = rows.join(met, "print").join(hot, "print", "left").withColumn("hot", F.coalesce("hot", F.lit(0).cast("long")))
+    rows = rows.withColumn("crossing", F.lit(known is not None))
+    if known is None:
+        rows = rows.withColumn("component", F.col("rep"))
+    else:
+        known = known.select(F.col("node").alias("rep"), F.col("component").alias("known"))
+        rows = rows.join(known, "rep", "left").withColumn("component", F.coalesce("known", "rep")).drop("known")
+    rows = rows.repartition("place").sortWithinPartitions("place", "print")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches):
-            group = _Group(table)
-            wanted = sorted({k for pair in group.pairs() for k in pair})
-            if wanted:
-                place = table["place"][0].as_py()
-                yield pa.RecordBatch.from_pydict(
-                    {"c_place": pa.array([place] * len(wanted), pa.int64()), "c_print": [group.prints[k] for k in wanted]}
-                )
+            wanted = np.unique(_Group(table).pairs())
+            if len(wanted):
+                yield from table.take(wanted).combine_chunks().to_batches()
 
-    return _placed(members, facts, crossing).mapInArrow(run, "c_place long, c_print binary")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(s_print, shingles)`` of the wanted ``(rep, print)``, read again from their texts."""
-    named = wanted.select(F.col("rep").alias("doc_id"), F.col("print").alias("w_print"))
-    rows = docs.select("doc_id", "text").join(named, "doc_id")
+    """``(print, shingles)`` of the wanted ``(rep, print)``, read again from their texts."""
+    named = wanted.select(F.col("rep").alias("doc_id"), F.col("print").alias("wanted"))
+    rows = maybe_in(docs.select("doc_id", "text"), "doc_id", named.select("doc_id")).join(named, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, sets = [], []
-            for text, wanted in zip(texts(batch), batch["w_print"].to_pylist()):
+            for text, wanted in zip(texts(batch), batch["wanted"].to_pylist()):
                 s = shingles(text)
                 if xxhash.xxh3_128_digest(s.tobytes()) == wanted:
                     prints.append(wanted)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["s_print", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["print", "shingles"])
 
-    found = rows.mapInArrow(run, "s_print binary, shingles binary")
-    return found
+    return rows.mapInArrow(run, "print binary, shingles binary")
 
 
-def confirmed(docs: DataFrame, members: DataFrame, facts: DataFrame, crossing: bool, name: str) -> DataFrame:
-    """``(a, b)``: links found among the members of regions, as many as hold their documents together.
+def confirmed(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``(a, b)``: links among candidates, as many as hold their documents together.
 
-    A place holds at most two blocks. Pairs are confirmed from the most alike on; pairs that earlier links of the place
-    connect already need no more work.
+    Pairs are confirmed from the most alike on; pairs that earlier links of the place connect need no more work.
     """
-    wanted = stored(candidates(members, facts, crossing), f"{name}-candidates")
-    reps = wanted.select(F.col("c_print").alias("print")).distinct().join(facts.select("print", "rep"), "print")
-    sets = stored(full_sets(docs, reps), f"{name}-sets").dropDuplicates(["s_print"])
-    rows = _placed(members, facts, crossing).join(
-        wanted, (F.col("place") == F.col("c_place")) & (F.col("print") == F.col("c_print")), "left_semi"
-    )
-    rows = rows.join(sets, F.col("print") == F.col("s_print")).repartition("place").sortWithinPartitions("place", "print")
+    found = stored(found, f"{name}-candidates")
+    sets = stored(full_sets(docs, found.select("rep", "print").distinct()), f"{name}-sets").dropDuplicates(["print"])
+    rows = found.join(sets, "print").repartition("place").sortWithinPartitions("place", "print")
     most, least = NEAR[1], NEAR[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches):
             group = _Group(table)
-            sets = [np.frombuffer(s, _U) for s in table["shingles"].to_pylist()]
+            sets = [np.frombuffer(s.as_buffer(), _U) for s in table["shingles"]]
             leader = list(range(len(sets)))
 
             def find(k):
@@ -288,18 +285,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
                                  F.first("signature").alias("signature")), "classes")
     small, large = regions(classes)
-    mask = F.bit_or(F.expr("shiftleft(1L, tree)")).alias("hot")
-    hot = large.groupBy("print").agg(mask)
-    facts = classes.join(hot, "print", "left").withColumn("hot", F.coalesce("hot", F.lit(0).cast("long")))
-    facts = stored(facts.withColumn("component", F.col("rep")), "facts")
-    links = confirmed(docs, small, facts, False, "near")
+    hot = stored(large.groupBy("print").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("hot")), "hot")
+    links = confirmed(docs, candidates(small, classes, hot, None), "near")
     found = stored(components(links), "components")
     if not large.isEmpty():
-        so_far = F.coalesce("c_component", "rep")
-        known = found.select(F.col("node").alias("c_node"), F.col("component").alias("c_component"))
-        facts = facts.join(known, facts["rep"] == known["c_node"], "left").withColumn("component", so_far)
-        facts = stored(facts.drop("c_node", "c_component"), "facts-again")
-        more = confirmed(docs, large, facts, True, "far")
+        more = confirmed(docs, candidates(large, classes, hot, found), "far")
         found = stored(components(links.unionByName(more)), "components")
     rows = signed.select("doc_id", "n_shingles", "print").join(
         classes.select(F.col("print").alias("k_print"), "rep"), F.col("print") == F.col("k_print"), "left"
