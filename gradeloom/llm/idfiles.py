@@ -13,6 +13,7 @@ Byte planes put the first bytes of all ids of a block together, then the second
 each bit. High planes are almost constant and shrink to nothing, low planes shrink by what ids repeat.
 """
 
+import re
 import struct
 import uuid
 import zlib
@@ -25,11 +26,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from gradeloom.llm.common import WordCache, once, stored, texts
+from gradeloom.llm.common import KEPT_WORDS, LONGEST_KEPT, once, stored, texts
 from gradeloom.session import scratch_path
 
 MAGIC = b"GLIDS001"
 BLOCK = 1 << 16
+TOGETHER = 256
+FRESH_WORDS = 200_000
+_SIGNS_LAST = re.compile(rb"([A-Za-z]+)([!-&(-/:;=-@\[-`{-~]+)")
 _TRAILER = "<8Q"
 KINDS = {"byte": 4, "bit": 32}
 
@@ -160,14 +164,67 @@ class Reader:
             start = end
 
 
-def encoder(tokenizer: str) -> WordCache:
-    """Ids of pieces of text between white space, as little-endian unsigned 32-bit numbers.
+class Encoder:
+    """Ids of texts, as little-endian unsigned 32-bit numbers.
 
-    This vocabulary drops white space and joins nothing across it, so a text's ids are those of its pieces in a row.
+    This vocabulary drops white space and joins nothing across it, so a text's ids are those of its pieces in a row, and
+    a piece met before is not encoded again. New pieces of letters alone are encoded together: each ends in exactly one
+    id that closes a word, which tells them apart again. Pieces met in two groups of texts stay longest; a fixed number
+    of short pieces is held.
     """
-    encode = Tokenizer.from_file(tokenizer).encode
-    make = lambda c: np.array(encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-    return WordCache(make)
+
+    def __init__(self, tokenizer: str):
+        loaded = Tokenizer.from_file(tokenizer)
+        self.ids = lambda text: np.array(loaded.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        end = loaded.model.end_of_word_suffix
+        self.closes = np.zeros(loaded.get_vocab_size(), bool)
+        self.closes[[i for piece, i in loaded.get_vocab().items() if end and piece.endswith(end)]] = True
+        self.kept: dict[bytes, bytes] = {}
+        self.fresh: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def pieces(text: bytes) -> list[bytes]:
+        """A text's pieces between white space, case dropped as by the vocabulary unless it may name a special token."""
+        return (text if b"<|" in text else text.lower()).split()
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces. Signs after Latin letters are words of their own, so a piece of both is made of two."""
+        ends = {w: m.groups() for w in words if (m := _SIGNS_LAST.fullmatch(w))}
+        known = lambda w: w in self.kept or w in self.fresh
+        todo = dict.fromkeys([w for w in words if w not in ends])
+        todo.update((part, None) for parts in ends.values() for part in parts if not known(part))
+        texts = {w: w.decode("utf-8", "replace") for w in todo}
+        plain = [w for w, t in texts.items() if t.isalpha()]
+        found: dict[bytes, bytes] = {}
+        for start in range(0, len(plain), 1024):
+            some = plain[start : start + 1024]
+            ids = self.ids(" ".join([texts[w] for w in some]))
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+                found |= {w: raw[a:b] for w, a, b in zip(some, cuts, cuts[1:])}
+        found |= {w: self.ids(t).tobytes() for w, t in texts.items() if w not in found}
+        of = lambda w: found.get(w) or self.kept.get(w) or self.fresh[w]
+        found |= {word: of(body) + of(signs) for word, (body, signs) in ends.items()}
+        return found
+
+    def encode(self, found: list[bytes]) -> list[bytes]:
+        split = [self.pieces(text) for text in found]
+        met = set().union(*split)
+        again = {w: self.fresh.pop(w) for w in met & self.fresh.keys()}
+        new = self._new(sorted(met.difference(self.kept, again)))
+        if len(self.kept) + len(again) > KEPT_WORDS:
+            again |= {w: self.kept[w] for w in met & self.kept.keys()}
+            self.kept.clear()
+        self.kept.update(again)
+        self.kept.update(new)
+        out = [b"".join(map(self.kept.__getitem__, words)) for words in split]
+        for word in new:
+            del self.kept[word]
+        if len(self.fresh) + len(new) > FRESH_WORDS:
+            self.fresh.clear()
+        self.fresh.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST_KEPT)
+        return out
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, kind: str = "byte") -> DataFrame:
@@ -186,13 +243,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = once(("ids", tokenizer), lambda: encoder(tokenizer)), None
-        for batch in batches:
-            for part, doc_id, text in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), texts(batch)):
-                if out is None:
-                    number, path = part, f"{folder}/ids-{part:06d}.bin"
-                    out = Writer(path, kind)
-                out.add(doc_id, b"".join(map(cache.__getitem__, text.split())) + last)
+        encoder, out = once(("ids", tokenizer), lambda: Encoder(tokenizer)), None
+        for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
+            if out is None:
+                number = batch["part"][0].as_py()
+                path = f"{folder}/ids-{number:06d}.bin"
+                out = Writer(path, kind)
+            for doc_id, raw in zip(batch["doc_id"].to_pylist(), encoder.encode(texts(batch))):
+                out.add(doc_id, raw + last)
         if out is not None:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [number], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
