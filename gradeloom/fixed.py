@@ -83,3 +83,5 @@ RUNNER_PROFILES = [
 MEMORIZED_AT = 0.05
 REWRITE_BATCH = 20
 MAX_TOKENS = 256
+# Decoding settings of the memorization check.
+MEMORIZATION_SETTINGS = {"max_tokens": "64", "temperature": "0"}

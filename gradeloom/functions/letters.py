@@ -17,9 +17,12 @@ def first_paragraph(cleaned: Column) -> Column:
 
 
 def last_letter(num_answers: Column) -> Column:
-    """The last letter a question with that many options has; no options means the whole alphabet."""
+    """The last letter a question with that many options has; no options means the whole alphabet.
+
+    Null for an unknown number, or one beyond the alphabet: nothing is read from such a row.
+    """
     size = F.when(num_answers == 0, F.lit(len(fixed.LETTERS))).otherwise(num_answers)
-    return F.substr(F.lit(fixed.LETTERS), size, F.lit(1))
+    return F.when(size.between(1, len(fixed.LETTERS)), F.substr(F.lit(fixed.LETTERS), size, F.lit(1)))
 
 
 def parenthesized(cleaned: Column, last: Column) -> Column:

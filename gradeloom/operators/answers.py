@@ -18,7 +18,7 @@ def extract_answers(
 ) -> DataFrame:
     """Add the sorted distinct answer letters and ``defaulted``, set when none was found.
 
-    ``num_answers`` names the column with the number of options; without it five are assumed. The
+    Both are null where the number of options is null or beyond the alphabet. ``num_answers`` names the column with the number of options; without it five are assumed. The
     steps are separate columns so that each pattern runs once per row.
     """
     size = F.col(num_answers) if num_answers else F.lit(fixed.DEFAULT_OPTIONS)
@@ -35,11 +35,11 @@ def extract_answers(
             ),
         )
     )
-    empty = F.size("_found") == 0
+    empty = F.when(F.col("_last").isNotNull(), F.size("_found") == 0)
     return (
         read.withColumn(
             output,
-            F.when(empty, F.array(F.lit(fixed.DEFAULT_LABEL))).otherwise(letters.letter_set(F.col("_found"))),
+            F.when(empty, F.array(F.lit(fixed.DEFAULT_LABEL))).when(~empty, letters.letter_set(F.col("_found"))),
         )
         .withColumn("defaulted", empty)
         .drop("_clean", "_last", "_found")
@@ -56,10 +56,11 @@ PROFILE_FIELDS = (
 )
 
 
-def with_profiles(df: DataFrame, profile: str = "profile") -> DataFrame:
+def with_profiles(df: DataFrame, profile: str = "profile", kind: str | None = None) -> DataFrame:
     """Attach each row's profile settings, null for an unknown profile.
 
-    Fifteen fixed profiles are a literal in the expression: no join, and for a profile that is itself
+    ``kind`` names a column with the kind of call of a hosted model: chat models get a message list, completion models
+    the plain prompt, whatever the profile's own wrapper. Without it, or where it is null, the profile decides. Fifteen fixed profiles are a literal in the expression: no join, and for a profile that is itself
     a literal, constants.
     """
     entries = []
@@ -69,9 +70,13 @@ def with_profiles(df: DataFrame, profile: str = "profile") -> DataFrame:
             for field, value in zip(PROFILE_FIELDS, values)
         ]
         entries += [F.lit(name), F.struct(*settings)]
-    return df.withColumn("_settings", F.try_element_at(F.create_map(*entries), F.col(profile))).select(
+    rows = df.withColumn("_settings", F.try_element_at(F.create_map(*entries), F.col(profile))).select(
         *df.columns, "_settings.*"
     )
+    if kind is None:
+        return rows
+    by_kind = F.when(F.col(kind) == "chat", F.lit("user")).when(F.col(kind) == "completion", F.lit("plain"))
+    return rows.withColumn("wrapper", F.coalesce(by_kind, "wrapper"))
 
 
 def wrapped_prompt(wrapper: Column, prompt: Column) -> tuple[Column, Column]:

@@ -12,9 +12,18 @@ def template_text(template_id: Column, templates: dict[str, str] | None = None)
     return F.try_element_at(F.create_map(*pairs), template_id)
 
 
+MOST_TEMPLATES = 10_000
+
+
 def with_templates(corpus: DataFrame, templates: DataFrame) -> DataFrame:
-    """Attach ``template`` from a ``(template_id, template)`` table; Spark picks the join by size."""
-    return corpus.join(templates.select("template_id", "template"), "template_id")
+    """Attach ``template`` from a ``(template_id, template)`` table; null where the table lacks the id.
+
+    A favourite template is on most rows. The table goes to all tasks if it has at most ``MOST_TEMPLATES`` rows, which
+    is counted; a larger one is joined by key, and adaptive execution splits the favourite.
+    """
+    table = templates.select("template_id", "template")
+    small = table.limit(MOST_TEMPLATES + 1).count() <= MOST_TEMPLATES
+    return corpus.join(F.broadcast(table) if small else table, "template_id", "left")
 
 
 def linearized(style: str, **options) -> Column:
@@ -38,24 +47,39 @@ def render_prompts(
     return corpus.withColumn("prompt", apply_template(template_text(key, templates), body))
 
 
-def few_shot_block(pool: DataFrame, shots: int, order_by: str = "id", *, style: str = "gold") -> DataFrame:
-    """One row with the first ``shots`` questions of the pool, rendered with their answers.
+def few_shot_block(
+    pool: DataFrame, shots: int | None = None, order_by: str = "id", *, style: str = "gold", **options
+) -> DataFrame:
+    """One row with the pool's questions rendered with their answers, in order.
 
-    ``shots`` is how many examples the prompt shows; Spark takes them with a distributed top-k, so the
-    pool may be any size.
+    A chosen pool is shown whole. ``shots`` is how many examples the prompt shows of a larger one; Spark takes the first
+    with a distributed top-k, so that pool may be any size.
     """
-    shown = pool.select(F.col(order_by).alias("ord"), linearized(style).alias("txt")).orderBy("ord").limit(shots)
+    shown = pool.select(F.col(order_by).alias("ord"), linearized(style, **options).alias("txt"))
+    if shots is not None:
+        shown = shown.orderBy("ord").limit(shots)
     rows = F.sort_array(F.collect_list(F.struct("ord", "txt")))
     return shown.agg(F.array_join(F.transform(rows, lambda r: r["txt"]), "\n\n").alias("block"))
 
 
 def few_shot_prompts(
-    corpus: DataFrame, pool: DataFrame, shots: int, template_id: str = "0", *, order_by: str = "id"
+    corpus: DataFrame,
+    pool: DataFrame,
+    shots: int | None = None,
+    template_id: str | Column = "0",
+    *,
+    order_by: str = "id",
+    style: str = "gold",
+    templates: dict[str, str] | None = None,
+    **options,
 ) -> DataFrame:
     """Add ``prompt``: the shots, then the open question, separated by blank lines.
 
-    The block is a scalar subquery: computed once and used as a constant, without a join.
+    ``style`` is that of the shots' answers; ``options`` go to shots and question alike. The pool should not hold the
+    questions asked, or they show their own answer. The block is a scalar subquery: computed once and used as a
+    constant, without a join.
     """
-    block = few_shot_block(pool, shots, order_by).scalar()
-    body = F.array_join(F.array(F.nullif(block, F.lit("")), linearized("open")), "\n\n")
-    return corpus.withColumn("prompt", apply_template(template_text(F.lit(template_id)), body))
+    key = F.lit(template_id) if isinstance(template_id, str) else template_id
+    block = few_shot_block(pool, shots, order_by, style=style, **options).scalar()
+    body = F.array_join(F.array(F.nullif(block, F.lit("")), linearized("open", **options)), "\n\n")
+    return corpus.withColumn("prompt", apply_template(template_text(key, templates), body))

@@ -26,23 +26,33 @@ def explode_fields(corpus: DataFrame, key: str = "id") -> DataFrame:
 def gather_fields(cells: DataFrame, carried: DataFrame, key: str = "id") -> DataFrame:
     """Put cells back into rows and bring the other columns along.
 
-    Cells shrink to one per key and path first, so the list built per key is never longer than a
-    question has fields, however often a cell repeats.
+    Cells are shuffled once; equal ones are dropped before that, however often they repeat. Where a path has several
+    cells, the one largest by place and text counts. ``rewrite_fields`` does without any shuffle and is the form to take
+    unless the cells really are rows of a table.
     """
-    one_each = cells.groupBy(key, "path").agg(F.max(F.struct("pos", "text")).alias("cell"))
-    is_question = F.col("path") == QUESTION
-    option = F.struct(
-        F.col("cell.pos").alias("pos"),
-        F.substr("path", F.lit(len(OPTION_PREFIX) + 1)).alias("key"),
-        F.col("cell.text").alias("value"),
+    cell = F.struct("path", "pos", "text")
+    rows = cells.groupBy(key).agg(F.collect_set(cell).alias("_cells"))
+
+    def last(path):
+        return F.array_max(
+            F.transform(F.filter("_cells", lambda c: c["path"] == path), lambda c: F.struct(c["pos"], c["text"]))
+        )
+
+    paths = F.array_distinct(F.transform("_cells", lambda c: c["path"]))
+    options = F.filter(paths, lambda p: p != QUESTION)
+    placed = F.array_sort(
+        F.transform(
+            options,
+            lambda p: F.struct(
+                last(p)["pos"].alias("pos"), F.substr(p, F.lit(len(OPTION_PREFIX) + 1)).alias("key"), last(p)["text"].alias("value")
+            ),
+        )
     )
-    rows = one_each.groupBy(key).agg(
-        F.max(F.when(is_question, F.col("cell.text"))).alias("question"),
-        F.sort_array(F.collect_list(F.when(~is_question, option))).alias("_options"),
-    )
-    entries = F.transform("_options", lambda o: F.struct(o["key"], o["value"]))
+    entries = F.transform(placed, lambda o: F.struct(o["key"], o["value"]))
     rest = carried.drop("question", "answers")
-    return rows.withColumn("answers", F.map_from_entries(entries)).drop("_options").join(rest, key)
+    return rows.select(
+        key, last(F.lit(QUESTION))["text"].alias("question"), F.map_from_entries(entries).alias("answers")
+    ).join(rest, key)
 
 
 def rewrite_fields(

@@ -1,5 +1,7 @@
 """Joining predictions to references, and the scores over them."""
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions import letters
@@ -107,54 +109,54 @@ def label_histogram(predictions: DataFrame, label: str = "n_labels", by: str = "
     return predictions.groupBy(by, label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def pair_frame(predictions: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """One row per id with each named run's answer key in a column of its own.
+def _compared(predictions: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``(id, run_a, run_b, in_a, in_b, same)``: each id once for each asked pair.
 
-    A conditional aggregate: rows shrink to one per id and task before the shuffle, and no pair of
-    rows is ever built.
+    An id's answers meet in one row, and the pairs are one constant exploded there, so the plan is the same for any
+    number of pairs and no pair of rows is ever joined. Of several answers of a run to an id the largest counts. A null
+    answer is an answer that equals nothing.
     """
     runs = sorted({run for pair in pairs for run in pair})
-    key = letters.agreement_key(F.col("answer"))
-    return predictions.groupBy("id").agg(*[F.max(F.when(F.col("run") == r, key)).alias(f"run:{r}") for r in runs])
+    asked = json.dumps([{"run_a": a, "run_b": b} for a, b in pairs])
+    answered = F.struct(F.col("run").alias("run"), letters.agreement_key(F.col("answer")).alias("key"))
+    found = predictions.where(F.col("run").isin(runs)).groupBy("id").agg(F.collect_set(answered).alias("_found"))
+
+    def of(run):
+        return F.transform(F.filter("_found", lambda e: e["run"] == run), lambda e: e["key"])
+
+    names = F.array_distinct(F.transform("_found", lambda e: e["run"]))
+    keys = F.map_from_entries(F.transform(names, lambda r: F.struct(r, F.array_max(of(r)))))
+    pair = F.explode(F.from_json(F.lit(asked), "array<struct<run_a:string,run_b:string>>")).alias("pair")
+    rows = found.select("id", keys.alias("_keys")).select("id", "_keys", pair).select("id", "_keys", "pair.*")
+    equal = F.try_element_at("_keys", F.col("run_a")) == F.try_element_at("_keys", F.col("run_b"))
+    return rows.select(
+        "id",
+        "run_a",
+        "run_b",
+        F.map_contains_key("_keys", F.col("run_a")).alias("in_a"),
+        F.map_contains_key("_keys", F.col("run_b")).alias("in_b"),
+        F.coalesce(equal, F.lit(False)).alias("same"),
+    )
 
 
 def pairwise_runs(predictions: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``(run_a, run_b, id, same)`` for the asked pairs of runs, on ids both runs have."""
-    wide = pair_frame(predictions, pairs)
-    compared = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("run_a"),
-                F.lit(b).alias("run_b"),
-                (F.col(f"`run:{a}`") == F.col(f"`run:{b}`")).alias("same"),
-            )
-            for a, b in pairs
-        ]
-    )
-    return (
-        wide.select("id", F.explode(compared).alias("pair"))
-        .select("pair.run_a", "pair.run_b", "id", "pair.same")
-        .where(F.col("same").isNotNull())
-    )
+    return _compared(predictions, pairs).where("in_a AND in_b").select("run_a", "run_b", "id", "same")
 
 
 def agreement(predictions: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Share of equal answers per pair of runs, with the ids only one of them has counted beside it."""
-    wide = pair_frame(predictions, pairs)
-    summary = []
-    for a, b in pairs:
-        left, right = F.col(f"`run:{a}`"), F.col(f"`run:{b}`")
-        summary.append(
-            F.struct(
-                F.lit(a).alias("run_a"),
-                F.lit(b).alias("run_b"),
-                F.count_if(left.isNotNull() & right.isNotNull()).alias("n"),
-                F.count_if(left.isNotNull() & right.isNull()).alias("only_a"),
-                F.count_if(left.isNull() & right.isNotNull()).alias("only_b"),
-                F.avg((left == right).cast("double")).alias("agreement"),
-            )
+    both = F.col("in_a") & F.col("in_b")
+    return (
+        _compared(predictions, pairs)
+        .groupBy("run_a", "run_b")
+        .agg(
+            F.count_if(both).alias("n"),
+            F.count_if(F.col("in_a") & ~F.col("in_b")).alias("only_a"),
+            F.count_if(~F.col("in_a") & F.col("in_b")).alias("only_b"),
+            F.avg(F.when(both, F.col("same").cast("double"))).alias("agreement"),
         )
-    return wide.agg(F.array(*summary).alias("pairs")).select(F.inline("pairs"))
+    )
 
 
 def confusion(joined: DataFrame, predicted: str, reference: str, by: str = "run") -> DataFrame:
@@ -169,8 +171,9 @@ def class_counts(
 ) -> DataFrame:
     """Hits, predictions and support per run and class.
 
-    Classes are those seen on either side, or exactly ``labels`` if given. All rows collapse to the
-    confusion counts first, so what follows works on classes squared.
+    Classes are those seen on either side, or exactly ``labels`` if given. A missing class is none: a row without a
+    predicted one counts for its reference class as not found. All rows collapse to the confusion counts first, so what
+    follows works on classes squared.
     """
     zero = F.lit(0).cast("long")
     hit = F.when(F.col("ref") == F.col("pred"), F.col("n")).otherwise(zero)
@@ -185,6 +188,7 @@ def class_counts(
     counts = (
         confusion(joined, predicted, reference, by)
         .select(by, F.inline(F.array(*sides)))
+        .where(F.col("label").isNotNull())
         .groupBy(by, "label")
         .agg(*[F.sum(c).alias(c) for c in ("hits", "predicted", "support")])
     )

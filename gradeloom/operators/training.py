@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gradeloom import fixed
 from gradeloom.operators.prompts import render_prompts
 
-MOST_BUCKETS = 65536
 COPIES_AT_ONCE = 65536  # copies of one row that one task numbers in one go
 
 
@@ -62,16 +61,40 @@ def completion_span(df: DataFrame, text: str = "text", marker: str = fixed.COMPL
     )
 
 
+def shuffle_by_key(df: DataFrame, key: str, seed: int, *, bucket_digits: int = 4) -> DataFrame:
+    """``(key, position)``: a random order of rows told apart by a unique key, the same for the same seed.
+
+    Only the key is shuffled, never the row: join the positions, or sort by them, when the rows are needed. Rows that
+    share a key follow one another.
+    """
+    hashed = df.select(key, F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))).alias("_hash"))
+    return _positions(hashed, [key], bucket_digits)
+
+
+def _positions(hashed: DataFrame, columns: list[str], bucket_digits: int) -> DataFrame:
+    """Positions by ``_hash`` as the size of the hash buckets before a row's own plus its rank in its own."""
+    if not 1 <= bucket_digits <= 4:
+        raise ValueError("bucket_digits must be 1 to 4: the bucket sizes are sent to all tasks")
+    hashed = hashed.withColumn("_bucket", F.substr("_hash", F.lit(1), F.lit(bucket_digits)))
+    sizes = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *columns))
+    return (
+        hashed.withColumn("_rank", rank)
+        .join(F.broadcast(offsets), "_bucket")
+        .select(*columns, (F.col("_offset") + F.col("_rank")).alias("position"))
+    )
+
+
 def shuffle_rows(df: DataFrame, columns: list[str], seed: int, *, bucket_digits: int = 4) -> DataFrame:
-    """Add ``position``: a random order of all rows that the same seed gives again.
+    """Add ``position``: a random order of all rows that the same seed gives again, for rows without a key.
 
-    ``columns`` (text) tell rows apart. Equal rows are counted first and numbered, many copies by several
+    With a key, :func:`shuffle_by_key` moves far less. ``columns`` (text) tell rows apart. Equal rows are counted first and numbered, many copies by several
     tasks, so that copies get different hashes and spread over all buckets. A row's position is the
     size of the hash buckets before its own, at most 16 ** ``bucket_digits`` numbers, plus its rank in
     its own bucket, so no task ever sorts the whole table.
     """
-    if not 1 <= bucket_digits <= 4:
-        raise ValueError("bucket_digits must be 1 to 4: the bucket sizes are sent to all tasks")
     chunk = COPIES_AT_ONCE
     zero = F.lit(0).cast("long")
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
@@ -86,43 +109,27 @@ def shuffle_rows(df: DataFrame, columns: list[str], seed: int, *, bucket_digits:
         once.unionByName(often)
         .withColumn("_copy", F.explode(F.sequence(F.col("_first"), last)))
         .withColumn("_hash", F.md5(F.concat_ws(":", *columns, F.lit(str(seed)), F.col("_copy").cast("string"))))
-        .withColumn("_bucket", F.substr("_hash", F.lit(1), F.lit(bucket_digits)))
-        .select(*columns, "_hash", "_bucket")
-    )
-    sizes = copies.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *columns))
-    return (
-        copies.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), "_bucket")
-        .select(*columns, (F.col("_offset") + F.col("_rank")).alias("position"))
+        .select(*columns, "_hash")
     )
+    return _positions(copies, columns, bucket_digits)
 
 
-def length_batches(
-    df: DataFrame,
-    key: str,
-    length: str,
-    *,
-    batch_size: int,
-    width: int = 16,
-    group_rows: int = 1_000_000,
-) -> DataFrame:
-    """Add ``length_bucket``, ``salt`` and ``batch``: batches of rows of similar length.
+def length_batches(df: DataFrame, key: str, length: str, *, batch_size: int, width: int = 16) -> DataFrame:
+    """Add ``length_bucket`` and ``batch``: batches of rows of similar length, in random order within a bucket.
 
-    Rows of a bucket are numbered and cut into batches. A bucket with more than ``group_rows`` rows is
-    first split by the hash of its unique key, so that a favourite length is numbered by many tasks;
-    each split may end in one short batch. Lengths are read twice, so ``length`` should be a stored
-    column. The longest rows share the last of ``MOST_BUCKETS`` buckets, which bounds the table of
-    bucket sizes that is sent to all tasks.
+    Rows of a bucket are numbered by the hash of their unique key and cut into batches, so a bucket has one short batch
+    at most. Numbers are the sizes of 256 ranges of the hash before a row's own plus its rank in that range, so that a
+    favourite length is numbered by many tasks. Lengths are read twice and should be a stored column.
     """
-    bucket = F.least(F.floor(F.col(length) / width), F.lit(MOST_BUCKETS - 1))
-    bucketed = df.withColumn("length_bucket", bucket)
-    splits = bucketed.groupBy("length_bucket").agg(
-        F.ceil(F.count(F.lit(1)) / group_rows).cast("long").alias("_splits")
+    bucketed = df.withColumn("length_bucket", F.floor(F.col(length) / width))
+    hashed = bucketed.withColumn("_hash", F.md5(F.col(key).cast("string"))).withColumn("_range", F.substr("_hash", F.lit(1), F.lit(2)))
+    sizes = hashed.groupBy("length_bucket", "_range").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy("length_bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("length_bucket", "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("length_bucket", "_range").orderBy("_hash", key))
+    return (
+        hashed.withColumn("_rank", rank)
+        .join(offsets, ["length_bucket", "_range"])
+        .withColumn("batch", F.floor((F.col("_offset") + F.col("_rank") - 1) / batch_size))
+        .select(*bucketed.columns, "batch")
     )
-    hashed = F.conv(F.substr(F.md5(F.col(key).cast("string")), F.lit(1), F.lit(8)), 16, 10).cast("long")
-    salted = bucketed.join(F.broadcast(splits), "length_bucket").withColumn("salt", F.pmod(hashed, F.col("_splits")))
-    place = F.row_number().over(Window.partitionBy("length_bucket", "salt").orderBy(length, key))
-    return salted.withColumn("batch", F.floor((place - 1) / batch_size)).drop("_splits")

@@ -12,7 +12,6 @@ from gradeloom import fixed
 from gradeloom.functions.prompts import gold_letters
 
 RUNS = ("strict", "broad", "status")
-MOST_LINES = 7  # an order of this benchmark schema has line numbers 1 to 7
 PAIRS = [("broad", "strict"), ("broad", "status"), ("status", "strict")]
 
 
@@ -35,41 +34,41 @@ def _letter_at(position: Column) -> Column:
     return F.char(position + ord("a"))
 
 
-def _letters_in(mask: str) -> Column:
-    """Letters of the line numbers set in ``mask``, counted among those set in ``present``."""
-    letters = []
-    for line in range(1, MOST_LINES + 1):
-        rank = F.bit_count(F.col("present").bitwiseAND(F.lit((2 << line) - 1)))
-        letters.append(F.when(F.getbit(mask, F.lit(line)) == 1, F.substr(F.lit(fixed.LETTERS), rank, F.lit(1))))
-    none = F.col(mask) == 0
-    return F.split(F.when(none, F.lit(fixed.DEFAULT_LABEL)).otherwise(F.concat_ws("|", *letters)), r"\|")
+MARKS = {
+    "gold": lambda line: line["returned"] == "R",
+    "strict": lambda line: (line["returned"] == "R") & (line["filled"] == "F"),
+    "broad": lambda line: line["returned"] != "N",
+    "status": lambda line: line["filled"] == "F",
+}
+
+
+def _line_numbers(lines) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(lines, lambda x: x["line"])))
+
+
+def _labels(marked) -> Column:
+    """Letters of the marked line numbers among all of an order, ``a`` if none is marked."""
+    numbers = F.array_distinct(F.transform(F.filter("lines", marked), lambda x: x["line"]))
+    letters = F.transform("numbers", lambda n, i: F.struct(n.alias("n"), _letter_at(i).alias("letter")))
+    found = F.transform(F.filter(letters, lambda x: F.array_contains(numbers, x["n"])), lambda x: x["letter"])
+    return F.when(F.size(found) == 0, F.array(F.lit(fixed.DEFAULT_LABEL))).otherwise(found)
 
 
 def answer_sheet(t: Tables) -> DataFrame:
     """One row per order: number of options, gold letters and the letters of each run.
 
-    Line numbers are bits of a number, so all of it is one aggregation whose rows shrink to one per
-    order and task before the shuffle.
+    Distinct lines are gathered in one aggregation, combined before the shuffle; whichever columns are asked for, the
+    aggregation is the same, so a plan that uses the sheet twice shuffles it once. Orders may have any number of lines.
     """
-    returned, filled = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
-    bit = F.expr("shiftleft(1L, l_linenumber)")
-    marks = {
-        "gold": returned,
-        "strict": returned & filled,
-        "broad": F.col("l_returnflag") != "N",
-        "status": filled,
-    }
-    masks = t("lineitem").groupBy(F.col("l_orderkey").alias("okey")).agg(
-        F.bit_or(bit).alias("present"),
-        *[F.coalesce(F.bit_or(F.when(mark, bit)), F.lit(0).cast("long")).alias(name) for name, mark in marks.items()],
+    line = F.struct(
+        F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("returned"), F.col("l_linestatus").alias("filled")
     )
-    return masks.select(
+    orders = t("lineitem").groupBy(F.col("l_orderkey").alias("okey")).agg(F.collect_set(line).alias("lines"))
+    return orders.withColumn("numbers", _line_numbers("lines")).select(
         "okey",
         question_id(F.col("okey")).alias("id"),
-        F.when(F.col("present") < (2 << MOST_LINES), F.bit_count("present").cast("long"))
-        .otherwise(F.raise_error(F.lit("an order has a line number above the most expected")))
-        .alias("n_options"),
-        *[_letters_in(name).alias(name) for name in marks],
+        F.size("numbers").cast("long").alias("n_options"),
+        *[_labels(marked).alias(name) for name, marked in MARKS.items()],
     )
 
 
@@ -99,35 +98,40 @@ def stored_answers(t: Tables) -> DataFrame:
     return predictions(t).select("run", "id", F.array_join("labels", "|").alias("answer"))
 
 
+def _option(number: Column, i: Column) -> Column:
+    """The option of a line number: its letter, text, and the text a model would recall."""
+    same = F.filter("lines", lambda x: x["line"] == number)
+    part = F.array_max(F.transform(same, lambda x: x["part"]))
+    known = F.exists(same, lambda x: x["filled"] == "F")
+    return F.struct(
+        _letter_at(i).alias("letter"),
+        part["p_name"].alias("text"),
+        F.when(known, part["p_name"])
+        .otherwise(F.concat(F.lower(part["p_type"]), F.lit(" "), part["p_name"]))
+        .alias("recalled"),
+        F.exists(same, lambda x: x["returned"] == "R").alias("gold"),
+    )
+
+
 def questions(t: Tables) -> DataFrame:
-    """Questions with order columns beside them; lines that repeat a number count once."""
-    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("l_partkey").alias("p_partkey"),
-        F.max(F.col("l_returnflag") == "R").alias("gold"),
-        F.max(F.col("l_linestatus") == "F").alias("known"),
+    """Questions with order columns beside them; lines that repeat a number count once, with their largest part.
+
+    Lines are shuffled once, by order, after their part is joined to them; orders are joined where they are then.
+    """
+    part = F.struct("p_partkey", "p_name", "p_type").alias("part")
+    line = F.struct(
+        F.col("l_linenumber").alias("line"), part, F.col("l_returnflag").alias("returned"), F.col("l_linestatus").alias("filled")
     )
-    option = F.struct("l_linenumber", "p_name", "p_type", "gold", "known")
     sheets = (
-        lines.join(t("part").select("p_partkey", "p_name", "p_type"), "p_partkey")
+        t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.sort_array(F.collect_list(option)).alias("lines"))
+        .agg(F.collect_set(line).alias("lines"))
+        .withColumn("options", F.transform(_line_numbers("lines"), _option))
     )
     orders = t("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    options = F.transform(
-        "lines",
-        lambda o, i: F.struct(
-            _letter_at(i).alias("letter"),
-            o["p_name"].alias("text"),
-            F.when(o["known"], o["p_name"])
-            .otherwise(F.concat(F.lower(o["p_type"]), F.lit(" "), o["p_name"]))
-            .alias("recalled"),
-            o["gold"].alias("gold"),
-        ),
-    )
     right = F.transform(F.filter("options", lambda o: o["gold"]), lambda o: o["letter"])
     return (
         sheets.join(orders, "o_orderkey")
-        .withColumn("options", options)
         .select(
             question_id(F.col("o_orderkey")).alias("id"),
             F.concat(
@@ -165,6 +169,16 @@ def generations(t: Tables) -> DataFrame:
     return rows.select("run", "id", "n_options", "gold", text.alias("generated"))
 
 
+def part_answers(t: Tables) -> DataFrame:
+    """``(run, id, answer)`` of many runs over parts: not every run has every part, and some answers are missing."""
+    lines = t("lineitem")
+    run = F.concat("l_returnflag", "l_linestatus", F.lit("/"), (F.col("l_linenumber") % 3).cast("string"))
+    most = F.max("l_linenumber")
+    return lines.groupBy(run.alias("run"), F.col("l_partkey").cast("string").alias("id")).agg(
+        F.when(most <= 6, _letter_at(most)).alias("answer")
+    )
+
+
 def turn_pairs(t: Tables) -> DataFrame:
     """Each turn of a conversation with the turn after it."""
     turns = t("conversations")

@@ -196,10 +196,12 @@ stored AS (
 )
 
 _PAIRS = """
-pairs(run_a, run_b) AS (VALUES ('broad', 'strict'), ('broad', 'status'), ('status', 'strict')),
 compared AS (
-  SELECT run_a, run_b, a.id, a.labels = b.labels AS same
-  FROM pairs JOIN pred a ON a.run = run_a JOIN pred b ON b.run = run_b AND a.id = b.id)"""
+  SELECT id, unnest([
+    {'run_a': 'broad', 'run_b': 'strict', 'same': broad = strict},
+    {'run_a': 'broad', 'run_b': 'status', 'same': broad = status},
+    {'run_a': 'status', 'run_b': 'strict', 'same': status = strict}]) AS c
+  FROM sheet)"""
 
 _REPORT = """
 counted AS (
@@ -278,7 +280,8 @@ prompted AS (
 written AS (SELECT *, {head} || {tail} AS reply, {_MARKED_GOLD} AS marked_gold FROM prompted),
 cut AS (
   SELECT id, profile, coalesce(assumed, n_options) AS size, stop,
-    CASE wrapper WHEN 'plain' THEN prompt WHEN 'user' THEN 'user: ' || prompt
+    CASE wrapper WHEN 'plain' THEN prompt
+      WHEN 'user' THEN CASE WHEN profile = 'api' AND substr(id, 1, 1) >= '8' THEN prompt ELSE 'user: ' || prompt END
       WHEN 'prompter' THEN '{before}' || prompt || '{after}'
       ELSE 'system: {fixed.SYSTEM_TEXT}' || chr(10) || 'user: ' || prompt END AS sent,
     CASE mode WHEN 'none' THEN prompt || reply WHEN 'echo' THEN reply WHEN 'echo_first_line' THEN ' (a)'
@@ -345,14 +348,26 @@ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_r
         _MCQ, f"SELECT id, {_templated(_OPEN)} AS prompt_fr, {_templated(_OPEN, 'en/0')} AS prompt_en FROM mcq"
     ),
     "render_from_table": _with(
-        _MCQ, f"SELECT id, o_orderstatus || ': ' || {_OPEN} || chr(10) || o_orderstatus AS prompt FROM mcq"
+        _MCQ,
+        f"SELECT id, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus || ': ' || {_OPEN} || chr(10) || o_orderstatus END "
+        "AS prompt FROM mcq",
     ),
     "few_shot_prompt": _with(
         _MCQ
         + f""",
-shots AS (SELECT id, {_GOLD} AS txt FROM mcq ORDER BY id LIMIT 3),
+shots AS (SELECT id, {_GOLD_FULL} AS txt FROM mcq WHERE o_orderstatus = 'P' ORDER BY id LIMIT 3),
 block AS (SELECT string_agg(txt, chr(10) || chr(10) ORDER BY id) AS txt FROM shots)""",
-        f"SELECT id, {_templated(f'((SELECT txt FROM block) || chr(10) || chr(10) || {_OPEN})')} AS prompt FROM mcq",
+        f"SELECT id, {_templated(f"(coalesce((SELECT txt FROM block) || chr(10) || chr(10), '') || {_OPEN} || ' (')")} "
+        "AS prompt FROM mcq WHERE o_orderstatus <> 'P'",
+    ),
+    "few_shot_whole_pool": _with(
+        _MCQ
+        + f""",
+block AS (
+  SELECT string_agg({_GOLD}, chr(10) || chr(10) ORDER BY id) AS txt FROM mcq
+  WHERE okey % 5000 = 1 AND o_orderpriority = '1-URGENT')""",
+        f"SELECT id, {_templated(f"(coalesce((SELECT txt FROM block) || chr(10) || chr(10), '') || {_OPEN})", 'en/0')} "
+        "AS prompt FROM mcq WHERE o_orderpriority = '2-HIGH'",
     ),
     "chat_messages": _with(
         _MCQ + f",\nprompted AS (SELECT id, {_templated(_OPEN)} AS prompt FROM mcq)",
@@ -477,7 +492,7 @@ answered AS (SELECT id, {_STUB.format('prompt')} AS generated FROM prompted),"""
     "join_predictions": _with(
         _PREDICTIONS, f"SELECT run, id, {_joined('labels')} AS labels, {_joined('gold')} AS gold FROM pred"
     ),
-    "pairwise_runs": _with(_PREDICTIONS + "," + _PAIRS, "SELECT run_a, run_b, id, same FROM compared"),
+    "pairwise_runs": _with(_SHEET + "," + _PAIRS, "SELECT c.run_a AS run_a, c.run_b AS run_b, id, c.same AS same FROM compared"),
     "check_ids": _with(
         _SHEET
         + """,
@@ -526,15 +541,37 @@ WHERE place = 1""".strip(),
         _MCQ
         + f""",
 prompted AS (SELECT 'stub' AS run, id, n_options, correct AS gold, {_templated(_OPEN)} AS prompt FROM mcq),
+answered AS (SELECT run, id, n_options, gold, {_STUB.format('prompt')} AS generated FROM prompted),"""
+        + _extract("answered", "run, id, n_options, gold", _clean("generated"), "n_options"),
+        f"SELECT run, {_SCORES}, {_PER_OPTION}, count(*) FILTER (defaulted) AS n_defaulted FROM extracted GROUP BY run",
+    ),
+    "score_throttled_run": _with(
+        _MCQ
+        + f""",
+prompted AS (SELECT 'hosted' AS run, id, n_options, correct AS gold, 'Q: ' || {_OPEN} AS prompt FROM mcq),
 answered AS (SELECT run, id, n_options, gold, {_STUB.format('prompt')} AS generated FROM prompted),"""
         + _extract("answered", "run, id, n_options, gold", _clean("generated"), "n_options"),
         f"SELECT run, {_SCORES}, {_PER_OPTION}, count(*) FILTER (defaulted) AS n_defaulted FROM extracted GROUP BY run",
     ),
     "agreement": _with(
-        _PREDICTIONS + "," + _PAIRS,
-        f"SELECT run_a, run_b, count(*) AS n, 0::BIGINT AS only_a, 0::BIGINT AS only_b, {_share('same')} AS agreement "
-        "FROM compared GROUP BY ALL",
+        _SHEET + "," + _PAIRS,
+        "SELECT c.run_a AS run_a, c.run_b AS run_b, count(*) AS n, 0::BIGINT AS only_a, 0::BIGINT AS only_b, "
+        f"{_share('c.same')} AS agreement FROM compared GROUP BY ALL",
     ),
+    "agreement_many": """
+WITH given AS (
+  SELECT l_returnflag || l_linestatus || '/' || (l_linenumber % 3) AS run, l_partkey AS id, max(l_linenumber) AS n
+  FROM lineitem GROUP BY 1, 2),
+runs AS (SELECT f || '/' || i AS run FROM (VALUES ('AF'), ('NF'), ('NO'), ('RF')) a(f), range(3) b(i)),
+pairs AS (SELECT a.run AS run_a, b.run AS run_b FROM runs a JOIN runs b ON a.run < b.run),
+sides AS (
+  SELECT run_a, run_b, id, max(run = run_a) AS in_a, max(run = run_b) AS in_b,
+    max(n) FILTER (run = run_a AND n <= 6) AS a, max(n) FILTER (run = run_b AND n <= 6) AS b
+  FROM pairs JOIN given ON run = run_a OR run = run_b GROUP BY ALL)
+SELECT run_a, run_b, count(*) FILTER (in_a AND in_b) AS n, count(*) FILTER (in_a AND NOT in_b) AS only_a,
+  count(*) FILTER (in_b AND NOT in_a) AS only_b,
+  round(avg(CASE WHEN NOT (in_a AND in_b) THEN NULL WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement
+FROM sides GROUP BY 1, 2""".strip(),
     "classification_report": _with(
         _PREDICTIONS + "," + _REPORT,
         "SELECT run, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support "
@@ -593,11 +630,12 @@ JOIN (SELECT run, avg(f1) AS macro_f1 FROM report GROUP BY run) USING (run)""",
     "shuffle_rows": """
 WITH copies AS (SELECT text, row_number() OVER (PARTITION BY text) - 1 AS c FROM documents)
 SELECT text, row_number() OVER (ORDER BY md5(text || ':42:' || c), text) AS position FROM copies""".strip(),
-    "with_splits": _with(
-        _MCQ,
-        "SELECT id, question, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'validation' ELSE 'test' END AS split "
-        "FROM mcq",
-    ),
+    "shuffle_by_key": """
+SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) AS position FROM documents""".strip(),
+    "with_splits": """
+SELECT o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'validation' ELSE 'test' END
+  AS split
+FROM orders""".strip(),
     "truncate_tokens": _with(
         f"cut AS (SELECT doc_id, {_TOKENS} AS w FROM documents)",
         "SELECT doc_id, array_to_string(list_concat(w[1:256], list_transform(range(greatest(256 - len(w), 0)), "
@@ -610,12 +648,8 @@ SELECT text, row_number() OVER (ORDER BY md5(text || ':42:' || c), text) AS posi
         f"strpos(text, '{fixed.COMPLETION_MARKER}') + {len(fixed.COMPLETION_MARKER) - 1} AS completion_start FROM sft",
     ),
     "length_batches": f"""
-WITH sized AS (SELECT doc_id, len({_TOKENS}) AS length FROM documents),
-splits AS (SELECT length // 16 AS length_bucket, ceil(count(*) / 100)::BIGINT AS splits FROM sized GROUP BY 1),
-salted AS (
-  SELECT doc_id, length, length_bucket, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % splits AS salt
-  FROM sized JOIN splits ON length_bucket = length // 16)
-SELECT doc_id, length_bucket, salt,
-  (row_number() OVER (PARTITION BY length_bucket, salt ORDER BY length, doc_id) - 1) // 24 AS batch
-FROM salted""".strip(),
+WITH sized AS (SELECT doc_id, len({_TOKENS}) // 16 AS length_bucket FROM documents)
+SELECT doc_id, length_bucket,
+  (row_number() OVER (PARTITION BY length_bucket ORDER BY md5(doc_id::VARCHAR), doc_id) - 1) // 24 AS batch
+FROM sized""".strip(),
 }

@@ -196,7 +196,7 @@ def render_prompt(t):
 @query
 def render_from_table(t):
     status = F.col("o_orderstatus")
-    templates = t("orders").select(
+    templates = t("orders").where(status != "P").select(
         status.alias("template_id"), F.concat(status, F.lit(": %s\n"), status).alias("template")
     ).distinct()
     rows = R.with_templates(D.questions(t).withColumnRenamed("o_orderstatus", "template_id"), templates)
@@ -205,8 +205,19 @@ def render_from_table(t):
 
 @query
 def few_shot_prompt(t):
-    corpus = D.mcq(t)
-    return R.few_shot_prompts(corpus, corpus, shots=3).select("id", "prompt")
+    """Open and filled orders are asked, three of the others are shown with their answers."""
+    rows = D.questions(t)
+    asked, pool = rows.where(F.col("o_orderstatus") != "P"), rows.where(F.col("o_orderstatus") == "P")
+    return R.few_shot_prompts(asked, pool, shots=3, style="gold_full", left_parenthesis=True).select("id", "prompt")
+
+
+@query
+def few_shot_whole_pool(t):
+    """A pool shown whole: the urgent partial orders of the largest total, if they are few."""
+    rows = D.questions(t).withColumn("number", F.regexp_extract("question", r"^Order (\d+) ", 1).cast("long"))
+    chosen = rows.where((F.col("number") % 5000 == 1) & (F.col("o_orderpriority") == "1-URGENT"))
+    asked = rows.where(F.col("o_orderpriority") == "2-HIGH")
+    return R.few_shot_prompts(asked, chosen, template_id="en/0").select("id", "prompt")
 
 
 def _as_text(messages) -> Column:
@@ -394,7 +405,10 @@ def runner_profiles(t):
     place = (F.substr("o_orderpriority", F.lit(1), F.lit(1)).cast("int") - 1) * 3 + F.instr(
         F.lit("FOP"), F.col("o_orderstatus")
     )
-    rows = A.with_profiles(D.questions(t).withColumn("profile", F.element_at(names, place)))
+    hosted = F.when(F.substr("id", F.lit(1), F.lit(1)) < "8", F.lit("chat")).otherwise(F.lit("completion"))
+    asked = D.questions(t).withColumn("profile", F.element_at(names, place))
+    asked = asked.withColumn("kind", F.when(F.col("profile") == "api", hosted))
+    rows = A.with_profiles(asked, kind="kind")
     prompted = R.render_prompts(rows, left_parenthesis=F.col("left_parenthesis"))
     messages, text = A.wrapped_prompt(F.col("wrapper"), F.col("prompt"))
     echoed = F.concat(
@@ -492,11 +506,31 @@ def score_answered_run(t):
     return rounded(J.score_answers(stored, corpus), "exact_match", "hamming_score", "hamming_per_option")
 
 
+@query
+def score_throttled_run(t):
+    """A hosted run that is throttled, stops, goes on where it was and is scored."""
+    corpus = D.mcq(t)
+    path = scratch_path(t.spark, "throttled")
+    options = {"run": "hosted", "profile": "api", "model": "openai/text-davinci-003", "template": "Q: %s"}
+    throttled = {"retry_on": (D.Throttled,), "first_wait": 0.0, "parallel_calls": 4}
+    J.answer_corpus(corpus, D.flaky_generator, path, parts=2, max_attempts=2, **options, **throttled)
+    stored = J.answer_corpus(corpus, D.flaky_generator, path, settings={"temperature": "0"}, **options, **throttled)
+    return rounded(J.score_answers(stored, corpus), "exact_match", "hamming_score", "hamming_per_option")
+
+
 @query
 def agreement(t):
     return rounded(S.agreement(D.stored_answers(t), D.PAIRS), "agreement")
 
 
+@query
+def agreement_many(t):
+    """All pairs of a dozen runs, with ids and answers missing on either side."""
+    runs = [f"{flags}/{i}" for flags in ("AF", "NF", "NO", "RF") for i in range(3)]
+    pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i + 1 :]]
+    return rounded(S.agreement(D.part_answers(t), pairs), "agreement")
+
+
 @query
 def classification_report(t):
     return rounded(S.classification_report(counted(t), "predicted", "reference"), "precision", "recall", "f1")
@@ -595,12 +629,17 @@ def shuffle_rows(t):
     return T.shuffle_rows(t("documents").select("text"), ["text"], seed=42)
 
 
+@query
+def shuffle_by_key(t):
+    return T.shuffle_by_key(t("documents"), "doc_id", seed=42)
+
+
 @query
 def with_splits(t):
-    rows = D.questions(t).select("id", "question", "o_orderstatus")
+    orders = t("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     parts = {"train": "F", "validation": "O", "test": "P"}
     return C.with_splits(
-        {name: rows.where(F.col("o_orderstatus") == status).drop("o_orderstatus") for name, status in parts.items()}
+        {name: orders.where(F.col("o_orderstatus") == status).drop("o_orderstatus") for name, status in parts.items()}
     )
 
 
@@ -623,5 +662,5 @@ def completion_span(t):
 @query
 def length_batches(t):
     sized = t("documents").select("doc_id", F.size(T.white_space_tokens(F.col("text"))).alias("length"))
-    batches = T.length_batches(sized, "doc_id", "length", batch_size=24, group_rows=100)
-    return batches.select("doc_id", *[long(F.col(c)).alias(c) for c in ("length_bucket", "salt", "batch")])
+    batches = T.length_batches(sized, "doc_id", "length", batch_size=24)
+    return batches.select("doc_id", *[long(F.col(c)).alias(c) for c in ("length_bucket", "batch")])
