@@ -168,7 +168,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         vouched = F.sum("score")
         confidence = vouched / (F.count("*") + 2) * F.least(F.lit(1.0), F.log2(vouched + 1) / 3)
         sure = scored.groupBy("pattern").agg(confidence.alias("confidence")).where(F.col("confidence") >= LEAST_CONFIDENCE)
-        doubt = F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))
+        unsure = F.when(F.col("confidence").isNotNull(), F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
+        doubt = F.exp(F.sum(unsure))
         again = edges.join(sure, "pattern", "left").groupBy("body").agg(
             F.max("seed").alias("seed"), (1 - F.coalesce(doubt, F.lit(1.0))).alias("chance")
         )
