@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gradeloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-KEPT_WORDS = 300_000
+KEPT_WORDS, FRESH_WORDS = 300_000, 200_000
+TOGETHER = 256
 LONGEST_KEPT = 64
 _U = np.uint64
 _ODD = [_U(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -55,6 +56,43 @@ class WordCache(dict):
         return value
 
 
+class WordTable:
+    """Values of words for a group of texts at a time: ``make`` gets all words not known and returns their values.
+
+    Words met in two groups stay longest, so the many that are met once do not push them out. A fixed number of short
+    words is held, whatever the corpus.
+    """
+
+    def __init__(self, make: Callable[[list], dict]):
+        self.make = make
+        self.kept: dict = {}
+        self.fresh: dict = {}
+
+    def known(self, word):
+        """The value of a word if it is held, else None."""
+        found = self.kept.get(word)
+        return self.fresh.get(word) if found is None else found
+
+    def reduced(self, split: list[list], reduce: Callable) -> list:
+        """``reduce`` of the values of each list of words."""
+        met = set().union(*split)
+        again = {w: self.fresh.pop(w) for w in met & self.fresh.keys()}
+        self.kept.update(again)
+        new = self.make(sorted(met.difference(self.kept)))
+        if len(self.kept) > KEPT_WORDS:
+            known = {w: self.kept[w] for w in met & self.kept.keys()}
+            self.kept.clear()
+            self.kept.update(known)
+        self.kept.update(new)
+        out = [reduce(map(self.kept.__getitem__, words)) for words in split]
+        for word in new:
+            del self.kept[word]
+        if len(self.fresh) + len(new) > FRESH_WORDS:
+            self.fresh.clear()
+        self.fresh.update((w, v) for w, v in new.items() if len(w) <= LONGEST_KEPT)
+        return out
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
     cache = once("word_hashes", lambda: WordCache(xxhash.xxh3_64_intdigest))

@@ -26,13 +26,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from gradeloom.llm.common import KEPT_WORDS, LONGEST_KEPT, once, stored, texts
+from gradeloom.llm.common import TOGETHER, WordTable, once, stored, texts
 from gradeloom.session import scratch_path
 
 MAGIC = b"GLIDS001"
 BLOCK = 1 << 16
-TOGETHER = 256
-FRESH_WORDS = 200_000
 _SIGNS_LAST = re.compile(rb"([A-Za-z]+)([!-&(-/:;=-@\[-`{-~]+)")
 _TRAILER = "<8Q"
 KINDS = {"byte": 4, "bit": 32}
@@ -169,8 +167,7 @@ class Encoder:
 
     This vocabulary drops white space and joins nothing across it, so a text's ids are those of its pieces in a row, and
     a piece met before is not encoded again. New pieces of letters alone are encoded together: each ends in exactly one
-    id that closes a word, which tells them apart again. Pieces met in two groups of texts stay longest; a fixed number
-    of short pieces is held.
+    id that closes a word, which tells them apart again.
     """
 
     def __init__(self, tokenizer: str):
@@ -179,8 +176,7 @@ class Encoder:
         end = loaded.model.end_of_word_suffix
         self.closes = np.zeros(loaded.get_vocab_size(), bool)
         self.closes[[i for piece, i in loaded.get_vocab().items() if end and piece.endswith(end)]] = True
-        self.kept: dict[bytes, bytes] = {}
-        self.fresh: dict[bytes, bytes] = {}
+        self.table = WordTable(self._new)
 
     @staticmethod
     def pieces(text: bytes) -> list[bytes]:
@@ -190,9 +186,9 @@ class Encoder:
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces. Signs after Latin letters are words of their own, so a piece of both is made of two."""
         ends = {w: m.groups() for w in words if (m := _SIGNS_LAST.fullmatch(w))}
-        known = lambda w: w in self.kept or w in self.fresh
+        known = self.table.known
         todo = dict.fromkeys([w for w in words if w not in ends])
-        todo.update((part, None) for parts in ends.values() for part in parts if not known(part))
+        todo.update((part, None) for parts in ends.values() for part in parts if known(part) is None)
         texts = {w: w.decode("utf-8", "replace") for w in todo}
         plain = [w for w, t in texts.items() if t.isalpha()]
         found: dict[bytes, bytes] = {}
@@ -204,27 +200,12 @@ class Encoder:
                 raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
                 found |= {w: raw[a:b] for w, a, b in zip(some, cuts, cuts[1:])}
         found |= {w: self.ids(t).tobytes() for w, t in texts.items() if w not in found}
-        of = lambda w: found.get(w) or self.kept.get(w) or self.fresh[w]
+        of = lambda w: found[w] if w in found else known(w)
         found |= {word: of(body) + of(signs) for word, (body, signs) in ends.items()}
         return found
 
     def encode(self, found: list[bytes]) -> list[bytes]:
-        split = [self.pieces(text) for text in found]
-        met = set().union(*split)
-        again = {w: self.fresh.pop(w) for w in met & self.fresh.keys()}
-        new = self._new(sorted(met.difference(self.kept, again)))
-        if len(self.kept) + len(again) > KEPT_WORDS:
-            again |= {w: self.kept[w] for w in met & self.kept.keys()}
-            self.kept.clear()
-        self.kept.update(again)
-        self.kept.update(new)
-        out = [b"".join(map(self.kept.__getitem__, words)) for words in split]
-        for word in new:
-            del self.kept[word]
-        if len(self.fresh) + len(new) > FRESH_WORDS:
-            self.fresh.clear()
-        self.fresh.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST_KEPT)
-        return out
+        return self.table.reduced([self.pieces(text) for text in found], b"".join)
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, kind: str = "byte") -> DataFrame:

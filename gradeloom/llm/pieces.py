@@ -15,11 +15,12 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import WordCache, once, per_text
+from gradeloom.llm.common import LONGEST_KEPT, TOGETHER, WordTable, once, per_text
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 _UNITS = re.compile(r" +[^ ]*")
+_SIGNS_LAST = re.compile(r"(.*\w)([^\w ]+)", re.DOTALL)
 
 
 class Pieces:
@@ -34,6 +35,7 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         texts = [sp.id_to_piece(i) for i in range(len(sp))]
         self.bytes = {int(texts[i][1:-1], 16): i for i in range(len(sp)) if sp.is_byte(i)}
+        self.byte_of = {i: b for b, i in self.bytes.items()}
         special = [i for i in range(len(sp)) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)]
         self.special = set(special)
         normal = [i for i in range(len(sp)) if i not in self.special]
@@ -47,18 +49,40 @@ class Pieces:
         self.unknown = sp.unk_id()
         self.unknown_score = min((s for _, s in self.scores.values()), default=0.0) - UNKNOWN_PENALTY
         self.texts = texts
+        #: Neighbours within some piece. Any other two characters have a boundary between them in every split.
+        self.pairs = {piece[i : i + 2] for piece in self.scores for i in range(len(piece) - 1)}
+        #: Character to (score, id, following characters); minus infinity where no piece ends.
         self.trie: dict = {}
-        for piece, found in self.scores.items():
+        for piece, (number, score) in self.scores.items():
             node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = found
+            for c in piece[:-1]:
+                node = node.setdefault(c, [-math.inf, -1, {}])[2]
+            node.setdefault(piece[-1], [-math.inf, -1, {}])[:2] = score, number
 
     def fallback(self, character: str) -> list[int]:
         if not self.bytes:
             return [self.unknown]
         return [self.bytes[b] for b in character.encode("utf-8", "replace")]
 
+    def short(self, text: str) -> list[int]:
+        """The split of a text that ends within the window, so that nothing needs to be given out before its end."""
+        trie, n = self.trie, len(text)
+        best, back, last = [0.0] + [-math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            here, node, j = best[i], trie, i
+            for c in text[i : i + self.longest]:
+                entry = node.get(c)
+                if entry is None:
+                    break
+                j += 1
+                score, piece, node = entry
+                score += here
+                if score > best[j]:
+                    best[j], back[j], last[j] = score, i, piece
+            if text[i] not in self.scores and here + self.unknown_score > best[i + 1]:
+                best[i + 1], back[i + 1], last[i + 1] = here + self.unknown_score, i, -1
+        return self._path(text, back, last, 0, n)
+
     def split(self, text: str) -> Iterator[int]:
         """Ids of the best split of ``text``, given out as soon as they are settled.
 
@@ -68,16 +92,13 @@ class Pieces:
         base, n, check = 0, len(text), 4 * longest
         best, back, last = [0.0], [0], [-1]
         for i in range(n):
-            here = best[i - base]
-            node, j = trie, i
-            covered = False
-            while j < n and (node := node.get(text[j])) is not None:
+            here, node, j = best[i - base], trie, i
+            while j < n and (entry := node.get(text[j])) is not None:
                 j += 1
-                found = node.get("")
-                if found is not None:
-                    covered |= j == i + 1
-                    self._reach(best, back, last, j - base, here + found[1], i, found[0])
-            if not covered:
+                score, piece, node = entry
+                if piece >= 0:
+                    self._reach(best, back, last, j - base, here + score, i, piece)
+            if text[i] not in self.scores:
                 self._reach(best, back, last, i + 1 - base, here + missing, i, -1)
             if i - base >= check:
                 ends = range(i + 1, base + len(best))
@@ -113,16 +134,21 @@ class Pieces:
             end = start
         return [i for ids in reversed(out) for i in ids]
 
-    def decode(self, ids) -> str:
-        """The text of ids: pieces joined, byte pieces read as UTF-8, spaces for marks, without the one put in front."""
-        bytes_of = {i: b for b, i in self.bytes.items()}
+    def spelled(self, ids) -> str:
+        """The text of ids: pieces joined, byte pieces read as UTF-8, spaces for marks."""
+        if self.special.isdisjoint(ids):
+            return "".join([self.texts[i] for i in ids]).replace(SPACE, " ")
         out = bytearray()
         for i in ids:
-            if i in bytes_of:
-                out.append(bytes_of[i])
+            if i in self.byte_of:
+                out.append(self.byte_of[i])
             elif i not in self.special:
                 out += self.texts[i].encode("utf-8", "replace")
-        return out.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        return out.decode("utf-8", "replace").replace(SPACE, " ")
+
+    def decode(self, ids) -> str:
+        """The text of ids, without the space that encoding puts in front."""
+        return self.spelled(ids).removeprefix(" ")
 
 
 def units(text: str) -> list[str]:
@@ -141,9 +167,10 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) ->
     """
 
     def measure(texts: list[bytes]):
-        cache = _unit_ids(model)
-        joined = (b"".join(map(cache.__getitem__, units(t.decode("utf-8", "replace")))) for t in texts)
-        return ([np.frombuffer(j, np.int32) for j in joined],)
+        table = _unit_table(model)
+        split = [units(t.decode("utf-8", "replace")) for t in texts]
+        parts = (split[i : i + TOGETHER] for i in range(0, len(split), TOGETHER))
+        return ([np.frombuffer(ids, np.int32) for part in parts for ids in table.reduced(part, b"".join)],)
 
     return per_text(docs, measure, "ids array<int>", list(keep))
 
@@ -159,33 +186,60 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     return rows.withColumn("text", text(rows[ids]))
 
 
-def _unit_ids(model: str) -> WordCache:
+def _unit_table(model: str) -> WordTable:
+    """Ids of units; units whose ids do not spell them again are noted in ``lost``."""
+
     def build():
         pieces = once(("scored pieces", model), lambda: Pieces(model))
-        return WordCache(lambda u: np.fromiter(pieces.split(u.replace(" ", SPACE)), np.int32).tobytes())
+
+        def ids_of(unit: str) -> bytes:
+            marked = unit.replace(" ", SPACE)
+            ids = pieces.short(marked) if len(unit) <= LONGEST_KEPT else list(pieces.split(marked))
+            if pieces.spelled(ids) != unit:
+                table.lost.add(unit)  # noted for good: few units hold a space mark of their own
+            return np.array(ids, np.int32).tobytes()
+
+        def make(found: list[str]) -> dict[str, bytes]:
+            out, ends = {}, {}
+            for unit in found:
+                cut = _SIGNS_LAST.fullmatch(unit)
+                if cut and cut[1][-1] + cut[2][0] not in pieces.pairs:
+                    ends[unit] = cut.groups()
+                else:
+                    out[unit] = ids_of(unit)
+            for unit, parts in ends.items():
+                ids = b""
+                for part in parts:
+                    held = out.get(part) or table.known(part)
+                    if held is None:
+                        held = out[part] = ids_of(part)
+                    ids += held
+                if not table.lost.isdisjoint(parts):
+                    table.lost.add(unit)
+                out[unit] = ids
+            return out
+
+        table = WordTable(make)
+        table.lost = set()
+        return table
 
     return once(("unit ids", model), build)
 
 
 def round_trip(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Piece counts, a checksum of the ids, and whether decoding gives back the text, for every whole text."""
+    """Piece counts, a checksum of the ids, and whether decoding gives back the text, for every whole text.
+
+    A text is its units in a row, so it comes back if each unit does.
+    """
+
     def measure(texts: list[bytes]):
-        cache, pieces = _unit_ids(model), once(("scored pieces", model), lambda: Pieces(model))
-        unit_text = once(
-            ("unit texts", model),
-            lambda: WordCache(lambda b: _joined(pieces, np.frombuffer(b, np.int32))),
-        )
-        rows = []
-        for raw in texts:
-            found = [cache[u] for u in units(raw.decode("utf-8", "replace"))]
-            joined = b"".join(found)
-            back = b"".join(map(unit_text.__getitem__, found)).removeprefix(b" ")
-            rows.append((len(joined) // 4, zlib.crc32(joined), back == raw))
+        table, rows = _unit_table(model), []
+        for i in range(0, len(texts), TOGETHER):
+            raw = texts[i : i + TOGETHER]
+            split = [units(t.decode("utf-8", "replace")) for t in raw]
+            for text, found, ids in zip(raw, split, table.reduced(split, b"".join)):
+                back = table.lost.isdisjoint(found) and "".join(found)[1:].encode() == text
+                rows.append((len(ids) // 4, zlib.crc32(ids), back))
         return list(zip(*rows)) if rows else [[], [], []]
 
     return per_text(docs, measure, "n_pieces long, ids_crc32 long, round_trip boolean", list(keep))
-
-
-def _joined(pieces: Pieces, ids: np.ndarray) -> bytes:
-    """Decoded bytes of a unit, its leading space kept."""
-    return (" " + pieces.decode(ids)).encode("utf-8", "replace")
