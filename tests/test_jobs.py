@@ -53,6 +53,55 @@ def test_a_stopped_run_goes_on(spark, corpus, tmp_path):
     }
 
 
+def test_a_throttled_run_leaves_failed_rows_pending(spark, corpus, tmp_path):
+    """Rows that used up their attempts are tried again by the next call; settings and own prompt reach the function."""
+
+    class Busy(Exception):
+        pass
+
+    def model(stubborn):
+        def make():
+            def answer(prompts, params):
+                assert params[0] == {"max_tokens": "9", "temperature": "0"}
+                assert prompts[0].startswith("Mine: Question ")
+                if stubborn and "Question 7 " in prompts[0]:
+                    raise Busy("later")
+                return ["(b)"]
+
+            return answer
+
+        return make
+
+    path = str(tmp_path / "s")
+    options = {
+        "run": "m", "profile": "api", "model": "cohere/any", "template": "Mine: %s", "retry_on": (Busy,), "first_wait": 0.0,
+        "settings": {"max_tokens": 9, "temperature": 0},
+    }
+    assert J.answer_corpus(corpus, model(True), path, max_attempts=2, **options).count() == 39
+    stored = J.answer_corpus(corpus, model(False), path, **options)
+    assert stored.count() == 40 and J.score_answers(stored, corpus).first()["exact_match"] == 0.5
+
+
+def test_the_corpus_is_read_once(spark, corpus, tmp_path):
+    """However many parts there are, the corpus is rendered by one job."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    counted = corpus.withColumn("question", F.udf(count)("question"))
+    J.answer_corpus(counted, one_by_one(lambda: lambda p: "(a)"), str(tmp_path / "s"), run="m", profile="mpt", parts=5)
+    assert seen.value == 40
+
+
+def test_shots_of_a_pool(spark, corpus, tmp_path):
+    pool = spark.createDataFrame([("z", "Shown ?", {"a": "x"}, ["a"])], MCQ)
+    make = one_by_one(lambda: lambda p: "(c)" if "Shown ?\n(a) x.\nRéponse(s) : (a)\n\nQuestion" in p else "")
+    stored = J.answer_corpus(corpus, make, str(tmp_path / "s"), run="m", profile="flan-t5", pool=pool)
+    assert {r["generated"] for r in stored.collect()} == {"(c)"}
+
+
 def test_chat_profile_sends_messages(corpus, tmp_path):
     def make():
         import json

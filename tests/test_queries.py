@@ -4,16 +4,19 @@ import pytest
 
 import __spark_entry__ as registered
 import compare
+from gradeloom.plans.oracles import ORACLES as SQL
+from gradeloom.plans.queries import REGISTRY as QUERIES
 from test_distance import kept, subsequence
 
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
-
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return compare.connect(sf_dir)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(registered.queries()) and set(SQL) <= set(registered.oracle_sql())
+
+
 def test_only_the_quadratic_query_on_long_texts_has_no_sql():
     assert set(QUERIES) - set(SQL) == {"meld_distance_turns"} and set(SQL) <= set(QUERIES)
 

@@ -111,6 +111,45 @@ def test_agreement_counts_one_sided_ids(spark):
     assert line["agreement"] == pytest.approx(mean(same.values()))
 
 
+def test_a_null_answer_is_not_a_missing_id(spark):
+    rows = [("x", "1", "a"), ("y", "1", "a"), ("x", "2", "a"), ("y", "2", None)]
+    df = spark.createDataFrame(rows, "run string, id string, answer string")
+    line = S.agreement(df, [("x", "y")]).first()
+    assert (line["n"], line["only_a"], line["only_b"], line["agreement"]) == (2, 0, 0, 0.5)
+
+
+def test_agreement_of_all_pairs_of_many_runs(spark):
+    """The plan has the same operators for one pair as for 741."""
+    import time
+
+    runs = [f"r{i:02}" for i in range(39)]
+    answer = F.char(F.lit(97) + F.pmod(F.xxhash64("id", "run"), F.lit(3)).cast("int"))
+    names = F.explode(F.array(*[F.lit(r) for r in runs])).alias("run")
+    df = spark.range(312).select(F.col("id").cast("string").alias("id"), names).withColumn("answer", answer).cache()
+    df = df.where(F.xxhash64("id", "run", F.lit(1)) % 10 != 0)
+    pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i + 1 :]]
+    size = lambda d: d._jdf.queryExecution().sparkPlan().toString().count("\n")
+    assert size(S.agreement(df, pairs)) == size(S.agreement(df, pairs[:1]))
+    start = time.time()
+    got = {(r["run_a"], r["run_b"]): r for r in S.agreement(df, pairs).collect()}
+    assert len(got) == 741 and time.time() - start < 20
+    keys = {(r["run"], r["id"]): r["answer"] for r in df.collect()}
+    for a, b in pairs[::50]:
+        both = [str(i) for i in range(312) if (a, str(i)) in keys and (b, str(i)) in keys]
+        assert got[a, b]["n"] == len(both)
+        assert got[a, b]["agreement"] == pytest.approx(mean(keys[a, i] == keys[b, i] for i in both))
+        assert got[a, b]["only_a"] == sum((a, str(i)) in keys and (b, str(i)) not in keys for i in range(312))
+
+
+def test_a_missing_class_is_no_class(spark):
+    df = spark.createDataFrame([("x", "1", "1"), ("x", None, "2")], "run string, p string, r string")
+    report = S.classification_report(df, "p", "r")
+    assert {r["label"]: (r["f1"], r["support"]) for r in report.collect()} == {"1": (1.0, 1), "2": (0.0, 1)}
+    averages = {r["average"]: r["f1"] for r in S.report_averages(report).collect()}
+    assert averages == {"macro avg": 0.5, "weighted avg": 0.5}
+    assert S.accuracy_macro_f1(df, "p", "r").first()["accuracy"] == 0.5
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([("x", "1"), ("x", "1"), ("x", "2"), ("y", "1")], "run string, n_labels string")
     assert {(r["run"], r["n_labels"]): r["n"] for r in S.label_histogram(df).collect()} == Counter(

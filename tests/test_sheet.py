@@ -1,0 +1,91 @@
+"""Orders with any number of lines, letters beyond the alphabet, and settings of the runner profiles."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import compare
+from gradeloom.operators import answers as A, prompts as R
+from gradeloom.plans import fixtures as D
+from gradeloom.plans.oracles import ORACLES
+from gradeloom.plans.queries import REGISTRY
+from gradeloom.schema import MCQ
+
+
+@pytest.fixture(scope="module")
+def long_order(spark, sf_dir, tmp_path_factory):
+    """The given tables with an order of nine lines, some repeated, and one of a single line."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    for name in compare.TABLES:
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "lineitem":
+            more = spark.range(12).select(
+                F.lit(10**9 + 1).cast("long").alias("l_orderkey"),
+                (F.col("id") % 9 + 1).cast("int").alias("l_linenumber"),
+                F.when(F.col("id") % 2 == 0, "R").otherwise("N").alias("l_returnflag"),
+                F.when(F.col("id") % 3 == 0, "F").otherwise("O").alias("l_linestatus"),
+            )
+            table = table.unionByName(more, allowMissingColumns=True)
+        table.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    con = duckdb.connect()
+    for name in compare.TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["label_count", "agreement", "pairwise_runs", "exact_match", "leaderboard", "join_predictions"])
+def test_an_order_of_nine_lines(spark, long_order, name):
+    folder, con = long_order
+    assert compare.difference(REGISTRY[name](spark, folder), con, ORACLES[name]) is None
+    sheet = D.answer_sheet(D.Tables(spark, folder)).where("n_options = 9").first()
+    assert sheet["gold"] == list("abcegi") and sheet["okey"] == 10**9 + 1
+
+
+def test_options_beyond_the_alphabet_are_not_read(spark):
+    df = spark.createDataFrame([("(b)", 30), ("(b)", None), ("(b)", 26), ("none", 3)], "generated string, n int")
+    rows = [(r["labels"], r["defaulted"]) for r in A.extract_answers(df, num_answers="n").collect()]
+    assert rows == [(None, None), (None, None), (["b"], False), (["a"], True)]
+
+
+def test_unknown_templates_keep_their_question(spark):
+    corpus = spark.createDataFrame([("q1", "t"), ("q2", "none"), ("q3", None)], "id string, template_id string")
+    templates = spark.createDataFrame([("t", "%s!")], "template_id string, template string")
+    rows = {r["id"]: r["template"] for r in R.with_templates(corpus, templates).collect()}
+    assert rows == {"q1": "%s!", "q2": None, "q3": None}
+
+
+def test_shots_take_the_options_of_the_question(spark):
+    rows = [(f"q{i}", f"Q{i}", {"a": "x", "b": "y"}, ["b"]) for i in range(3)]
+    df = spark.createDataFrame(rows, MCQ)
+    pool, asked = df.where("id <> 'q2'"), df.where("id = 'q2'")
+    shown = R.few_shot_prompts(asked, pool, style="gold_full", left_parenthesis=True, templates={"0": "%s"})
+    text = shown.first()["prompt"]
+    assert text.count("Réponse(s) : (b) y.\n") == 2 and text.endswith("\nRéponse(s) : (") and text.index("Q0") < text.index("Q1")
+    assert "Q1" not in R.few_shot_prompts(asked, pool, 1).first()["prompt"]
+
+
+# The settings of each runner, written out by hand from how its script calls its model.
+PLAIN = ["bloomz", "flan-t5", "flan-ul2", "galactica", "llama2", "opt-iml", "tk-instruct", "mpt"]
+ECHO = {"bloomz", "galactica", "llama2", "opt-iml"}
+
+
+def test_profiles(spark):
+    names = [*PLAIN, "llama", "llama2-finetuned", "pmc-llama", "mistral", "zephyr", "open-assistant", "api"]
+    df = spark.createDataFrame([(n, None) for n in names] + [("api", "chat"), ("api", "completion")], "profile string, kind string")
+    got = {(r["profile"], r["kind"]): r for r in A.with_profiles(df, kind="kind").collect()}
+    assert len(got) == 17
+    for name in PLAIN:
+        row = got[name, None]
+        assert (row["wrapper"], row["left_parenthesis"], row["paragraph_stop"]) == ("plain", False, False)
+        assert row["text_mode"] == ("echo" if name in ECHO else "echo_comment" if name == "mpt" else "none")
+        assert (row["max_tokens"], row["assumed_options"]) == (32, None)
+    llama = got["llama", None]
+    assert (llama["text_mode"], llama["left_parenthesis"], llama["max_tokens"]) == ("echo_first_line", True, 128)
+    assert llama["assumed_options"] == 5
+    tuned = got["llama2-finetuned", None]
+    assert (tuned["text_mode"], tuned["paragraph_stop"], tuned["max_tokens"]) == ("echo", True, 128)
+    assert got["pmc-llama", None]["left_parenthesis"] and got["pmc-llama", None]["text_mode"] == "echo"
+    assert (got["mistral", None]["wrapper"], got["mistral", None]["text_mode"]) == ("user", "echo_instruction")
+    assert (got["zephyr", None]["wrapper"], got["zephyr", None]["text_mode"]) == ("system_user", "assistant_line")
+    assert (got["open-assistant", None]["wrapper"], got["open-assistant", None]["text_mode"]) == ("prompter", "echo")
+    assert [got["api", k]["wrapper"] for k in (None, "chat", "completion")] == ["user", "user", "plain"]

@@ -81,14 +81,26 @@ def test_shuffle_repeats_with_its_seed(spark):
     assert order(df, 1) == order(df.repartition(5), 1) != order(df, 2)
 
 
+def test_shuffle_by_key_moves_only_the_key(spark):
+    df = spark.range(3000).withColumn("text", F.repeat(F.lit("x"), F.lit(50)))
+    shuffled = R.shuffle_by_key(df, "id", 5)
+    rows = shuffled.collect()
+    assert sorted(r["position"] for r in rows) == list(range(1, 3001)) and {r["id"] for r in rows} == set(range(3000))
+    again = {r["id"]: r["position"] for r in R.shuffle_by_key(df.repartition(7), "id", 5).collect()}
+    assert again == {r["id"]: r["position"] for r in rows}
+    assert "text" not in shuffled._jdf.queryExecution().executedPlan().toString()
+
+
 def test_batches_of_similar_length(spark):
-    """A third of all rows have one length; that bucket is split and no batch is too large."""
-    df = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, 40).otherwise(F.col("id") % 700).alias("n"))
-    rows = R.length_batches(df, "id", "n", batch_size=32, width=16, group_rows=500).collect()
-    assert len(rows) == 9000
-    batches = Counter((r["length_bucket"], r["salt"], r["batch"]) for r in rows)
+    """A third of all rows have one length, and one text has over a million tokens."""
+    n = F.when(F.col("id") % 3 == 0, 40).when(F.col("id") == 1, 2_000_000).when(F.col("id") == 2, 1_048_560)
+    df = spark.range(9000).select("id", n.otherwise(F.col("id") % 700).alias("n"))
+    rows = R.length_batches(df, "id", "n", batch_size=32, width=16).collect()
+    assert len(rows) == 9000 and all(r["n"] // 16 == r["length_bucket"] for r in rows)
+    batches = Counter((r["length_bucket"], r["batch"]) for r in rows)
     assert max(batches.values()) == 32
-    hot = [r for r in rows if r["length_bucket"] == 40 // 16]
-    assert len({r["salt"] for r in hot}) == -(-len(hot) // 500)
-    assert all(r["n"] // 16 == r["length_bucket"] for r in rows)
-    assert sum(v < 32 for v in batches.values()) <= len({(r["length_bucket"], r["salt"]) for r in rows})
+    buckets = Counter(r["length_bucket"] for r in rows)
+    assert len(batches) == sum(-(-count // 32) for count in buckets.values())
+    assert buckets[2_000_000 // 16] == buckets[1_048_560 // 16] == 1
+    again = R.length_batches(df.repartition(13), "id", "n", batch_size=32, width=16).collect()
+    assert {(r["id"], r["batch"]) for r in again} == {(r["id"], r["batch"]) for r in rows}
