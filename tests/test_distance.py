@@ -8,6 +8,7 @@ import pytest
 from gradeloom.functions import distance as D
 from gradeloom.operators.memorize import meld_summary, with_distance
 
+# Fixed test data: two texts of a record with a known distance.
 SALIVA = "(d) La salive.\n(e) Les sécrétions intestinales."
 SALIVA_TEXT = (
     "(d) Le sang.\n(e) L'urine.\n\nParmi ces propositions, la réponse exacte est (c) Le suc pancréatique."
