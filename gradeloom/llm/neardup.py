@@ -23,6 +23,7 @@ STEP = 6
 SIZE = TREES * STEP
 DEPTHS = (4, 8, 16, 32, SIZE)
 REGION = 512
+ONE_TASK = 200_000
 #: Estimated similarity from which a pair is confirmed: four standard deviations of the estimate below the threshold.
 WORTH = 0.70
 _U = np.uint64
@@ -250,27 +251,34 @@ def components(links: DataFrame) -> DataFrame:
 
     Stars in turn (each node's larger, then its smaller neighbours move to its smallest one) until nothing changes, which
     takes a number of rounds that grows with the logarithm of the longest chain. Each round is written, so a lost
-    executor costs one round at most.
+    executor costs one round at most. Up to ``ONE_TASK`` edges a round is one task without any shuffle.
     """
     edges = stored(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges"
     )
+    state = _state(edges)
     while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = state[0] <= ONE_TASK
+        together = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+        both = together(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        counts = [e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for e in (edges, after)]
-        edges = after
-        if counts[0] == counts[1]:
+        edges = stored(together(moved.unionByName(least.select("u", F.col("m").alias("v")))).distinct(), "edges")
+        before, state = state, _state(edges)
+        if before == state:
             break
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and a sum over them, which tell whether a round changed any."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row for each row of ``docs``.
 
