@@ -18,8 +18,9 @@ def extract_answers(
 ) -> DataFrame:
     """Add the sorted distinct answer letters and ``defaulted``, set when none was found.
 
-    Both are null where the number of options is null or beyond the alphabet. ``num_answers`` names the column with the number of options; without it five are assumed. The
-    steps are separate columns so that each pattern runs once per row.
+    Both are null where the number of options is null or beyond the alphabet. ``num_answers`` names the
+    column with the number of options; without it five are assumed. The steps are separate columns so
+    that each pattern runs once per row.
     """
     size = F.col(num_answers) if num_answers else F.lit(fixed.DEFAULT_OPTIONS)
     stop = paragraph_stop if isinstance(paragraph_stop, Column) else F.lit(paragraph_stop)
@@ -59,9 +60,10 @@ PROFILE_FIELDS = (
 def with_profiles(df: DataFrame, profile: str = "profile", kind: str | None = None) -> DataFrame:
     """Attach each row's profile settings, null for an unknown profile.
 
-    ``kind`` names a column with the kind of call of a hosted model: chat models get a message list, completion models
-    the plain prompt, whatever the profile's own wrapper. Without it, or where it is null, the profile decides. Fifteen fixed profiles are a literal in the expression: no join, and for a profile that is itself
-    a literal, constants.
+    ``kind`` names a column with the kind of call of a hosted model: chat models get a message list,
+    completion models the plain prompt, whatever the profile's own wrapper. Without it, or where it is
+    null, the profile decides. Fifteen fixed profiles are a literal in the expression: no join, and for a
+    profile that is itself a literal, constants.
     """
     entries = []
     for name, *values in fixed.RUNNER_PROFILES:

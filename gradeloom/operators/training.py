@@ -90,10 +90,10 @@ def _positions(hashed: DataFrame, columns: list[str], bucket_digits: int) -> Dat
 def shuffle_rows(df: DataFrame, columns: list[str], seed: int, *, bucket_digits: int = 4) -> DataFrame:
     """Add ``position``: a random order of all rows that the same seed gives again, for rows without a key.
 
-    With a key, :func:`shuffle_by_key` moves far less. ``columns`` (text) tell rows apart. Equal rows are counted first and numbered, many copies by several
-    tasks, so that copies get different hashes and spread over all buckets. A row's position is the
-    size of the hash buckets before its own, at most 16 ** ``bucket_digits`` numbers, plus its rank in
-    its own bucket, so no task ever sorts the whole table.
+    With a key, :func:`shuffle_by_key` moves far less. ``columns`` (text) tell rows apart. Equal rows are
+    counted first and numbered, many copies by several tasks, so that copies get different hashes and
+    spread over all buckets. A row's position is the size of the hash buckets before its own, at most
+    16 ** ``bucket_digits`` numbers, plus its rank in its own bucket, so no task ever sorts the whole table.
     """
     chunk = COPIES_AT_ONCE
     zero = F.lit(0).cast("long")
