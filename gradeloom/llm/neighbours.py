@@ -64,7 +64,8 @@ def orders(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             if batch.num_rows:
                 found = _matrix(batch.column("embedding"))
                 near = np.argsort(squares - 2 * (found @ known.T), axis=1, kind="stable")[:, :ORDER].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], [*batch.schema.names, "nearest"])
+                nearest = pa.array(list(near), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, nearest], [*batch.schema.names, "nearest"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
     return rows.mapInArrow(run, f"vec_id long, embedding {kind}, nearest array<int>")
