@@ -33,12 +33,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def once(key, build: Callable):
-    """What ``build`` returns, kept for the life of the Python worker, so its next tasks find it ready."""
-    kept = sys.modules.setdefault("gradeloom_worker_cache", types.ModuleType("gradeloom_worker_cache")).__dict__
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+def once(owner: str, name, build: Callable):
+    """What ``build`` returns, kept by the Python worker for the next tasks of the same operator.
+
+    A worker holds the tables of one operator at a time, so those of a pipeline's stages do not add up.
+    """
+    store = sys.modules.setdefault("gradeloom_worker_cache", types.ModuleType("gradeloom_worker_cache")).__dict__
+    if store.get("owner") != owner:
+        store["owner"], store["kept"] = owner, {}
+    if name not in store["kept"]:
+        store["kept"][name] = build()
+    return store["kept"][name]
 
 
 class WordCache(dict):
@@ -93,9 +98,9 @@ class WordTable:
         return out
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words."""
-    cache = once("word_hashes", lambda: WordCache(xxhash.xxh3_64_intdigest))
+def word_hashes(words: list[bytes], owner: str) -> np.ndarray:
+    """64-bit hashes of words, for an operator."""
+    cache = once(owner, "word hashes", lambda: WordCache(xxhash.xxh3_64_intdigest))
     return np.fromiter(map(cache.__getitem__, words), _U, len(words))
 
 

@@ -224,7 +224,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = once(("ids", tokenizer), lambda: Encoder(tokenizer)), None
+        encoder, out = once("idfiles", ("ids", tokenizer), lambda: Encoder(tokenizer)), None
         for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
             if out is None:
                 number = batch["part"][0].as_py()

@@ -200,7 +200,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """
 
     def measure(texts: list[bytes]):
-        table, rows = once("license rules", rules), []
+        table, rows = once("licenses", "rules", rules), []
         for text in texts:
             words = words_of(text)
             spaced = b" ".join(words)

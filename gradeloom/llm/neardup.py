@@ -34,7 +34,7 @@ _OFFSETS = _RANDOM.integers(0, 1 << 63, SIZE, dtype=np.uint64)
 
 def shingles(text: bytes) -> np.ndarray:
     """Sorted hashes of a text's distinct runs of three words, lower case in A-Z; of all words if they are fewer."""
-    h = word_hashes(text.lower().split())
+    h = word_hashes(text.lower().split(), "neardup")
     if not len(h):
         return h
     size = min(SHINGLE, len(h))

@@ -180,7 +180,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
     @F.pandas_udf("string")
     def text(column):
-        pieces = once(("scored pieces", model), lambda: Pieces(model))
+        pieces = once("pieces", ("scored pieces", model), lambda: Pieces(model))
         return column.map(lambda found: None if found is None else pieces.decode(found))
 
     return rows.withColumn("text", text(rows[ids]))
@@ -190,7 +190,7 @@ def _unit_table(model: str) -> WordTable:
     """Ids of units; units whose ids do not spell them again are noted in ``lost``."""
 
     def build():
-        pieces = once(("scored pieces", model), lambda: Pieces(model))
+        pieces = once("pieces", ("scored pieces", model), lambda: Pieces(model))
 
         def ids_of(unit: str) -> bytes:
             marked = unit.replace(" ", SPACE)
@@ -223,7 +223,7 @@ def _unit_table(model: str) -> WordTable:
         table.lost = set()
         return table
 
-    return once(("unit ids", model), build)
+    return once("pieces", ("unit ids", model), build)
 
 
 def round_trip(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -40,7 +40,7 @@ def script(points: np.ndarray) -> str:
 
 def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     """Words that stand in a window of ``size`` words found twice or more in the text."""
-    windows = sequence_hashes(word_hashes(words), size)
+    windows = sequence_hashes(word_hashes(words, "quality"), size)
     if not len(windows):
         return 0
     order = np.argsort(windows, kind="stable")
@@ -93,9 +93,9 @@ def quality(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) ->
     """
 
     def measure(texts: list[bytes]):
-        pieces = once(("pieces", model), lambda: sentencepiece.SentencePieceProcessor(model_file=model))
+        pieces = once("quality", ("pieces", model), lambda: sentencepiece.SentencePieceProcessor(model_file=model))
         make = lambda w: np.array(pieces.encode(w.decode("utf-8", "replace")), np.uint16).tobytes()
-        cache = once(("word ids", model), lambda: WordCache(make))
+        cache = once("quality", ("word ids", model), lambda: WordCache(make))
         rows = []
         for text in texts:
             words = text.split()

@@ -105,13 +105,13 @@ def token_counts(docs: DataFrame, vocab: str, keep: tuple[str, ...] = ("doc_id",
     """
 
     def measure(texts: list[bytes]):
-        automaton = once(("automaton", vocab), lambda: Automaton(vocabulary(vocab)))
+        automaton = once("tokens", ("automaton", vocab), lambda: Automaton(vocabulary(vocab)))
 
         def make(chunk: str):
             found = parts(chunk)
             return len(found), sum(automaton.count(w.encode()) for w in found)
 
-        cache = once(("chunk counts", vocab), lambda: WordCache(make))
+        cache = once("tokens", ("chunk counts", vocab), lambda: WordCache(make))
         words, tokens = [], []
         for text in texts:
             counts = [cache[c] for c in text.decode("utf-8", "replace").split()]

@@ -53,7 +53,7 @@ def _word(word: bytes) -> bytes:
 
 def features(text: bytes) -> np.ndarray:
     """Distinct buckets of a text's words, their stems, pairs of neighbours and pairs one word apart."""
-    cache = once("word and stems", lambda: WordCache(_word))
+    cache = once("toxicity", "word and stems", lambda: WordCache(_word))
     found = np.frombuffer(b"".join(map(cache.__getitem__, words_of(text))), _U).reshape(-1, 1 + len(STEMS))
     h = found[:, 0]
     pairs = mixed(h[:-1] * _U(3) + mixed(h[1:]) + _U(1)) if len(h) > 1 else h[:0]
