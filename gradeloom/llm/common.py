@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gradeloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-KEPT_WORDS, FRESH_WORDS = 300_000, 200_000
+KEPT_WORDS, FRESH_WORDS = 220_000, 150_000
 TOGETHER = 256
 LONGEST_KEPT = 64
 _U = np.uint64

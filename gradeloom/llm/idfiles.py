@@ -172,7 +172,7 @@ class Encoder:
 
     def __init__(self, tokenizer: str):
         loaded = Tokenizer.from_file(tokenizer)
-        self.ids = lambda text: np.array(loaded.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        self.ids = lambda text: np.array(loaded.encode(text, add_special_tokens=False).ids, "<u4")
         end = loaded.model.end_of_word_suffix
         self.closes = np.zeros(loaded.get_vocab_size(), bool)
         self.closes[[i for piece, i in loaded.get_vocab().items() if end and piece.endswith(end)]] = True
