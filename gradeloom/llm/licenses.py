@@ -22,7 +22,7 @@ PHRASES = (
 #: Licenses by label, each with its keyword, the ways it is named, and its versions. Words as the scan
 #: reads them; "" stands for a license without a version.
 FAMILIES = (
-    ("mit", "mit", r"mit|expat|x11", ("",)),
+    ("mit", "mit|expat|x11", r"mit|expat|x11", ("",)),
     ("apache", "apache", r"apache(?: software)?", ("2", "1 1", "1")),
     ("gpl", "gnu general public|gpl", r"gnu general public|gnu gpl|gpl", ("3", "2", "1")),
     ("lgpl", "lesser general public|library general public|lgpl",
@@ -45,9 +45,9 @@ FAMILIES = (
     ("isc", "isc", r"isc", ("",)),
     ("zlib", "zlib", r"zlib(?: libpng)?", ("",)),
     ("libpng", "libpng", r"libpng", ("2", "")),
-    ("boost", "boost", r"boost(?: software)?|bsl", ("1",)),
+    ("boost", "boost|bsl", r"boost(?: software)?|bsl", ("1",)),
     ("unlicense", "unlicense", r"unlicense", ("",)),
-    ("wtfpl", "what the fuck public|wtfpl", r"do what the fuck you want to public|wtfpl", ("2", "1")),
+    ("wtfpl", "what the fuck you want|wtfpl", r"do what the fuck you want to public|wtfpl", ("2", "1")),
     ("postgresql", "postgresql", r"postgresql", ("",)),
     ("openssl", "openssl", r"openssl", ("",)),
     ("php", "php", r"php", ("3 01", "3")),
@@ -101,9 +101,10 @@ NOTICES = (
 
 _SEPARATORS = bytes(b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123))
 _LOWER = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
-#: One of these stands in every text that a rule can match.
+#: One of these, or ``BARE``, stands in every text that a rule can match: a bare name counts with its version alone.
 GATES = (b"licen", b"spdx", b"cc ", b"cc0", b"creative commons", b"rights reserved", b"public domain", b"proprietary",
          b"permission", b"redistribution", b"unencumbered")
+BARE = re.compile(rb" v(?:ersion | ?)[0-9]")
 
 STRENGTH = {4: 1.0, 3: 0.95, 2: 0.8, 1: 0.6, 0: 0.5}
 
@@ -182,6 +183,11 @@ def places(joined: bytes, phrase: str) -> list[int]:
     return out
 
 
+def gated(joined: bytes) -> bool:
+    """Whether any rule can match; without, no rule is run."""
+    return any(g in joined for g in GATES) or BARE.search(joined) is not None
+
+
 def detections(joined: str, table: list[Rule]) -> list[Detection]:
     found = []
     for rule in table:
@@ -195,8 +201,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     ``n_words``; ``n_base``, ``first_word``, ``last_word`` and ``base_labels`` of the fixed phrases; ``labels`` with
     those of the rules; ``score``, the strength of the best evidence (0 without any); ``detections``, the rules' kept
-    matches as ``label:first word:end word``. A null text is empty. Nothing is shuffled; a text without a gate word costs
-    one pass.
+    matches as ``label:first word:end word``. A null text is empty. Nothing is shuffled; a text without a gate word or
+    the version of a bare name costs one pass.
     """
 
     def measure(texts: list[bytes]):
@@ -207,7 +213,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             hits, joined = [], b" " + spaced + b" "
             if b"license" in spaced or b"cc by nc" in spaced:
                 hits = [(at, label) for phrase, label in PHRASES for at in places(joined, phrase)]
-            kept = detections(spaced.decode("utf-8", "replace"), table) if any(g in spaced for g in GATES) else []
+            kept = detections(spaced.decode("utf-8", "replace"), table) if gated(spaced) else []
             plain = spaced.decode("utf-8", "replace") if kept else ""
             base = {label for _, label in hits}
             starts = [at for at, _ in hits]

@@ -1,6 +1,7 @@
 """Operators that measure one text at a time, against plain Python, on odd tables."""
 
 import random
+from re import _parser
 
 import numpy as np
 import public_tokenizers
@@ -135,6 +136,50 @@ def test_rules_and_suppression(text, labels):
     assert all(a.end <= b.start for a, b in zip(found, found[1:]))
 
 
+def _sample(rng, tree):
+    """A text that a parsed pattern matches, with branches and repeats by chance."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += chr(rng.choice(arg)[1])
+        elif name == "BRANCH":
+            out += _sample(rng, rng.choice(arg[1]))
+        elif name == "SUBPATTERN":
+            out += _sample(rng, arg[3])
+        elif name == "MAX_REPEAT":
+            out += "".join(_sample(rng, arg[2]) for _ in range(rng.randint(arg[0], arg[1])))
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def test_license_rules_pass_their_gates():
+    rng, table = random.Random(5), licenses.rules()
+    for rule in table:
+        for _ in range(40):
+            text = " ".join(f"see {_sample(rng, _parser.parse(rule.pattern.pattern))} here".split())
+            assert rule.pattern.search(text), text
+            assert licenses.gated(text.encode()) and any(k in text for k in rule.keywords), text
+            assert licenses.detections(text, table), text
+
+
+def test_licenses_named_without_the_word(spark):
+    texts = ["This program is distributed under the GNU GPL v3", "GPL, version 2", "LGPL v2.1 or later", "AGPL-v3", "Apache v 2",
+             "MPL v2.0", "WTFPL v2", "do what the fuck you want to public version 2", "BSL v1.0", "Eclipse Public v2",
+             "under the Expat License", "version 3 of the GPL", "release v2 of a program", "plain words"]
+    rows = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    table = licenses.rules()
+    for i, text in enumerate(texts):
+        found = licenses.detections(b" ".join(licenses.words_of(text.encode())).decode(), table)
+        assert rows[i]["labels"] == ",".join(sorted({d.label for d in found})) and (rows[i]["score"] > 0) == bool(found), text
+    assert [rows[i]["labels"] for i in range(len(texts))] == [
+        "gpl-3", "gpl-2", "lgpl-2.1", "agpl-3", "apache-2", "mpl-2", "wtfpl-2", "wtfpl-2", "boost-1", "epl-2", "mit", "", "", "",
+    ]
+
+
 def test_personal_data(docs):
     rows = by_id(pii.personal_data(docs))
     for i, text in enumerate(TEXTS):
