@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gradeloom.llm.common import groups, stored
 
-#: Pivots are a sample of the vectors, by a hash of the id: one for ``PER_PIVOT`` vectors, within these bounds.
-PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 256, 128, 4096
+#: Pivots are a sample of the vectors, by a hash of the id: one for ``PER_PIVOT`` vectors, within these bounds. The most
+#: is such that the files a query looks into stay a sixth of all, however large the table; blocks carry the growth.
+PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 256, 128, 200
 ORDER = 64
 POSTED, PROBED = 8, 32
 RERANKED = 512
-BLOCK, QUERIES = 4096, 256
+BLOCK, QUERIES = 4096, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -212,6 +212,22 @@ def test_recall_with_a_vector_that_a_third_of_all_rows_repeat(spark, monkeypatch
     assert hits >= 0.9 * total
 
 
+def test_recall_does_not_fall_as_the_table_grows(spark, monkeypatch):
+    """With a pivot for each vector, the table is to the index what one of a million is; queries see the same share."""
+    monkeypatch.setattr(neighbours, "PER_PIVOT", 1)
+    found = np.random.default_rng(4).normal(size=(6000, 24)).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(found)]
+    df = _vectors(spark, rows)
+    assert neighbours.PROBED >= 0.15 * len(neighbours.choose_pivots(df))
+    got = neighbours.search(df).collect()
+    wide, hits = found.astype(np.float64), 0
+    for query in range(0, 6000, 100):
+        distance = ((wide - wide[query]) ** 2).sum(axis=1)
+        distance[query] = np.inf
+        hits += len({r["vec_id"] for r in got if r["query_id"] == query} & set(np.argsort(distance)[:10].tolist()))
+    assert hits >= 0.95 * 600
+
+
 def test_footrule():
     rng = np.random.default_rng(3)
     for _ in range(50):
