@@ -84,6 +84,39 @@ def test_near_duplicates(spark, monkeypatch, region):
     assert ids.count(None) == 2
 
 
+def _near(docs, words, percent):
+    """``(number, component)`` of ``(id, text)`` pairs by comparing all of them, pair by pair."""
+
+    def shingles(text):
+        found = plain.WORD.findall(plain.lowered(text))
+        size = min(words, len(found))
+        return {tuple(found[i : i + size]) for i in range(len(found) - size + 1)} if found else set()
+
+    sets, leader = [shingles(t) for _, t in docs], list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(leader[a], leader[b]), min(leader[a], leader[b])
+                leader = [new if x == old else x for x in leader]
+    return leader
+
+
+@pytest.mark.parametrize("words,percent", [(5, 80)])
+def test_near_duplicates_of_any_likeness(spark, words, percent):
+    """A text of 100 words and the same with 20 more are near by five words and 80, not by three and 85."""
+    base = [f"b{i}" for i in range(120)]
+    docs = list(enumerate([" ".join(base[:100]), " ".join(base), *_crowd()]))
+    like = neardup.Likeness(words, percent)
+    wanted = [docs[k][0] for k in _near(docs, words, percent)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, like).collect()}
+    assert [rows[i] for i, _ in docs] == wanted
+    assert rows[1] == 0 and _near(docs[:2], 3, 85) == [0, 1]
+    kept = {r["doc_id"] for r in neardup.one_of_each(df, like).collect()}
+    assert kept == set(wanted)
+
+
 def test_many_exact_copies(spark):
     """Thousands of copies are one class; a third of all rows are one text."""
     text = F.when(F.col("id") % 3 == 0, "the one text of a third of all rows").otherwise(
