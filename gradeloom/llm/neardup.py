@@ -357,11 +357,22 @@ def near_duplicates(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
 def one_of_each(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     """The rows of ``docs`` that are kept, one for each component, with all their columns.
 
-    Rows without an id stay; rows that repeat a kept id count as copies, and the one least in the order of text stays.
+    Rows without an id stay. Texts that share an id are documents of their own: each stays unless it is a copy. Of rows
+    that repeat an id and a set of shingles, the one least in the order of text stays.
     """
-    found = near_duplicates(docs, like)
-    kept = stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    found = _by_class(_typed(docs), like, apart=True).where("doc_id IS NOT NULL")
+    leads = F.coalesce("component", "rep").eqNullSafe(F.col("rep")) & F.coalesce(F.col("doc_id") == F.col("holder"), F.lit(True))
+    found = stored(found.select("doc_id", F.coalesce("print", F.lit(b"")).alias("print"), leads.alias("leads")), "leads")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("leads").alias("leads")).where("leads")
+    ids = stored(ids.select("doc_id", "n"), "kept")
+    out = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    several = ids.where("n > 1").select("doc_id")
+    if not several.isEmpty():
+        kept = found.where("leads").join(several, "doc_id", "left_semi").select("doc_id", "print").distinct()
+        rows = docs.join(several, "doc_id", "left_semi")
+        rows = rows.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+        rows = sign(rows, like.words, ("row", "doc_id", "text")).withColumn("print", F.coalesce("print", F.lit(b"")))
+        rows = rows.join(kept, ["doc_id", "print"], "left_semi").groupBy("doc_id", "print")
+        least = F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")
+        out = out.unionByName(rows.agg(least).select("row.*"))
     return out.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -117,6 +117,18 @@ def test_near_duplicates_of_any_likeness(spark, words, percent):
     assert kept == set(wanted)
 
 
+def test_one_of_each_of_texts_that_share_an_id(spark):
+    words = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(5, words("a"), 1), (5, words("b"), 2), (3, words("a"), 3), (7, words("c"), 4), (7, words("d"), 5),
+            (8, words("e"), 6), (8, words("e") + " more", 7), (9, words("F"), 8), (9, words("f"), 9), (9, "", 10),
+            (2, words("g"), 11), (1, words("g"), 12), (None, words("a"), 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, print int").repartition(5)
+    kept = neardup.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(r["print"] for r in kept.collect())
+    assert [k for k in got if k not in (6, 7)] == [2, 3, 4, 5, 8, 10, 12, 13] and len(got) == 9
+
+
 def test_many_exact_copies(spark):
     """Thousands of copies are one class; a third of all rows are one text."""
     text = F.when(F.col("id") % 3 == 0, "the one text of a third of all rows").otherwise(
