@@ -24,7 +24,7 @@ DEEPER = (8, 16, 32, SIZE)
 REGION = 512
 ONE_TASK = 200_000
 #: Most probability that a pair at the threshold meets in no tree, and that its estimate is too low to be confirmed.
-UNMET, UNWORTHY = 2e-5, 1.2e-4
+UNMET, UNWORTHY = 2e-5, 1e-6
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1, 1 << 63, SIZE, dtype=np.uint64) * _U(2) + _U(1)

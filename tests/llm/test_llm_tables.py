@@ -1,5 +1,6 @@
 """Operators on whole tables, against plain Python, with hot groups and odd rows."""
 
+import math
 import random
 
 import numpy as np
@@ -117,6 +118,13 @@ def test_near_duplicates_of_any_likeness(spark, words, percent):
     assert kept == set(wanted)
 
 
+@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80), (2, 95), (3, 50)])
+def test_few_pairs_at_the_threshold_are_missed(words, percent):
+    like, s = neardup.Likeness(words, percent), percent / 100
+    unworthy = sum(math.comb(96, i) * s**i * (1 - s) ** (96 - i) for i in range(round(like.worth * 96)))
+    assert unworthy <= 1e-6 and (like.depth == 1 or (1 - s**like.depth) ** 16 <= 2e-5)
+
+
 def test_one_of_each_of_texts_that_share_an_id(spark):
     words = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
     rows = [(5, words("a"), 1), (5, words("b"), 2), (3, words("a"), 3), (7, words("c"), 4), (7, words("d"), 5),
