@@ -52,8 +52,8 @@ def few_shot_block(
 ) -> DataFrame:
     """One row with the pool's questions rendered with their answers, in order.
 
-    A chosen pool is shown whole. ``shots`` is how many examples the prompt shows of a larger one; Spark takes the first
-    with a distributed top-k, so that pool may be any size.
+    A chosen pool is shown whole: without ``shots`` it is one value and must be of bounded size. ``shots`` is how many
+    examples the prompt shows of a larger one; Spark takes the first with a distributed top-k, so that pool may be any size.
     """
     shown = pool.select(F.col(order_by).alias("ord"), linearized(style, **options).alias("txt"))
     if shots is not None:
