@@ -54,7 +54,8 @@ FROM counted
 NEAR = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s
@@ -75,4 +76,51 @@ SELECT doc_id, n AS n_shingles, coalesce(least(doc_id, other), doc_id) AS compon
 FROM sized LEFT JOIN least ON doc_id = node
 """
 
-ORACLES = {"op2_near_duplicates": NEAR, "op3_mix_sources": MIX}
+
+def _merkle(depth: int = 8) -> str:
+    """Trees of up to 16 ** depth nodes, level by level; a run of siblings is one text, cut at a node's place."""
+    field = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    row = lambda text: f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    crc = """xor(list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint),
+      lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::bigint), 4294967295::bigint)"""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"""leaves AS (
+  SELECT doc_id, source, {row('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {row(lower)} END AS changed FROM documents),
+a0 AS (
+  SELECT *, leaf AS digest, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS nodes FROM leaves),
+w0 AS (SELECT *, coalesce(changed, leaf) AS own, '' AS proof FROM a0)"""
+    ]
+
+    def climb(t: str, path: str, tree: str) -> str:
+        for k in range(depth):
+            steps.append(f"""{t}r{k} AS (
+  SELECT {tree}, place // 16 AS place, any_value(nodes) AS nodes, string_agg(digest, '' ORDER BY place) AS run
+  FROM {t}{k} WHERE nodes > 1 GROUP BY {tree}, place // 16),
+{t}{k + 1} AS (
+  SELECT {tree}, place, (nodes + 15) // 16 AS nodes, sha256(run) AS digest FROM {t}r{k}
+  UNION ALL SELECT {tree}, place, nodes, digest FROM {t}{k} WHERE nodes = 1),
+{path}{k + 1} AS (
+  SELECT p.* EXCLUDE (place, own, proof), p.place // 16 AS place,
+    CASE WHEN run IS NULL THEN own ELSE sha256(substr(run, 1, 64 * (p.place % 16)) || own ||
+      substr(run, 64 * (p.place % 16) + 65)) END AS own,
+    CASE WHEN run IS NULL THEN proof ELSE proof || substr(run, 1, 64 * (p.place % 16)) ||
+      substr(run, 64 * (p.place % 16) + 65) END AS proof
+  FROM {path}{k} p LEFT JOIN {t}r{k} r ON p.{tree} IS NOT DISTINCT FROM r.{tree} AND p.place // 16 = r.place)""")
+        return f"{t}{depth}"
+
+    tops = climb("a", "w", "source")
+    steps.append(f"""b0 AS (
+  SELECT source, 0 AS tree, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS nodes
+  FROM {tops}),
+v0 AS (
+  SELECT doc_id, leaf, 0 AS tree, b0.digest AS subroot, own, proof, b0.place AS place
+  FROM w{depth} w JOIN b0 ON w.source IS NOT DISTINCT FROM b0.source)""")
+    root = climb("b", "v", "tree")
+    return f"""WITH {", ".join(steps)}
+SELECT doc_id, leaf, subroot, b.digest AS root, sha256(proof) AS proof_sha256, own AS folded_root, own = b.digest AS verified
+FROM v{depth}, {root} b"""
+
+
+ORACLES = {"op11_merkle_manifest": _merkle(), "op2_near_duplicates": NEAR, "op3_mix_sources": MIX}

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import idfiles, licenses, mixing, neardup, neighbours, pieces, pii, quality, tokens, toxicity
+from gradeloom.llm import idfiles, licenses, merkle, mixing, neardup, neighbours, pieces, pii, quality, tokens, toxicity
 from gradeloom.llm.common import read
 from gradeloom.session import ship_package
 
@@ -77,3 +77,9 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_pieces(spark, sf_dir):
     return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.lowered_fifth(docs))
