@@ -77,6 +77,27 @@ FROM sized LEFT JOIN least ON doc_id = node
 """
 
 
+HARD = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::bigint AS score
+  FROM good a JOIN good b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::int AS rank, vec_id AS negative_id, positive_score,
+  score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 def _merkle(depth: int = 8) -> str:
     """Trees of up to 16 ** depth nodes, level by level; a run of siblings is one text, cut at a node's place."""
     field = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
@@ -123,4 +144,4 @@ SELECT doc_id, leaf, subroot, b.digest AS root, sha256(proof) AS proof_sha256, o
 FROM v{depth}, {root} b"""
 
 
-ORACLES = {"op11_merkle_manifest": _merkle(), "op2_near_duplicates": NEAR, "op3_mix_sources": MIX}
+ORACLES = {"op13_hard_negatives": HARD, "op11_merkle_manifest": _merkle(), "op2_near_duplicates": NEAR, "op3_mix_sources": MIX}

@@ -3,11 +3,11 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import idfiles, licenses, merkle, mixing, neardup, neighbours, pieces, pii, quality, tokens, toxicity
+from gradeloom.llm import hardneg, idfiles, licenses, merkle, mixing, neardup, neighbours, packing, pieces, pii, quality, tokens, toxicity
 from gradeloom.llm.common import read
 from gradeloom.session import ship_package
 
-WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_VOCABULARY, PIECE_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 REGISTRY = {}
 
 
@@ -83,3 +83,13 @@ def op10_pieces(spark, sf_dir):
 def op11_merkle_manifest(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return merkle.manifest(docs, merkle.lowered_fifth(docs))
+
+
+@query
+def op12_genetic_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), end_id=0)
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    return hardneg.mine(read(spark, sf_dir, "embeddings"))
