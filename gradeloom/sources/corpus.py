@@ -3,18 +3,22 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gradeloom.schema import MCQ, MELD_RESULT
+from gradeloom.sources.arrays import read_array
 
 
 def read_corpus(spark: SparkSession, path, *, layout: str = "lines", more: str | None = None) -> DataFrame:
     """Read questions with their given schema, and with ``more`` fields of the file as DDL text.
 
-    ``lines`` (one object per line) splits over tasks at any size. ``array`` reads files that hold one
-    JSON array each; such a file is one task, so large sets should be stored as lines.
+    ``lines`` is one object per line. ``array`` reads files that hold one JSON array each, ``parts`` files that make up
+    one array in the order of their names, as :func:`~gradeloom.sources.arrays.write_array` leaves them. All are split
+    over tasks at any size; arrays cost two more reads of the text.
     """
-    if layout not in ("lines", "array"):
+    if layout not in ("lines", "array", "parts"):
         raise ValueError(f"unknown layout {layout!r}")
     schema = T.StructType(MCQ.fields + (T.StructType.fromDDL(more).fields if more else []))
-    return spark.read.schema(schema).option("multiLine", layout == "array").json(path)
+    if layout == "lines":
+        return spark.read.schema(schema).json(path)
+    return read_array(spark, path, schema, across=layout == "parts")
 
 
 def write_rows(df: DataFrame, path: str) -> None:
@@ -24,7 +28,9 @@ def write_rows(df: DataFrame, path: str) -> None:
 
 def read_meld_results(spark: SparkSession, path, *, layout: str = "lines") -> DataFrame:
     """Stored memorization results, for scoring again without a model call."""
-    return spark.read.schema(MELD_RESULT).option("multiLine", layout == "array").json(path)
+    if layout == "lines":
+        return spark.read.schema(MELD_RESULT).json(path)
+    return read_array(spark, path, MELD_RESULT, across=layout == "parts")
 
 
 def read_run_settings(spark: SparkSession, path) -> DataFrame:

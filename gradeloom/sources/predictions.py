@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.letters import join_labels, label_count
 from gradeloom.functions.text import strip
+from gradeloom.operators.order import numbered
 
 RUN_IN_PATH = r"([^/]+)_prompt\d+\.txt(?:\.task2)?(?:/[^/]*)?$"
 
@@ -75,6 +76,21 @@ def unique_or_fail(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFr
     )
 
 
+def in_file_order(rows: DataFrame, by: list[str], *, position: str = "position", seq: str = "seq") -> DataFrame:
+    """Add each row's place among those of ``by``, from 0, in the order of files, splits and rows.
+
+    Splits of a file come in the order of their offset. The place follows from counts of range partitions; no sort meets
+    in one task. ``rows`` should be a read of files, with ``seq`` as :func:`read_lines` gives it.
+    """
+    parts = [F.length(F.col(seq)["file"]), *[F.col(seq)[c] for c in ("file", "offset", "row")]]
+    return numbered(rows, parts, by=by, number=position)
+
+
+def write_in_order(lines: DataFrame, path: str, order: list[Column | str], line: str = "value") -> None:
+    """Write a text column so that the files, in the order of their names, hold the lines in the given order."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select(line).write.text(path)
+
+
 def read_predictions(
     spark: SparkSession, path, *, parsing: str = "lenient", duplicates: str = "fail"
 ) -> DataFrame:

@@ -1,0 +1,110 @@
+"""JSON arrays cut into many splits, against the reader that takes each file whole."""
+
+import json
+import random
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from gradeloom.sources import arrays
+from gradeloom.sources.corpus import read_corpus
+
+SCHEMA = "id string, question string, answers map<string,string>, tags array<string>, inner struct<x:array<struct<y:string>>>"
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _value(rng):
+    scraps = ["{", "}", "[", "]", '"', "\\", "\\\\", ",", ":", "a", "é", "日", "😀", "\n", "\t", " ", '\\"', "}}", "]}"]
+    return "".join(rng.choice(scraps) for _ in range(rng.randrange(12)))
+
+
+def _row(rng, i):
+    return {
+        "id": f"{i}", "question": _value(rng), "answers": {x: _value(rng) for x in "abc"[: rng.randrange(4)]},
+        "tags": [_value(rng) for _ in range(rng.randrange(3))], "inner": {"x": [{"y": _value(rng)} for _ in range(rng.randrange(3))]},
+    }
+
+
+def _dumped(rng, rows):
+    return json.dumps(rows, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1, 4]), separators=rng.choice([None, (",", ":")]))
+
+
+def _both(spark, path):
+    whole = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+    split = arrays.read_array(spark, path, SCHEMA)
+    key = lambda df: sorted(map(str, df.collect()))
+    return key(split), key(whole)
+
+
+def test_equal_to_the_whole_file_reader(spark, tmp_path, small_splits):
+    rng = random.Random(7)
+    long = _row(rng, "long") | {"question": '{"' * 900}
+    sets = [[_row(rng, i) for i in range(60)], [long, _row(rng, 1), long], [_row(rng, 5)], []]
+    for n, rows in enumerate(sets):
+        (tmp_path / f"f{n}.json").write_text(_dumped(rng, rows) + rng.choice(["", "\n", " \n\n"]))
+    (tmp_path / "one.json").write_text(json.dumps(_row(rng, "lone")))
+    got, wanted = _both(spark, str(tmp_path))
+    assert got == wanted and len(got) == 65
+    segments = arrays._segments(spark, str(tmp_path))
+    assert segments.select("file", "start").distinct().count() > 15
+
+
+def test_lines_and_a_mark_at_the_start(spark, tmp_path, small_splits):
+    rows = [_row(random.Random(1), i) for i in range(9)]
+    (tmp_path / "lines").write_text("\n".join(json.dumps(r) for r in rows))
+    (tmp_path / "mark").write_bytes(b"\xef\xbb\xbf" + json.dumps(rows).encode())
+    found = arrays.read_array(spark, str(tmp_path), SCHEMA).groupBy("id").count().collect()
+    assert sorted((r["id"], r["count"]) for r in found) == sorted((str(i), 2) for i in range(9))
+
+
+def test_an_object_without_an_end_fails(spark, tmp_path, small_splits):
+    (tmp_path / "cut").write_text(json.dumps([_row(random.Random(2), i) for i in range(9)])[:-40])
+    with pytest.raises(PySparkException, match="does not end"):
+        arrays.read_array(spark, str(tmp_path), SCHEMA).collect()
+
+
+def test_order_of_objects(spark, tmp_path, small_splits):
+    (tmp_path / "a").write_text(json.dumps([{"id": str(i)} for i in range(200)]))
+    found = arrays.read_objects(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [json.loads(r["value"])["id"] for r in found] == [str(i) for i in range(200)]
+
+
+def test_states_beyond_the_broadcast_limit(spark, tmp_path, small_splits, monkeypatch):
+    monkeypatch.setattr(arrays, "MOST_SPLITS", 0)
+    rng = random.Random(3)
+    (tmp_path / "a.json").write_text(_dumped(rng, [_row(rng, i) for i in range(40)]))
+    got, wanted = _both(spark, str(tmp_path))
+    assert got == wanted
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_written_parts_are_one_array(spark, tmp_path, n):
+    rows = [(f"{i}", _value(random.Random(i)), {"a": "}"}, ["a"]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, question string, answers map<string,string>, correct_answers array<string>")
+    df.repartition(3).write.parquet(str(tmp_path / "rows"))
+    out = str(tmp_path / "array")
+    arrays.write_array(spark.read.parquet(str(tmp_path / "rows")), out, [F.col("id").cast("int")])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "array").glob("part-*")))
+    assert [r["id"] for r in json.loads(text)] == [str(i) for i in range(n)]
+    again = read_corpus(spark, out, layout="parts")
+    assert sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(ValueError):
+        read_corpus(spark, out, layout="other")
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    spark.range(50).write.parquet(str(tmp_path / "rows"))
+    bad = spark.read.parquet(str(tmp_path / "rows"))
+    failing = F.when(F.col("id") == 33, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id"))
+    with pytest.raises(PySparkException):
+        arrays.write_array(bad.select(failing.alias("id")), str(tmp_path / "out"), ["id"])
+    assert not list((tmp_path / "out").glob("part-*")) if (tmp_path / "out").exists() else True

@@ -123,6 +123,48 @@ def test_check_ids(spark):
     assert (got["other"]["missing"], got["other"]["unexpected"], got["other"]["complete"]) == (1, 1, False)
 
 
+def test_check_ids_joins_only_runs_that_differ(spark, monkeypatch):
+    """Equal runs, with repeated lines; forged ones of the same size; null ids; more and fewer ids; no references."""
+    ids = [f"q{i}" for i in range(50)]
+    runs = {
+        "same": ids, "again": ids + ids[:20], "forged": [*ids[:-1], "zz"], "swapped": [f"p{i}" for i in range(50)],
+        "null": [*ids[:-1], None], "more": [*ids, "zz"], "fewer": ids[:10],
+    }
+    rows = [(run, i) for run, found in runs.items() for i in found]
+    df, refs = spark.createDataFrame(rows, "run string, id string"), spark.createDataFrame([(i,) for i in ids + ids], "id string")
+    got = {r["run"]: r.asDict() for r in check_ids(df, refs).collect()}
+    for run, found in runs.items():
+        missing, extra = len(set(ids) - set(found)), len(set(found) - set(ids))
+        assert got.pop(run) == {
+            "run": run, "n_predicted": len(set(found)), "n_references": 50, "missing": missing, "unexpected": extra,
+            "complete": missing == 0 and len(set(found)) == 50, "same_ids": missing == extra == 0,
+        }
+    assert got == {}
+    equal = check_ids(df.where("run IN ('same', 'again')"), refs)
+    assert "Join" not in equal._jdf.queryExecution().optimizedPlan().toString()
+    assert equal.count() == 2
+    nothing = {r["run"]: r["unexpected"] for r in check_ids(df, refs.where("false")).collect()}
+    assert nothing["fewer"] == 10 and check_ids(df.where("false"), refs).collect() == []
+
+
+def test_places_in_file_order(spark, tmp_path):
+    """Several files a run, cut into many splits, lines that repeat."""
+    for run, n in (("one", 900), ("two", 3)):
+        for part in range(2):
+            lines = "".join(f"{part}-{i};a\n" for i in range(n)) + "same;a\n" * 5
+            folder = tmp_path / f"run={run}"
+            folder.mkdir(exist_ok=True)
+            (folder / f"part-{part}").write_text(lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+    try:
+        rows = I.in_file_order(I.read_lines(spark, str(tmp_path)), ["run"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for run, n in (("one", 900), ("two", 3)):
+        found = [r["value"] for r in sorted((r for r in rows if r["run"] == run), key=lambda r: r["position"])]
+        assert found == [x for part in range(2) for x in [f"{part}-{i};a" for i in range(n)] + ["same;a"] * 5]
+
+
 def test_splits(spark):
     a, b = spark.range(2), spark.range(3)
     rows = C.with_splits({"train": a, "validation": b}).groupBy("split").count().collect()
