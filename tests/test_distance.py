@@ -4,8 +4,9 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from gradeloom.functions import distance as D
+from gradeloom.functions import distance, distance as D
 from gradeloom.operators.memorize import meld_summary, with_distance
 
 # Fixed test data: two texts of a record with a known distance.
@@ -95,3 +96,57 @@ def test_summary_counts_the_threshold_in(spark):
     df = spark.createDataFrame([(0.05,), (0.06,), (0.0,), (None,)], "distance double")
     row = meld_summary(df).first()
     assert (row["n"], row["meld_rate"], row["avg_distance"]) == (3, pytest.approx(2 / 3), pytest.approx(0.11 / 3))
+
+
+def _edited(rng, text, changes):
+    out = list(text)
+    for _ in range(changes):
+        at, way = rng.randrange(len(out) + 1), rng.random()
+        if way < 0.4 or at == len(out):
+            out.insert(at, rng.choice("abcx😀"))
+        elif way < 0.7:
+            del out[at]
+        else:
+            out[at] = rng.choice("abcxé")
+    return "".join(out)
+
+
+def _pairs(rng, n):
+    pairs = []
+    for _ in range(n):
+        a = "".join(rng.choice("abcé😀") for _ in range(rng.randrange(70)))
+        pairs.append((a, _edited(rng, a, rng.choice([0, 1, 3, 9, 40]))))
+    return pairs
+
+
+def test_band_equals_the_full_table():
+    rng = random.Random(12)
+    pairs = _pairs(rng, 400)
+    found = distance.kept_of_all(pairs)
+    for (a, b), n in zip(pairs, found):
+        assert n == kept(a, b)
+        if a and b:
+            cost = distance.edit_cost(a, b)
+            assert distance.kept_in_band([a], [b], max(1, cost))[0] == n
+    assert [distance.edit_cost(a, b) for a, b in (("", "abc"), ("abc", ""), ("", ""), ("kitten", "sitting"))] == [3, 3, 0, 3]
+
+
+def test_long_texts_in_a_band():
+    """30,000 characters with 40 changes: the full table would have 900 million cells."""
+    rng = random.Random(13)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    changed = text[:10_000] + "zzzz" + text[10_020:20_000] + text[20_010:] + "q"
+    assert distance.edit_cost(text, changed) <= 45
+    assert distance.kept_of_all([(text, changed)]) == [30_000 - 30]
+
+
+def test_bound_decides_as_the_distance_does(spark):
+    rng = random.Random(14)
+    pairs = _pairs(rng, 200) + [("a" * n, "a" * k + "b" * (n - k)) for n in (100, 200) for k in range(n - 14, n + 1)]
+    pairs += [("ab" * 100, "ab" * 100 + "c" * k) for k in (1, 9, 30, 90)] + [(None, "a"), ("a", None), ("", "a"), ("a", ""), ("", "")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for at in (0.05, 0.2, 0.0):
+        rows = df.select(distance.within_distance(a, b, at).alias("fast"), (distance.edit_distance(a, b) <= at).alias("slow")).collect()
+        assert [r["fast"] for r in rows] == [r["slow"] for r in rows]
+        assert {r["fast"] for r in rows} == {True, False, None}
