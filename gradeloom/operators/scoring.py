@@ -5,6 +5,8 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions import letters
+from gradeloom.operators.agreement import agreement  # noqa: F401
+from gradeloom.session import materialize
 
 
 def join_predictions(predictions: DataFrame, references: DataFrame, on: str = "id") -> DataFrame:
@@ -16,28 +18,54 @@ def join_predictions(predictions: DataFrame, references: DataFrame, on: str = "i
     return predictions.join(references, on)
 
 
+def id_fingerprints(rows: DataFrame, by: list[str], on: str = "id") -> DataFrame:
+    """Per group the number of distinct ids, whether null is one, and two sums of independent 64-bit hashes over them.
+
+    The sums depend on no order and hold 128 bits beside the number, so two sets are equal if all three are; that a
+    different set has the same has a probability of about 10⁻³⁸.
+    """
+    distinct = rows.select(*by, on).distinct()
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), on).cast("decimal(20,0)"))
+    return distinct.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col(on).isNull()).alias("n_null"),
+        hashed(3).alias("print_a"),
+        hashed(5).alias("print_b"),
+    )
+
+
 def check_ids(predictions: DataFrame, references: DataFrame, on: str = "id") -> DataFrame:
     """Per run: how many reference ids are missing and how many predicted ids are not in the reference.
 
-    Counted from one left join, without pairing every run with every reference id. ``same_ids`` is the
-    check that both id sets are equal; ``complete`` the one that counts match and nothing is missing.
+    Runs whose fingerprint is that of the references are done with it; only the ids of runs that differ are joined, and no
+    run is paired with every reference id. ``same_ids`` is the check that both id sets are equal; ``complete`` the one that
+    counts match and nothing is missing. A null id counts, and equals none.
     """
-    known = references.select(on).distinct()
-    total = known.agg(F.count(F.lit(1))).scalar()
-    seen = predictions.select("run", on).distinct().join(known.withColumn("_known", F.lit(1)), on, "left")
-    return (
-        seen.groupBy("run")
-        .agg(F.count(F.lit(1)).alias("n_predicted"), F.count("_known").alias("_matched"))
-        .withColumn("n_references", total)
-        .select(
-            "run",
-            "n_predicted",
-            "n_references",
-            (F.col("n_references") - F.col("_matched")).alias("missing"),
-            (F.col("n_predicted") - F.col("_matched")).alias("unexpected"),
-        )
-        .withColumn("complete", (F.col("n_predicted") == F.col("n_references")) & (F.col("missing") == 0))
-        .withColumn("same_ids", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+    prints = materialize(id_fingerprints(predictions, ["run"], on), "id-prints")
+    total = materialize(id_fingerprints(references, [], on), "id-print").select(
+        F.col("n").alias("n_references"), F.col("print_a").alias("ref_a"), F.col("print_b").alias("ref_b")
+    )
+    total = total.first()
+    n_references = F.lit(total["n_references"]).cast("long")
+    alike = (F.col("n") == n_references) & (F.col("n_null") == 0)
+    for name in ("a", "b"):
+        alike &= F.col(f"print_{name}").eqNullSafe(F.lit(total[f"ref_{name}"]).cast("decimal(30,0)"))
+    prints = prints.select("run", F.col("n").alias("n_predicted"), alike.alias("_alike"))
+    found = prints.where("_alike").select("run", "n_predicted", F.col("n_predicted").alias("_matched"))
+    if not prints.where("NOT _alike").isEmpty():
+        other = prints.where("NOT _alike").select("run", "n_predicted")
+        known = references.select(on).distinct().withColumn("_known", F.lit(1))
+        seen = predictions.select("run", on).distinct().join(other, "run", "left_semi")
+        matched = seen.join(known, on, "left").groupBy("run").agg(F.count("_known").alias("_matched"))
+        found = found.unionByName(other.join(matched, "run"))
+    return found.withColumn("n_references", n_references).select(
+        "run",
+        "n_predicted",
+        "n_references",
+        (F.col("n_references") - F.col("_matched")).alias("missing"),
+        (F.col("n_predicted") - F.col("_matched")).alias("unexpected"),
+        ((F.col("n_predicted") == F.col("n_references")) & (F.col("n_references") == F.col("_matched"))).alias("complete"),
+        ((F.col("n_references") == F.col("_matched")) & (F.col("n_predicted") == F.col("_matched"))).alias("same_ids"),
     )
 
 
@@ -144,21 +172,6 @@ def pairwise_runs(predictions: DataFrame, pairs: list[tuple[str, str]]) -> DataF
     return _compared(predictions, pairs).where("in_a AND in_b").select("run_a", "run_b", "id", "same")
 
 
-def agreement(predictions: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Share of equal answers per pair of runs, with the ids only one of them has counted beside it."""
-    both = F.col("in_a") & F.col("in_b")
-    return (
-        _compared(predictions, pairs)
-        .groupBy("run_a", "run_b")
-        .agg(
-            F.count_if(both).alias("n"),
-            F.count_if(F.col("in_a") & ~F.col("in_b")).alias("only_a"),
-            F.count_if(~F.col("in_a") & F.col("in_b")).alias("only_b"),
-            F.avg(F.when(both, F.col("same").cast("double"))).alias("agreement"),
-        )
-    )
-
-
 def confusion(joined: DataFrame, predicted: str, reference: str, by: str = "run") -> DataFrame:
     """Rows per run, reference class and predicted class."""
     return joined.groupBy(by, F.col(reference).alias("ref"), F.col(predicted).alias("pred")).agg(

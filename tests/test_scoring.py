@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import scoring as S
+from gradeloom.operators import agreement, scoring as S
 
 SCHEMA = "run string, id string, labels array<string>, gold array<string>, n_options int"
 
@@ -141,6 +141,55 @@ def test_agreement_of_all_pairs_of_many_runs(spark):
         assert got[a, b]["only_a"] == sum((a, str(i)) in keys and (b, str(i)) not in keys for i in range(312))
 
 
+def _agreement(rows, a, b):
+    best = {}
+    for run, i, answer in rows:
+        key = None if answer is None else "".join(sorted(answer.split("|"))).lower()
+        known = best.get((run, i))
+        best[run, i] = known if key is None or known is not None and known > key else key
+    of = lambda run: {i for r, i in best if r == run}
+    both = of(a) & of(b)
+    same = sum(best[a, i] is not None and best[a, i] == best[b, i] for i in both)
+    return len(both), len(of(a) - of(b)), len(of(b) - of(a)), same / len(both) if both else None
+
+
+@pytest.mark.parametrize("block", [1 << 15, 64])
+def test_agreement_by_bitmaps(spark, monkeypatch, block):
+    """Repeated lines, null ids and answers, answers of many kinds, a run with itself, runs without ids."""
+    monkeypatch.setattr(agreement, "IDS_PER_BLOCK", block)
+    rng = random.Random(4)
+    runs = ["x", "y", "z", "hot", "none"]
+    rows = []
+    for _ in range(3000):
+        run = rng.choice(runs[:3])
+        rows.append((run, rng.choice([None, *map(str, range(500))]), rng.choice([None, "a", "b", "B|a", "a|b", "", str(rng.random())])))
+    rows += [("hot", "7", "a")] * 1500 + [("hot", "8", "c|a"), (None, "9", "a")]
+    df = spark.createDataFrame(rows, "run string, id string, answer string").repartition(7)
+    pairs = [(a, b) for a in runs for b in runs]
+    got = {(r["run_a"], r["run_b"]): (r["n"], r["only_a"], r["only_b"], r["agreement"]) for r in S.agreement(df, pairs).collect()}
+    for pair in pairs:
+        wanted = _agreement(rows, *pair)
+        if any(wanted[:3]):
+            assert got.pop(pair) == pytest.approx(wanted)
+    assert got == {}
+    assert S.agreement(df.where("false"), pairs).collect() == [] and S.agreement(df, []).collect() == []
+
+
+def test_agreement_moves_no_more_rows_for_more_pairs(spark):
+    runs = [f"r{i}" for i in range(20)]
+    df = spark.range(400).select(F.col("id").cast("string").alias("id"), F.explode(F.array(*map(F.lit, runs))).alias("run"), F.lit("a").alias("answer"))
+    every = [(a, b) for a in runs for b in runs if a < b]
+    chain = list(zip(runs, runs[1:]))
+
+    def moved(pairs):
+        plan = S.agreement(df, pairs)
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        return text.count("Exchange hashpartitioning")
+
+    assert moved(every) == moved(chain)
+
+
 def test_a_missing_class_is_no_class(spark):
     df = spark.createDataFrame([("x", "1", "1"), ("x", None, "2")], "run string, p string, r string")
     report = S.classification_report(df, "p", "r")
