@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom import fixed
+from gradeloom.operators.order import numbered
 from gradeloom.operators.prompts import render_prompts
+from gradeloom.session import materialize
 
 COPIES_AT_ONCE = 65536  # copies of one row that one task numbers in one go
 
@@ -133,3 +135,26 @@ def length_batches(df: DataFrame, key: str, length: str, *, batch_size: int, wid
         .withColumn("batch", F.floor((F.col("_offset") + F.col("_rank") - 1) / batch_size))
         .select(*bucketed.columns, "batch")
     )
+
+
+def length_grouped(df: DataFrame, key: str, length: str, *, batch_size: int, seed: int, most_batches: int = 50) -> DataFrame:
+    """``(key, length, place, batch)``: the order in which a trainer that groups by length takes rows.
+
+    Rows in random order are cut into mega-batches of up to ``most_batches`` batches (a quarter of all batches, if that is
+    fewer), and each is sorted by length, longest first, equal ones in their random order. The longest row of
+    all changes places with the very first, so that memory is asked for at once. Rows are numbered by a hash of their
+    unique key over range partitions, and a mega-batch is sorted on its own, so neither the table nor a favourite length
+    meets in one task. A null length counts as 0. ``df`` should be a read of stored rows.
+    """
+    rows = df.select(key, F.coalesce(F.col(length), F.lit(0)).alias(length))
+    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    size = batch_size * max(1, min(most_batches, rows.count() // (4 * batch_size)))
+    mega = F.floor(F.col("_at") / size)
+    inside = Window.partitionBy("_mega").orderBy(F.desc(length), "_at")
+    placed = numbered(rows, [order, key], number="_at").withColumn("_mega", mega)
+    placed = placed.withColumn("place", F.col("_mega") * size + F.row_number().over(inside) - 1)
+    placed = materialize(placed.select(key, length, "place"), "length-groups")
+    longest = placed.where(F.col("place") % size == 0).orderBy(F.desc(length), "place").select("place").first()
+    head = F.lit(longest["place"] if longest else 0)
+    place = F.when(F.col("place") == 0, head).when(F.col("place") == head, F.lit(0)).otherwise(F.col("place")).cast("long")
+    return placed.withColumn("place", place).withColumn("batch", F.floor(F.col("place") / batch_size))
