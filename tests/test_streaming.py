@@ -1,10 +1,17 @@
 """A run that writes predictions as question files arrive."""
 
 import json
+import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from gradeloom.functions.letters import parse_labels
 from gradeloom.operators.generate import one_by_one
+from gradeloom.operators.scoring import join_predictions, score_runs
 from gradeloom.plans.fixtures import stub_generator
 from gradeloom.sources.predictions import parse_lenient, read_lines
+from gradeloom.streaming import leaderboard as Board
 from gradeloom.streaming.predictions import stream_predictions
 
 
@@ -35,3 +42,46 @@ def test_stream_resumes_with_new_files(spark, tmp_path):
     assert set(second) == {"q1", "q2", "q3", "q4", "q5"}
     assert {k: second[k] for k in first} == first
     assert spark.read.text(out).count() == 5
+
+
+def _lines(rng, n):
+    keys, answers = [f"q{i}" for i in range(20)], ["a", "b", "a|c", ""]
+    return "".join(f"{rng.choice(keys)};{rng.choice(answers)}\n" for _ in range(n)) + rng.choice(["", "\n", "alone\n"])
+
+
+def test_last_lines_and_leaderboard_of_a_growing_folder(spark, tmp_path):
+    """Three steps, each a new query on the same state; the second adds a file that sorts before all others."""
+    rng = random.Random(6)
+    source, out, board = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "board")
+    refs = spark.createDataFrame([(f"q{i}", [rng.choice("abc")]) for i in range(18)], "id string, gold array<string>")
+    for names in (["x_prompt0.txt/5", "y_prompt0.txt/3"], ["x_prompt0.txt/1"], ["x_prompt0.txt/10", "y_prompt0.txt/4"]):
+        for name in names:
+            path = source / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(_lines(rng, 40))
+        Board.stream_last_lines(spark, str(source), out, str(tmp_path / "s1"), files_per_batch=1).awaitTermination()
+        Board.stream_leaderboard(spark, str(source), refs, board, str(tmp_path / "s2"), files_per_batch=1).awaitTermination()
+        wanted = {}
+        for path in sorted(source.glob("*/*"), key=lambda p: (len(str(p)), str(p))):
+            for line in path.read_text().split("\n"):
+                if line:
+                    key, *answer = line.split(";")
+                    wanted[path.parent.name[0], key] = answer[0] if answer else None
+        got = {(r["run"], r["id"]): r["answer"] for r in Board.last_lines(spark, out).collect()}
+        assert got == wanted
+        rows = [(run, i, a) for (run, i), a in wanted.items()]
+        whole = spark.createDataFrame(rows, "run string, id string, answer string")
+        whole = join_predictions(whole.withColumn("labels", parse_labels(F.col("answer"))), refs)
+        recount = {r["run"]: r for r in score_runs(whole).collect()}
+        table = {r["run"]: r for r in Board.leaderboard(spark, board).collect()}
+        assert set(table) == set(recount)
+        for run, r in recount.items():
+            assert table[run]["n"] == r["n"]
+            assert table[run]["exact_match"] == pytest.approx(r["exact_match"])
+            assert table[run]["hamming_score"] == pytest.approx(r["hamming_score"])
+    before = sorted(map(str, Board.leaderboard(spark, board).collect()))
+    last = sorted((tmp_path / "s2" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+    (tmp_path / "s2" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    last.unlink()
+    Board.stream_leaderboard(spark, str(source), refs, board, str(tmp_path / "s2"), files_per_batch=1).awaitTermination()
+    assert sorted(map(str, Board.leaderboard(spark, board).collect())) == before
