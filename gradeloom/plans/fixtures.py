@@ -47,10 +47,8 @@ def _line_numbers(lines) -> Column:
 
 
 def _labels(marked) -> Column:
-    """Letters of the marked line numbers among all of an order, ``a`` if none is marked."""
-    numbers = F.array_distinct(F.transform(F.filter("lines", marked), lambda x: x["line"]))
-    letters = F.transform("numbers", lambda n, i: F.struct(n.alias("n"), _letter_at(i).alias("letter")))
-    found = F.transform(F.filter(letters, lambda x: F.array_contains(numbers, x["n"])), lambda x: x["letter"])
+    """Letters of the marked lines of an order, ``a`` if none is marked."""
+    found = F.array_distinct(F.transform(F.filter("lettered", marked), lambda x: x["letter"]))
     return F.when(F.size(found) == 0, F.array(F.lit(fixed.DEFAULT_LABEL))).otherwise(found)
 
 
@@ -58,13 +56,21 @@ def answer_sheet(t: Tables) -> DataFrame:
     """One row per order: number of options, gold letters and the letters of each run.
 
     Distinct lines are gathered in one aggregation, combined before the shuffle; whichever columns are asked for, the
-    aggregation is the same, so a plan that uses the sheet twice shuffles it once. Orders may have any number of lines.
+    aggregation is the same, so a plan that uses the sheet twice shuffles it once. An order's lines are sorted and lettered
+    once for all label sets. Orders may have any number of lines.
     """
     line = F.struct(
         F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("returned"), F.col("l_linestatus").alias("filled")
     )
-    orders = t("lineitem").groupBy(F.col("l_orderkey").alias("okey")).agg(F.collect_set(line).alias("lines"))
-    return orders.withColumn("numbers", _line_numbers("lines")).select(
+    orders = t("lineitem").groupBy(F.col("l_orderkey").alias("okey")).agg(F.array_sort(F.collect_set(line)).alias("lines"))
+    orders = orders.withColumn("numbers", F.array_distinct(F.col("lines")["line"]))
+    lettered = F.transform(
+        "lines",
+        lambda x: F.struct(
+            _letter_at((F.array_position("numbers", x["line"]) - 1).cast("int")).alias("letter"), x["returned"], x["filled"]
+        ),
+    )
+    return orders.withColumn("lettered", lettered).select(
         "okey",
         question_id(F.col("okey")).alias("id"),
         F.size("numbers").cast("long").alias("n_options"),
@@ -208,6 +214,11 @@ def digest_generator():
     return digest
 
 
+def limited_generator():
+    """A stand-in that keeps to the number of tokens its settings allow, and gives all without any."""
+    return lambda prompts, params: [digest(p)[: int(x.get("max_new_tokens", 32))] for p, x in zip(prompts, params)]
+
+
 def flaky_generator():
     """A stand-in that fails zero to three times per prompt before it answers."""
     calls: dict[str, int] = {}

@@ -95,6 +95,9 @@ turns AS (
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 
 
+_LAST = "CASE WHEN substr(id, 1, 1) >= '8' THEN strict WHEN substr(id, 1, 1) >= '4' THEN status ELSE broad END"
+
+
 def _options(entries: str, keys: str | None = None) -> str:
     kept = f"list_filter({entries}, lambda o: contains('{keys}', o.k))" if keys else entries
     return f"array_to_string(list_transform({kept}, lambda o: '(' || o.k || ') ' || o.v || '.'), chr(10))"
@@ -320,6 +323,7 @@ _PER_OPTION = f"round(sum({_overlap('labels', 'gold')}) / sum(n_options), 6) AS
 
 ORACLES = {
     "scan_mcq": _with(_MCQ, _SHOWN),
+    "scan_mcq_array": _with(_MCQ, _SHOWN),
     "scan_predictions": _with(
         _LINES,
         "SELECT run, split_part(line, ';', 1) AS id, CASE WHEN contains(line, ';') THEN split_part(line, ';', 2) END "
@@ -363,11 +367,10 @@ block AS (SELECT string_agg(txt, chr(10) || chr(10) ORDER BY id) AS txt FROM sho
     "few_shot_whole_pool": _with(
         _MCQ
         + f""",
-block AS (
-  SELECT string_agg({_GOLD}, chr(10) || chr(10) ORDER BY id) AS txt FROM mcq
-  WHERE okey % 5000 = 1 AND o_orderpriority = '1-URGENT')""",
+shots AS (SELECT id, {_GOLD} AS txt FROM mcq ORDER BY id LIMIT 5),
+block AS (SELECT string_agg(txt, chr(10) || chr(10) ORDER BY id) AS txt FROM shots)""",
         f"SELECT id, {_templated(f"(coalesce((SELECT txt FROM block) || chr(10) || chr(10), '') || {_OPEN})", 'en/0')} "
-        "AS prompt FROM mcq WHERE o_orderpriority = '2-HIGH'",
+        "AS prompt FROM mcq WHERE id NOT IN (SELECT id FROM shots)",
     ),
     "chat_messages": _with(
         _MCQ + f",\nprompted AS (SELECT id, {_templated(_OPEN)} AS prompt FROM mcq)",
@@ -469,6 +472,20 @@ failing AS (SELECT *, ('0x' || substr(md5(prompt), 1, 1))::INTEGER // 4 AS n FRO
         f"SELECT id, CASE WHEN n < 3 THEN {_STUB.format('prompt')} END AS generated, "
         "least(n + 1, 3)::BIGINT AS attempts, CASE WHEN n >= 3 THEN 'Throttled: try again' END AS error FROM failing",
     ),
+    "generate_with_settings": _with(
+        _MCQ,
+        f"SELECT id, CASE WHEN o_orderpriority = '5-LOW' THEN md5({_templated(_OPEN)}) "
+        f"ELSE substr(md5({_templated(_OPEN)}), 1, substr(o_orderpriority, 1, 1)::INTEGER) END AS generated FROM mcq",
+    ),
+    "generate_at_rate": _with(
+        _MCQ,
+        f"SELECT id, md5({_templated(_OPEN)}) AS generated, count(*) OVER () AS n_slots, count(*) OVER () AS n_calls FROM mcq",
+    ),
+    "stream_last_lines": _with(_SHEET, f"SELECT 'mine' AS run, id, {_joined(_LAST)} AS answer FROM sheet"),
+    "stream_leaderboard": _with(
+        _SHEET + f", pred AS (SELECT 'mine' AS run, gold, {_LAST} AS labels FROM sheet)",
+        f"SELECT run, {_SCORES} FROM pred GROUP BY run",
+    ),
     "pending_questions": _with(
         _SHEET,
         f"SELECT id, {_joined('gold')} AS gold FROM sheet "
@@ -529,6 +546,11 @@ WHERE place = 1""".strip(),
         f"SELECT run, id, {_same_set('labels', 'gold')} AS exact, round({_overlap('labels', 'gold')}, 6) AS overlap, "
         f"round({_overlap('gold', 'labels')}, 6) AS overlap_refs_first FROM scored",
     ),
+    "scores_in_file_order": _with(
+        _SHEET,
+        f"SELECT row_number() OVER (ORDER BY id) - 1 AS position, id, {_same_set('strict', 'gold')} AS exact, "
+        f"round({_overlap('strict', 'gold')}, 6) AS overlap FROM sheet",
+    ),
     "hamming_score": _with(
         _REPEATED, f"SELECT run, round(avg({_overlap('gold', 'labels')}), 6) AS hamming_score FROM scored GROUP BY run"
     ),
@@ -621,6 +643,12 @@ JOIN (SELECT run, avg(f1) AS macro_f1 FROM report GROUP BY run) USING (run)""",
         "FROM measured GROUP BY 1",
         recursive=True,
     ),
+    "meld_rate": _with(
+        _EDIT,
+        "SELECT o_orderpriority, count(distance) AS n, round(avg(CASE WHEN distance <= 0.05 THEN 1.0::DOUBLE "
+        "WHEN distance > 0.05 THEN 0.0::DOUBLE END), 6) AS meld_rate FROM measured GROUP BY 1",
+        recursive=True,
+    ),
     "meld_results": _with(
         _EDIT,
         "SELECT id, saved_options, shown AS prompt, reference, generated, round(distance, 6) AS distance FROM measured",
@@ -647,6 +675,16 @@ FROM orders""".strip(),
         f"AS prompt_part, string_split(text, '{fixed.COMPLETION_MARKER}')[2] AS completion_part, "
         f"strpos(text, '{fixed.COMPLETION_MARKER}') + {len(fixed.COMPLETION_MARKER) - 1} AS completion_start FROM sft",
     ),
+    "length_grouped": f"""
+WITH sized AS (SELECT doc_id, len({_TOKENS}) AS length FROM documents),
+size AS (SELECT 24 * greatest(1, least(50, count(*) // 96)) AS n FROM sized),
+shuffled AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) - 1 AS pos FROM sized),
+sorted AS (
+  SELECT doc_id, length, n, pos // n * n + row_number() OVER (PARTITION BY pos // n ORDER BY length DESC, pos) - 1 AS place
+  FROM shuffled, size),
+head AS (SELECT place AS h FROM sorted WHERE place % n = 0 ORDER BY length DESC, place LIMIT 1),
+swapped AS (SELECT doc_id, CASE place WHEN 0 THEN h WHEN h THEN 0 ELSE place END AS place FROM sorted, head)
+SELECT doc_id, place::BIGINT AS place, (place // 24)::BIGINT AS batch FROM swapped""".strip(),
     "length_batches": f"""
 WITH sized AS (SELECT doc_id, len({_TOKENS}) // 16 AS length_bucket FROM documents)
 SELECT doc_id, length_bucket,

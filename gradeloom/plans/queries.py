@@ -8,9 +8,10 @@ from gradeloom.operators import answers as A, generate as G, memorize as M, prom
 from gradeloom.operators import rewrite as W, scoring as S, training as T
 from gradeloom.plans import fixtures as D, jobs as J
 from gradeloom.plans.fixtures import Tables
-from gradeloom.session import scratch_path, ship_package
+from gradeloom.session import materialize, scratch_path, ship_package
 from gradeloom.sources import corpus as C, predictions as I
-from gradeloom.streaming import predictions as Stream
+from gradeloom.sources.arrays import write_array
+from gradeloom.streaming import leaderboard as Board, predictions as Stream
 
 REGISTRY = {}
 
@@ -101,6 +102,14 @@ def scan_mcq(t):
     return shown(C.read_corpus(t.spark, path))
 
 
+@query
+def scan_mcq_array(t):
+    """One JSON array over all files of a folder, written in the order of ids and read by many tasks."""
+    path = scratch_path(t.spark, "array")
+    write_array(materialize(D.mcq(t), "questions"), path, ["id"])
+    return shown(C.read_corpus(t.spark, path, layout="parts"))
+
+
 @query
 def scan_predictions(t):
     return I.parse_lenient(stored_lines(t)).select("run", "id", "answer")
@@ -213,10 +222,10 @@ def few_shot_prompt(t):
 
 @query
 def few_shot_whole_pool(t):
-    """A pool shown whole: the urgent partial orders of the largest total, if they are few."""
-    rows = D.questions(t).withColumn("number", F.regexp_extract("question", r"^Order (\d+) ", 1).cast("long"))
-    chosen = rows.where((F.col("number") % 5000 == 1) & (F.col("o_orderpriority") == "1-URGENT"))
-    asked = rows.where(F.col("o_orderpriority") == "2-HIGH")
+    """A pool of five questions, the first by id, is shown whole to all others."""
+    rows = materialize(D.mcq(t), "questions")
+    chosen = rows.orderBy("id").limit(5)
+    asked = G.pending(rows, chosen, ["id"])
     return R.few_shot_prompts(asked, chosen, template_id="en/0").select("id", "prompt")
 
 
@@ -361,6 +370,26 @@ def generate_with_retry(t):
     return tried.select("id", "generated", long(F.col("attempts")).alias("attempts"), "error")
 
 
+@query
+def generate_with_settings(t):
+    """Each row's settings reach the generator: those of an order's priority bound the length of the answer."""
+    prompted = R.render_prompts(D.questions(t)).select("id", "prompt", "o_orderpriority")
+    limit = F.create_map(F.lit("max_new_tokens"), F.substr("o_orderpriority", F.lit(1), F.lit(1)))
+    params = F.when(F.col("o_orderpriority") != "5-LOW", limit)
+    return G.generate(prompted, D.limited_generator, params=params).select("id", "generated")
+
+
+@query
+def generate_at_rate(t):
+    """Answers of a job held to a rate; ``n_slots`` is how many moments of it were dealt out."""
+    prompted = R.render_prompts(D.mcq(t)).select("id", "prompt")
+    paced = G.generate_at_rate(prompted, G.one_by_one(D.digest_generator), per_second=20_000, tasks=2)
+    rows = materialize(paced.select("id", "generated", "slot"), "paced")
+    last = rows.agg((F.max("slot") + 1).alias("n_slots"), F.count_distinct("slot").alias("n_calls"))
+    last = last.select(F.struct("n_slots", "n_calls").alias("slots")).scalar()
+    return rows.select("id", "generated", last["n_slots"].alias("n_slots"), last["n_calls"].alias("n_calls"))
+
+
 @query
 def pending_questions(t):
     done = t("orders").where(F.col("o_orderstatus") == "F").select(D.question_id(F.col("o_orderkey")).alias("id"))
@@ -376,6 +405,32 @@ def stream_predictions(t):
     return I.parse_lenient(t.spark.read.text(out))
 
 
+def _corrected_lines(t: Tables) -> str:
+    """A folder of prediction files in three generations: each corrects lines of those before it."""
+    path = scratch_path(t.spark, "corrected")
+    rows = materialize(D.answer_sheet(t).select("id", *D.RUNS), "sheet")
+    for number, run in enumerate(("broad", "status", "strict")):
+        some = rows.where(F.substr("id", F.lit(1), F.lit(1)) >= F.lit("048"[number]))
+        some.select(I.prediction_line(F.col("id"), F.col(run)).alias("value")).write.text(f"{path}/run=mine/{number}")
+    return path
+
+
+@query
+def stream_last_lines(t):
+    path, (out, state) = _corrected_lines(t), [scratch_path(t.spark, name) for name in ("changes", "state")]
+    for _ in range(2):
+        Board.stream_last_lines(t.spark, path, out, state, files_per_batch=4).awaitTermination()
+    return Board.last_lines(t.spark, out)
+
+
+@query
+def stream_leaderboard(t):
+    path, (out, state) = _corrected_lines(t), [scratch_path(t.spark, name) for name in ("sums", "state")]
+    refs = materialize(D.references(t).select("id", "gold"), "references")
+    Board.stream_leaderboard(t.spark, path, refs, out, state, files_per_batch=4).awaitTermination()
+    return rounded(Board.leaderboard(t.spark, out), "exact_match", "hamming_score")
+
+
 def routed(t: Tables) -> DataFrame:
     segment = F.col("c_mktsegment")
     model = (
@@ -465,6 +520,24 @@ def dedup_last(t):
 # Scores
 
 
+@query
+def scores_in_file_order(t):
+    """Scores of a run in the order of its reference file, written so and numbered again as read."""
+    sheet = materialize(D.answer_sheet(t).select("id", "gold", "strict"), "sheet")
+    paths = [scratch_path(t.spark, name) for name in ("references", "scores")]
+    I.write_in_order(sheet.select("id", I.prediction_line(F.col("id"), F.col("gold")).alias("value")), paths[0], ["id"])
+    lines = I.in_file_order(I.read_lines(t.spark, paths[0]), ["run"])
+    refs = I.parse_lenient(lines).select("position", "id", letters.parse_labels(F.col("answer")).alias("gold"))
+    joined = S.join_predictions(refs, sheet.select("id", F.col("strict").alias("labels")))
+    rows = rounded(S.score_rows(joined), "overlap")
+    line = F.concat_ws(";", "id", F.col("exact").cast("string"), F.format_string("%.6f", "overlap"))
+    I.write_in_order(rows.select("position", line.alias("value")), paths[1], ["position"])
+    fields = F.split("value", ";")
+    return I.in_file_order(I.read_lines(t.spark, paths[1]), ["run"]).select(
+        "position", fields[0].alias("id"), fields[1].cast("boolean").alias("exact"), fields[2].cast("double").alias("overlap")
+    )
+
+
 @query
 def exact_match(t):
     return rounded(S.exact_match(scored_with_repeats(t)), "exact_match")
@@ -592,6 +665,12 @@ def meld_summary(t):
     return rounded(M.meld_summary(M.with_distance(rows), ["o_orderpriority"]), "meld_rate", "avg_distance")
 
 
+@query
+def meld_rate(t):
+    rows = recalled(t).select("o_orderpriority", "reference", "generated")
+    return rounded(M.meld_rate(rows, ["o_orderpriority"]), "meld_rate")
+
+
 @query
 def meld_results(t):
     return rounded(
@@ -664,3 +743,11 @@ def length_batches(t):
     sized = t("documents").select("doc_id", F.size(T.white_space_tokens(F.col("text"))).alias("length"))
     batches = T.length_batches(sized, "doc_id", "length", batch_size=24)
     return batches.select("doc_id", *[long(F.col(c)).alias(c) for c in ("length_bucket", "batch")])
+
+
+@query
+def length_grouped(t):
+    sized = t("documents").select("doc_id", F.size(T.white_space_tokens(F.col("text"))).alias("length"))
+    return T.length_grouped(materialize(sized, "lengths"), "doc_id", "length", batch_size=24, seed=42).select(
+        "doc_id", *[long(F.col(c)).alias(c) for c in ("place", "batch")]
+    )
