@@ -80,9 +80,9 @@ class Encoder:
         letters = [p for p in parts if _LETTERS.fullmatch(p)]
         found: dict[str, bytes] = {}
         for some, glue, ends in ((spaced, "", self._after_spaces), (letters, "\n", self._between_lines)):
-            for start in range(0, len(some), 1024):
-                chunk = some[start : start + 1024]
-                found |= self._cut(chunk, glue.join(chunk), ends)
+            for start in range(0, len(some), 128):
+                chunk = some[start : start + 128]
+                found.update(self._cut(chunk, glue.join(chunk), ends))
         rest = [p for p in parts if p not in found]
         return found | {p: ids.tobytes() for p, ids in zip(rest, self._encoded(rest))}
 
