@@ -91,6 +91,16 @@ def write_in_order(lines: DataFrame, path: str, order: list[Column | str], line:
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select(line).write.text(path)
 
 
+def write_runs_in_order(lines: DataFrame, path: str, order: str = "position", line: str = "value") -> None:
+    """Write ``(run, position, value)`` as a folder for each run, whose files in the order of their names hold its lines in order.
+
+    Ranges of (run, position) are written by a task each, so a large run is split and small ones share a task. Files appear
+    when all are written; a failed job leaves none, and the same rows give the same lines again.
+    """
+    ranged = lines.repartitionByRange("run", order).sortWithinPartitions("run", order)
+    ranged.select("run", line).write.partitionBy("run").text(path)
+
+
 def read_predictions(
     spark: SparkSession, path, *, parsing: str = "lenient", duplicates: str = "fail"
 ) -> DataFrame:

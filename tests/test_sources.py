@@ -147,6 +147,25 @@ def test_check_ids_joins_only_runs_that_differ(spark, monkeypatch):
     assert nothing["fewer"] == 10 and check_ids(df.where("false"), refs).collect() == []
 
 
+def test_runs_written_in_order(spark, tmp_path):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 7).cast("string"))).alias("run"),
+        F.col("id").alias("position"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"),
+    ).repartition(5)
+    wanted = {}
+    for r in sorted(df.collect(), key=lambda r: r["position"]):
+        wanted.setdefault(r["run"], []).append(r["value"])
+    for name in ("one", "again"):
+        I.write_runs_in_order(df, str(tmp_path / name))
+        for run, lines in wanted.items():
+            files = sorted((tmp_path / name / f"run={run}").glob("part-*"))
+            assert "".join(f.read_text() for f in files).split() == " ".join(lines).split()
+    bad = df.withColumn("value", F.when(F.col("position") == 77, F.raise_error(F.lit("stop"))).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="stop"):
+        I.write_runs_in_order(bad, str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").rglob("part-*")) or not list((tmp_path / "bad").glob("run=*"))
+
+
 def test_places_in_file_order(spark, tmp_path):
     """Several files a run, cut into many splits, lines that repeat."""
     for run, n in (("one", 900), ("two", 3)):
