@@ -1,5 +1,6 @@
 """Words, hashes, tables and worker-side caches that the operators of this package share."""
 
+import os
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -9,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tokenizers import Tokenizer
+
 from gradeloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +49,12 @@ def once(owner: str, name, build: Callable):
     return store["kept"][name]
 
 
+def tokenizer(path: str) -> Tokenizer:
+    """A vocabulary of the tokenizers library, without the threads by which it would take the cores of other tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
 class WordCache(dict):
     """``make(word)`` of the words met lately. It holds a fixed number of short words, whatever the corpus."""
 
@@ -164,19 +173,38 @@ MARKS = 1 << 24
 _PAGE = 1 << 15
 
 
+def _with_marks(df: DataFrame, column: Column, keys: Column, of: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean ``flag``: whether ``column`` may be among the ``keys`` of the other table."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).cast("int")
+    page = lambda c: (place(c) / _PAGE).cast("int")
+    marks = of.select(page(keys).alias("_page"), F.bitmap_bit_position(place(keys) % _PAGE + 1).alias("_bit"))
+    marks = stored(marks.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_marks")), "marks")
+    found = df.join(F.broadcast(marks), page(column) == F.col("_page"), "left")
+    byte = F.shiftright(place(column) % _PAGE, 3)
+    marked = F.conv(F.hex(F.col("_marks").substr(byte + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(marked, place(column) % 8) == 1, F.lit(False))
+    return found.select(*[df[c] for c in df.columns], marked.alias(flag))
+
+
 def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``column`` may be among the ``keys`` (of the same name); a join decides afterwards.
 
     Keys mark places of a bitmap of ``MARKS`` places, which goes to all tasks: 2 MB, whatever the number of keys. It
     spares a join the shuffle of rows without a partner; the more keys there are, the more rows it lets through.
     """
-    place = lambda: F.pmod(F.xxhash64(F.col(column)), F.lit(MARKS)).cast("int")
-    page, byte = (place() / _PAGE).cast("int"), F.shiftright(place() % _PAGE, 3)
-    marks = keys.select(page.alias("_page"), F.bitmap_bit_position(place() % _PAGE + 1).alias("_bit")).groupBy("_page")
-    marks = stored(marks.agg(F.bitmap_construct_agg("_bit").alias("_marks")), "marks")
-    found = df.join(F.broadcast(marks), page == F.col("_page"))
-    marked = F.conv(F.hex(F.col("_marks").substr(byte + 1, F.lit(1))), 16, 10).cast("int")
-    return found.where(F.getbit(marked, place() % 8) == 1).select(*df.columns)
+    return _with_marks(df, F.col(column), F.col(column), keys, "_maybe").where("_maybe").drop("_maybe")
+
+
+def apart(df: DataFrame, column: Column, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``column`` may be among the values of ``key``, and those where it surely is not.
+
+    Only the first need a join to change or drop some of them; the others stay where they are. See :func:`maybe_in`.
+    """
+    flag = "_maybe"
+    while flag in df.columns:
+        flag += "_"
+    marked = _with_marks(df, column, F.col(key), keys, flag)
+    return marked.where(F.col(flag)).drop(flag), marked.where(~F.col(flag)).drop(flag)
 
 
 def _arrow(kind: str) -> pa.DataType:

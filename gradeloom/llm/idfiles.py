@@ -24,9 +24,8 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
-from tokenizers import Tokenizer
 
-from gradeloom.llm.common import TOGETHER, WordTable, once, stored, texts
+from gradeloom.llm.common import TOGETHER, WordTable, once, stored, texts, tokenizer
 from gradeloom.session import scratch_path
 
 MAGIC = b"GLIDS001"
@@ -170,9 +169,9 @@ class Encoder:
     id that closes a word, which tells them apart again.
     """
 
-    def __init__(self, tokenizer: str):
-        loaded = Tokenizer.from_file(tokenizer)
-        self.ids = lambda text: np.array(loaded.encode(text, add_special_tokens=False).ids, "<u4")
+    def __init__(self, path: str):
+        loaded = tokenizer(path)
+        self.ids = lambda text: np.array(loaded.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         end = loaded.model.end_of_word_suffix
         self.closes = np.zeros(loaded.get_vocab_size(), bool)
         self.closes[[i for piece, i in loaded.get_vocab().items() if end and piece.endswith(end)]] = True
@@ -192,13 +191,13 @@ class Encoder:
         texts = {w: w.decode("utf-8", "replace") for w in todo}
         plain = [w for w, t in texts.items() if t.isalpha()]
         found: dict[bytes, bytes] = {}
-        for start in range(0, len(plain), 1024):
-            some = plain[start : start + 1024]
+        for start in range(0, len(plain), 128):
+            some = plain[start : start + 128]
             ids = self.ids(" ".join([texts[w] for w in some]))
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
                 raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
-                found |= {w: raw[a:b] for w, a, b in zip(some, cuts, cuts[1:])}
+                found.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
         found |= {w: self.ids(t).tobytes() for w, t in texts.items() if w not in found}
         of = lambda w: found[w] if w in found else known(w)
         found |= {word: of(body) + of(signs) for word, (body, signs) in ends.items()}
@@ -208,7 +207,7 @@ class Encoder:
         return self.table.reduced([self.pieces(text) for text in found], b"".join)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, kind: str = "byte") -> DataFrame:
+def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, kind: str = "byte") -> DataFrame:
     """Write every document's ids in ascending ``doc_id`` order; ``(part, path, n_docs, n_ids)``, a row for each file.
 
     Range-sorting by id is the one shuffle; encoding, planes and compression follow in the task that writes the file, as
@@ -224,7 +223,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = once("idfiles", ("ids", tokenizer), lambda: Encoder(tokenizer)), None
+        encoder, out = once("idfiles", ("ids", vocabulary), lambda: Encoder(vocabulary)), None
         for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
             if out is None:
                 number = batch["part"][0].as_py()
