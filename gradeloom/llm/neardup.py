@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import groups, maybe_in, mixed, per_text, sequence_hashes, stored, texts, word_hashes
+from gradeloom.llm.common import apart, groups, maybe_in, mixed, per_text, sequence_hashes, stored, texts, word_hashes
 
 TREES = 16
 STEP = 6
@@ -302,10 +302,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _by_class(docs: DataFrame, like: Likeness, apart: bool) -> DataFrame:
+def _by_class(docs: DataFrame, like: Likeness, each: bool) -> DataFrame:
     """``doc_id, n_shingles, print`` of every row, ``holder, rep`` of its class, and ``component`` of linked nodes.
 
-    The holder is the smallest id of a class, and its node. Where classes share that id they are one node, or if ``apart``, all but the
+    The holder is the smallest id of a class, and its node. Where classes share that id they are one node, or if ``each``, all but the
     one of least print get a number beyond all ids, so each is linked, and kept or not, on its own.
     """
     signed = stored(sign(docs, like.words), "signed")
@@ -313,7 +313,7 @@ def _by_class(docs: DataFrame, like: Likeness, apart: bool) -> DataFrame:
     classes = stored(classes.agg(F.min("doc_id").alias("holder"), F.first("n_shingles").alias("n_shingles"),
                                  F.first("signature").alias("signature")), "classes")
     shared = classes.groupBy(F.col("holder").alias("shared")).agg(F.count("*").alias("n"), F.min("print").alias("least"))
-    shared = stored(shared.where("n > 1").select("shared", "least"), "shared") if apart else None
+    shared = stored(shared.where("n > 1").select("shared", "least"), "shared") if each else None
     if shared is None or shared.isEmpty():
         classes = classes.withColumn("rep", F.col("holder"))
     else:
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     smallest id is the same count as one document. What is sent to one place is bounded by two blocks of ``REGION``
     documents.
     """
-    rows = _by_class(_typed(docs), like, apart=False)
+    rows = _by_class(_typed(docs), like, each=False)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     rows = rows.select("doc_id", "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -357,16 +357,18 @@ def near_duplicates(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
 def one_of_each(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     """The rows of ``docs`` that are kept, one for each component, with all their columns.
 
-    Rows without an id stay. Texts that share an id are documents of their own: each stays unless it is a copy. Of rows
+    Rows without an id stay, and rows that stay whatever their class is do not move. Texts that share an id are documents of their own: each stays unless it is a copy. Of rows
     that repeat an id and a set of shingles, the one least in the order of text stays.
     """
-    found = _by_class(_typed(docs), like, apart=True).where("doc_id IS NOT NULL")
+    found = _by_class(_typed(docs), like, each=True).where("doc_id IS NOT NULL")
     leads = F.coalesce("component", "rep").eqNullSafe(F.col("rep")) & F.coalesce(F.col("doc_id") == F.col("holder"), F.lit(True))
     found = stored(found.select("doc_id", F.coalesce("print", F.lit(b"")).alias("print"), leads.alias("leads")), "leads")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("leads").alias("leads")).where("leads")
-    ids = stored(ids.select("doc_id", "n"), "kept")
-    out = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    several = ids.where("n > 1").select("doc_id")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("leads").alias("leads"))
+    ids = stored(ids.where("NOT leads OR n > 1"), "not-kept-whole")
+    gone = ids.select(F.col("doc_id").alias("gone"))
+    some, out = apart(docs, F.col("doc_id").cast("long"), gone, "gone")
+    out = out.unionByName(some.join(gone, some["doc_id"].cast("long") == F.col("gone"), "left_anti"))
+    several = ids.where("leads").select("doc_id")
     if not several.isEmpty():
         kept = found.where("leads").join(several, "doc_id", "left_semi").select("doc_id", "print").distinct()
         rows = docs.join(several, "doc_id", "left_semi")
@@ -375,4 +377,4 @@ def one_of_each(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
         rows = rows.join(kept, ["doc_id", "print"], "left_semi").groupBy("doc_id", "print")
         least = F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")
         out = out.unionByName(rows.agg(least).select("row.*"))
-    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+    return out

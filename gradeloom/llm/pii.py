@@ -8,7 +8,7 @@ kind ``context``. All of it is built-in expressions.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.llm.common import stored
+from gradeloom.llm.common import apart, stored
 
 KINDS = ("email", "ip", "card", "phone", "context")
 
@@ -216,7 +216,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of a text replaced by its kind in angle brackets; other columns as they are.
 
-    Spans that overlap are replaced together, by the kind of the first. A null text stays null.
+    Spans that overlap are replaced together, by the kind of the first. A null text stays null. Texts without a span do not
+    move.
     """
     free = lambda n: n if n not in docs.columns else free(f"{n}_")
     spans, doc, mark = free("pii_spans"), free("pii_doc"), free("pii_print")
@@ -224,9 +225,10 @@ def masked(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias(doc), F.col("print").alias(mark), F.array_sort(F.concat("spans", "context")).alias(spans)
     )
     found = stored(found.where(F.size(spans) > 0).dropDuplicates([doc, mark]), "spans-to-mask")
-    text = docs["text"]
-    rows = docs.join(
-        found, docs["doc_id"].cast("long").eqNullSafe(found[doc]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == found[mark]), "left"
+    some, clean = apart(docs, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), found, mark)
+    text = some["text"]
+    rows = some.join(
+        found, some["doc_id"].cast("long").eqNullSafe(found[doc]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == found[mark]), "left"
     )
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -240,4 +242,4 @@ def masked(docs: DataFrame) -> DataFrame:
 
     end = lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text")))
     changed = F.when(F.col(spans).isNull(), text).otherwise(F.aggregate(spans, start, step, end))
-    return rows.select(*[changed.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return rows.select(*[changed.alias("text") if c == "text" else some[c] for c in docs.columns]).unionByName(clean)
