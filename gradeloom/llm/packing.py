@@ -17,16 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
 
-from gradeloom.llm.common import TOGETHER, WordTable, once, stored
+from gradeloom.llm.common import LONGEST_KEPT, TOGETHER, once, stored, tokenizer
 from gradeloom.operators.order import numbered
 
 CAPACITY = 2048
 ISLANDS, POPULATION, EPOCHS, CHILDREN = 8, 5, 4, 16
 #: Patterns of a solution, for each token of a sequence. Best fit alone needs fewer; a child with more is given up.
 MOST_PATTERNS = 16
-KEPT_PARTS = 200_000
+#: Stretches that a worker keeps: those met twice, those met once, and parts. About 200 bytes each.
+KEPT, FRESH, KEPT_PARTS = 250_000, 500_000, 100_000
+#: Signs that the vocabulary never joins to a Latin letter before them.
+SIGNS, BEYOND_LATIN = frozenset(".,;:!?"), "\u0250"
 _CUT, _HARD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
 #: How the vocabulary cuts ASCII text before merging. Fixed: it must cut as the library does.
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -44,62 +46,105 @@ class Encoder:
     where a token begins with the space.
     """
 
-    def __init__(self, tokenizer: str):
-        self.library = Tokenizer.from_file(tokenizer)
+    def __init__(self, path: str):
+        self.library = tokenizer(path)
         vocabulary = self.library.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.newline = vocabulary["Ċ"]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.table = WordTable(self._new)
+        self.kept: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.signs = {c: self._encoded([f"a{c}"])[0][1:].tobytes() for c in SIGNS}
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
-    def _cut(self, parts: list[str], joined: str, ends) -> dict[str, bytes]:
-        """Ids of parts encoded as one text, cut by ``ends(ids)``; empty if the cuts are not those of the parts."""
-        ids = self._encoded([joined])[0]
-        spans = ends(ids)
-        if len(spans) != len(parts):
-            return {}
-        raw = ids.tobytes()
-        return {p: raw[4 * a : 4 * b] for p, (a, b) in zip(parts, spans)}
-
-    def _after_spaces(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        starts = np.flatnonzero(self.opens[ids]).tolist()
-        return list(zip(starts, [*starts[1:], len(ids)])) if starts and starts[0] == 0 else []
-
-    def _between_lines(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        stops = np.flatnonzero(ids == self.newline).tolist()
-        return list(zip([0, *[s + 1 for s in stops]], [*stops, len(ids)]))
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        spaced = [p for p in parts if p[0] == " " and len(p) > 1 and not p[1:].split(maxsplit=1)[1:] and not p[1].isspace() and not p[-1].isspace()]
-        letters = [p for p in parts if _LETTERS.fullmatch(p)]
-        found: dict[str, bytes] = {}
-        for some, glue, ends in ((spaced, "", self._after_spaces), (letters, "\n", self._between_lines)):
-            for start in range(0, len(some), 128):
-                chunk = some[start : start + 128]
-                found.update(self._cut(chunk, glue.join(chunk), ends))
-        rest = [p for p in parts if p not in found]
-        return found | {p: ids.tobytes() for p, ids in zip(rest, self._encoded(rest))}
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words without white space, each as if it stood alone behind a space."""
+        out: dict[str, bytes] = {}
+        for start in range(0, len(words), TOGETHER):
+            some = words[start : start + TOGETHER]
+            ids = self._encoded([" " + " ".join(some)])[0]
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(some) and starts[0] == 0:
+                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                out.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+            else:
+                out.update(zip(some, [i.tobytes() for i in self._encoded([f" {w}" for w in some])]))
+        return out
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of ASCII letters, each as if it stood alone, at the start of a text or behind other signs."""
+        out: dict[str, bytes] = {}
+        for start in range(0, len(words), TOGETHER):
+            some = words[start : start + TOGETHER]
+            ids = self._encoded(["\n".join(some)])[0]
+            stops = [*(4 * np.flatnonzero(ids == self.newline)).tolist(), 4 * len(ids)]
+            raw, starts = ids.tobytes(), [0, *[s + 4 for s in stops]]
+            out.update(zip(some, map(raw.__getitem__, map(slice, starts, stops))))
+        return out
 
     def _new(self, stretches: list[str]) -> dict[str, bytes]:
-        """Ids of stretches: ASCII ones by their parts, which repeat more often than they do."""
-        split = {}
+        """Ids of stretches. Words go to the library together; a word with a sign behind it is made of two parts.
+
+        Other stretches of ASCII are cut into parts, which repeat more often than they do.
+        """
+        words, signed, split, wanted = {}, [], {}, {}
+        kept, earlier, parts = self.kept, self.fresh, self.parts
         for s in stretches:
-            full = s[1:] if s[:1] == "\0" else f" {s}"
-            split[s] = _PARTS.findall(full) if full.isascii() else [full] if full else []
-        if len(self.parts) > KEPT_PARTS:
-            self.parts.clear()
-        wanted = dict.fromkeys(p for parts in split.values() for p in parts if p not in self.parts)
-        fresh = self._learn(list(wanted))
-        of = lambda p: fresh[p] if p in fresh else self.parts[p]
-        out = {s: b"".join(map(of, parts)) for s, parts in split.items()}
-        self.parts.update((p, v) for p, v in fresh.items() if len(p) <= 64)
-        return out
+            if s.isalpha():
+                words[s] = None
+            elif s[-1:] in SIGNS and (base := s[:-1]).isalpha() and base[-1] < BEYOND_LATIN:
+                signed.append((s, base))
+                if base not in kept and base not in earlier:
+                    words[base] = None
+            else:
+                full = s[1:] if s[:1] == "\0" else f" {s}"
+                split[s] = _PARTS.findall(full) if full.isascii() else [full] if full else []
+                for p in split[s]:
+                    if p[0] == " " and (word := p[1:]).isalpha():
+                        if word not in kept and word not in earlier:
+                            words[word] = None
+                    elif p not in parts:
+                        wanted[p] = None
+        out = self.words(list(words))
+        known = lambda w: out.get(w) or kept.get(w) or earlier[w]
+        fresh = self._letters([p for p in wanted if _LETTERS.fullmatch(p)])
+        rest = [p for p in wanted if p not in fresh]
+        fresh.update(zip(rest, [ids.tobytes() for ids in self._encoded(rest)]))
+        of = lambda p: known(p[1:]) if p[0] == " " and p[1:].isalpha() else fresh[p] if p in fresh else parts[p]
+        more = {s: b"".join(map(of, found)) for s, found in split.items()}
+        more.update((s, known(base) + self.signs[s[-1]]) for s, base in signed)
+        if len(parts) > KEPT_PARTS:
+            parts.clear()
+        parts.update((p, v) for p, v in fresh.items() if len(p) <= LONGEST_KEPT)
+        return out | more
+
+    def _ids(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of stretches. Those met twice are kept longest, so the many met once do not push them out."""
+        found = [list(map(self.kept.get, stretches)) for stretches in split]
+        holes, missing, earlier = [], {}, self.fresh.get
+        for stretches, values in zip(split, found):
+            for at in [i for i, value in enumerate(values) if value is None]:
+                stretch = stretches[at]
+                value = earlier(stretch)
+                if value is None:
+                    missing[stretch] = None
+                    holes.append((values, at, stretch))
+                else:
+                    self.kept[stretch] = values[at] = value
+        new = self._new(list(missing))
+        for values, at, stretch in holes:
+            values[at] = new[stretch]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        if len(self.fresh) + len(new) > FRESH:
+            self.fresh.clear()
+        self.fresh.update([(s, v) for s, v in new.items() if len(s) <= LONGEST_KEPT])
+        return [b"".join(values) for values in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if "\0" in t or any(s in t for s in self.special)}
@@ -109,7 +154,7 @@ class Encoder:
             if found:
                 found[0] = "\0" + found[0]
             split.append(found)
-        out = self.table.reduced(split, b"".join)
+        out = self._ids(split)
         for i in whole:
             out[i] = self._encoded([texts[i]])[0].tobytes()
         return out
@@ -121,7 +166,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *[(a, a + capacity) for a in range(first, n, capacity)]] if n else []
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every document, its ids followed by ``end_id``.
 
     A null text is empty and has the end id alone; rows that repeat an id are documents of their own.
@@ -132,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once("packing", ("ids", tokenizer), lambda: Encoder(tokenizer))
+        encoder = once("packing", ("ids", vocabulary), lambda: Encoder(vocabulary))
         for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
             rows = []
             for doc_id, raw in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
@@ -322,7 +367,7 @@ def best_solution(spark: SparkSession, demand: dict[int, int], capacity: int = C
         return run
 
     for epoch in range(EPOCHS):
-        grown = state.groupBy("island").applyInArrow(grower(epoch), "island long, rank int, bins long, solution string")
+        grown = state.repartition(ISLANDS, "island").groupBy("island").applyInArrow(grower(epoch), "island long, rank int, bins long, solution string")
         grown = stored(grown, "islands")
         best = grown.orderBy("bins", "island", "rank").select("bins", "solution").first()
         if best["bins"] <= least:
@@ -365,7 +410,7 @@ class Places:
         return sequence, offset
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``: a place for every piece of every document.
 
     Only documents of more than ``capacity`` tokens are cut. An empty table gives no row; equal documents are packed one by
@@ -373,7 +418,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     patterns, which is also what tasks are sent. Pieces of a favourite length are numbered over all partitions that hold
     them, so they do not meet in one task.
     """
-    found = pieces(docs, tokenizer, end_id, capacity)
+    found = pieces(docs, vocabulary, end_id, capacity)
     demand = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     spark = docs.sparkSession
