@@ -15,11 +15,11 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import LONGEST_KEPT, TOGETHER, WordTable, once, per_text
+from gradeloom.llm.common import TOGETHER, WordTable, once, per_text
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-_UNITS = re.compile(r" +[^ ]*")
+_UNITS = re.compile(f"[ {SPACE}]+[^ {SPACE}]*")
 _SIGNS_LAST = re.compile(r"(.*\w)([^\w ]+)", re.DOTALL)
 
 
@@ -64,49 +64,51 @@ class Pieces:
             return [self.unknown]
         return [self.bytes[b] for b in character.encode("utf-8", "replace")]
 
-    def short(self, text: str) -> list[int]:
-        """The split of a text that ends within the window, so that nothing needs to be given out before its end."""
-        trie, n = self.trie, len(text)
-        best, back, last = [0.0] + [-math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
-        for i in range(n):
-            here, node, j = best[i], trie, i
-            for c in text[i : i + self.longest]:
-                entry = node.get(c)
-                if entry is None:
-                    break
-                j += 1
-                score, piece, node = entry
-                score += here
-                if score > best[j]:
-                    best[j], back[j], last[j] = score, i, piece
-            if text[i] not in self.scores and here + self.unknown_score > best[i + 1]:
-                best[i + 1], back[i + 1], last[i + 1] = here + self.unknown_score, i, -1
-        return self._path(text, back, last, 0, n)
-
     def split(self, text: str) -> Iterator[int]:
         """Ids of the best split of ``text``, given out as soon as they are settled.
 
-        Of equally good splits, the one whose last piece began earliest wins, place by place.
+        Where nothing reaches beyond a place, all paths run through it and the search starts anew there: between words, and
+        often inside them. Where paths stay apart for long, they are followed back to the last place they share. Of equally
+        good splits, the one whose last piece began earliest wins, place by place.
         """
-        trie, longest, missing = self.trie, self.longest, self.unknown_score
-        base, n, check = 0, len(text), 4 * longest
+        trie, scores, longest, missing = self.trie, self.scores, self.longest, self.unknown_score
+        base, front, check = 0, 0, 4 * longest
         best, back, last = [0.0], [0], [-1]
-        for i in range(n):
-            here, node, j = best[i - base], trie, i
-            while j < n and (entry := node.get(text[j])) is not None:
+        for i in range(len(text)):
+            if i == front and i > base:
+                yield from self._path(text, back, last, base, i)
+                base, check = i, 4 * longest
+                best, back, last = [0.0], [i], [-1]
+            here, node, j = best[i - base], trie, i - base
+            for c in text[i : i + longest]:
+                entry = node.get(c)
+                if entry is None:
+                    break
                 j += 1
                 score, piece, node = entry
-                if piece >= 0:
-                    self._reach(best, back, last, j - base, here + score, i, piece)
-            if text[i] not in self.scores:
-                self._reach(best, back, last, i + 1 - base, here + missing, i, -1)
-            if i - base >= check:
-                ends = range(i + 1, base + len(best))
-                live = {p for p in ends if best[p - base] is not None}
+                if j == len(best):
+                    best.append(-math.inf)
+                    back.append(i)
+                    last.append(-1)
+                if here + score > best[j]:
+                    best[j], back[j], last[j] = here + score, i, piece
+                    if j + base > front:
+                        front = j + base
+            j = i + 1 - base
+            if text[i] not in scores:
+                if j == len(best):
+                    best.append(-math.inf)
+                    back.append(i)
+                    last.append(-1)
+                if here + missing > best[j]:
+                    best[j], back[j], last[j] = here + missing, i, -1
+                    front = max(front, i + 1)
+            if j >= check:
+                live = {p for p in range(i + 1, front + 1) if best[p - base] > -math.inf}
                 while len(live) > 1:
-                    front = max(live)
-                    live.remove(front)
-                    live.add(back[front - base])
+                    furthest = max(live)
+                    live.remove(furthest)
+                    live.add(back[furthest - base])
                 settled = live.pop()
                 if settled > base:
                     yield from self._path(text, back, last, base, settled)
@@ -115,16 +117,7 @@ class Pieces:
                     base, check = settled, 4 * longest
                 else:
                     check *= 2
-        yield from self._path(text, back, last, base, n)
-
-    @staticmethod
-    def _reach(best, back, last, place, score, start, piece) -> None:
-        while len(best) <= place:
-            best.append(None)
-            back.append(0)
-            last.append(-1)
-        if best[place] is None or score > best[place]:
-            best[place], back[place], last[place] = score, start, piece
+        yield from self._path(text, back, last, base, len(text))
 
     def _path(self, text: str, back, last, base: int, end: int) -> list[int]:
         out: list[list[int]] = []
@@ -152,7 +145,7 @@ class Pieces:
 
 
 def units(text: str) -> list[str]:
-    """Stretches of a text between places that every split must keep: before each run of spaces.
+    """Stretches of a text between places that every split must keep: before each run of spaces or space marks.
 
     No piece has a space mark after another character, so all paths meet there.
     """
@@ -167,10 +160,11 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) ->
     """
 
     def measure(texts: list[bytes]):
-        table = _unit_table(model)
-        split = [units(t.decode("utf-8", "replace")) for t in texts]
-        parts = (split[i : i + TOGETHER] for i in range(0, len(split), TOGETHER))
-        return ([np.frombuffer(ids, np.int32) for part in parts for ids in table.reduced(part, b"".join)],)
+        table, found = _unit_table(model), []
+        for i in range(0, len(texts), TOGETHER):
+            split = [units(t.decode("utf-8", "replace")) for t in texts[i : i + TOGETHER]]
+            found += [np.frombuffer(ids, np.int32) for ids in table.reduced(split, b"".join)]
+        return (found,)
 
     return per_text(docs, measure, "ids array<int>", list(keep))
 
@@ -187,17 +181,13 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
 
 def _unit_table(model: str) -> WordTable:
-    """Ids of units; units whose ids do not spell them again are noted in ``lost``."""
+    """Ids of units. A unit begins where all paths meet, so one met before is not searched again."""
 
     def build():
         pieces = once("pieces", ("scored pieces", model), lambda: Pieces(model))
 
         def ids_of(unit: str) -> bytes:
-            marked = unit.replace(" ", SPACE)
-            ids = pieces.short(marked) if len(unit) <= LONGEST_KEPT else list(pieces.split(marked))
-            if pieces.spelled(ids) != unit:
-                table.lost.add(unit)  # noted for good: few units hold a space mark of their own
-            return np.array(ids, np.int32).tobytes()
+            return np.fromiter(pieces.split(unit.replace(" ", SPACE)), np.int32).tobytes()
 
         def make(found: list[str]) -> dict[str, bytes]:
             out, ends = {}, {}
@@ -214,31 +204,25 @@ def _unit_table(model: str) -> WordTable:
                     if held is None:
                         held = out[part] = ids_of(part)
                     ids += held
-                if not table.lost.isdisjoint(parts):
-                    table.lost.add(unit)
                 out[unit] = ids
             return out
 
         table = WordTable(make)
-        table.lost = set()
         return table
 
     return once("pieces", ("unit ids", model), build)
 
 
 def round_trip(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Piece counts, a checksum of the ids, and whether decoding gives back the text, for every whole text.
-
-    A text is its units in a row, so it comes back if each unit does.
-    """
+    """Piece counts, a checksum of the ids, and whether the ids of a text decode to it again, for every whole text."""
 
     def measure(texts: list[bytes]):
-        table, rows = _unit_table(model), []
+        pieces, table, rows = once("pieces", ("scored pieces", model), lambda: Pieces(model)), _unit_table(model), []
         for i in range(0, len(texts), TOGETHER):
             raw = texts[i : i + TOGETHER]
             split = [units(t.decode("utf-8", "replace")) for t in raw]
-            for text, found, ids in zip(raw, split, table.reduced(split, b"".join)):
-                back = table.lost.isdisjoint(found) and "".join(found)[1:].encode() == text
+            for text, ids in zip(raw, table.reduced(split, b"".join)):
+                back = pieces.decode(np.frombuffer(ids, np.int32).tolist()).encode("utf-8", "replace") == text
                 rows.append((len(ids) // 4, zlib.crc32(ids), back))
         return list(zip(*rows)) if rows else [[], [], []]
 
