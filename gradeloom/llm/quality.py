@@ -4,7 +4,8 @@ import sentencepiece
 import numpy as np
 from pyspark.sql import DataFrame
 
-from gradeloom.llm.common import WordCache, once, per_text, sequence_hashes, word_hashes
+from gradeloom.llm.common import TOGETHER, WordTable, once, per_text, sequence_hashes, word_hashes
+from gradeloom.llm.packing import Encoder
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -14,14 +15,20 @@ SPACES = b" \t\n\x0b\x0c\r"
 FIRST_BYTE_ID, BYTES = 3, 256
 SETTLED = 200
 
-#: Rejection bands by script: least and most characters per token, most byte-fallback share, least entropy of the
-#: tokens as a share of the highest possible. A script not listed has no bands.
+#: Rejection bands by script: least characters per token by the piece vocabulary and by the byte vocabulary, most
+#: byte-fallback share, least entropy of the tokens, by either, as a share of the highest possible. Set below the
+#: lowest hundredth of prose, and above random letters and digits in groups: Latin prose has at least 1.32 and 1.46
+#: characters a token, base64 1.23 and 1.30, hexadecimal digits 1.1 and 1.6, Cyrillic read in a wrong encoding 0.9 and 0.5.
 BANDS = {
-    "latin": (1.1, 8.0, 0.10, 0.40),
-    "cyrillic": (0.9, 8.0, 0.10, 0.40),
-    "greek": (0.6, 8.0, 0.30, 0.40),
-    "cjk": (0.3, 4.0, 0.70, 0.40),
+    "latin": (1.25, 1.35, 0.10, 0.50),
+    "cyrillic": (1.25, 0.45, 0.10, 0.45),
+    "greek": (0.60, 0.45, 0.30, 0.45),
+    "cjk": (0.45, 0.25, 0.50, 0.45),
+    "other": (0.50, 0.25, 0.50, 0.35),
+    "none": (1.35, 1.00, 0.10, 0.50),
 }
+#: Characters of which fewer than one in ``LETTERS`` is a letter are a text in no script.
+LETTERS = 4
 
 _RANGES = (
     ("latin", ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F))),
@@ -29,13 +36,18 @@ _RANGES = (
     ("cyrillic", ((0x400, 0x52F),)),
     ("cjk", ((0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))),
 )
+#: Between them lie the letters and marks of most other scripts.
+_OTHERS = (0x530, 0x1FFF)
 
 
 def script(points: np.ndarray) -> str:
-    """The script that most letters of a text belong to; "other" if none is known."""
+    """The script that most letters of a text belong to; "other" for those not told apart, "none" with few letters."""
     counts = [sum(int(((points >= a) & (points <= b)).sum()) for a, b in ranges) for _, ranges in _RANGES]
+    others = int(((points >= _OTHERS[0]) & (points <= _OTHERS[1])).sum())
+    if LETTERS * (sum(counts) + others) < len(points):
+        return "none"
     best = int(np.argmax(counts))
-    return _RANGES[best][0] if counts[best] else "other"
+    return _RANGES[best][0] if counts[best] >= max(1, others) else "other"
 
 
 def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
@@ -76,44 +88,72 @@ def fertility(ids: np.ndarray, characters: int) -> tuple[float, float, float]:
     return characters / n, fallback / n, min(1.0, entropy / highest) if highest else 1.0
 
 
-def within(name: str, per_token: float, fallback: float, entropy: float) -> bool:
-    if name not in BANDS:
-        return True
-    least, most, bytes_share, least_entropy = BANDS[name]
-    return least <= per_token <= most and fallback <= bytes_share and entropy >= least_entropy
+def within(name: str, per_piece: float, fallback: float, entropy: float, per_token: float = np.inf, token_entropy: float = 1.0) -> bool:
+    """Whether both vocabularies measure what a text in the script may have."""
+    least, least_by_token, bytes_share, least_entropy = BANDS[name]
+    return (
+        per_piece >= least and per_token >= least_by_token and fallback <= bytes_share
+        and min(entropy, token_entropy) >= least_entropy
+    )
 
 
-def quality(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _word_ids(model: str, byte_model: str | None) -> WordTable:
+    """Ids of words by the piece vocabulary and, if there is one, by the byte vocabulary, which sees a space before each."""
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    tokens = Encoder(byte_model) if byte_model else None
+
+    def make(words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = library.encode(texts, num_threads=1) if texts else []
+        second = tokens.words(texts) if tokens else {}
+        narrow = lambda raw: np.frombuffer(raw, "<u4").astype(np.uint16).tobytes()
+        return {
+            w: (np.array(ids, np.uint16).tobytes(), narrow(second[t]) if tokens else b"")
+            for w, t, ids in zip(words, texts, found)
+        }
+
+    return WordTable(make)
+
+
+def _joined(values) -> tuple[np.ndarray, np.ndarray]:
+    held = list(values)
+    return tuple(np.frombuffer(b"".join([v[k] for v in held]), np.uint16) for k in (0, 1))
+
+
+def quality(docs: DataFrame, model: str, byte_model: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts, fertility and verdict of every whole text, beside the ``keep`` columns.
 
-    ``model`` is a piece vocabulary with byte fallback, at a path every worker can read. Tokens are those of each word on
-    its own, so a worker keeps the ids of a fixed number of short words. ``kept`` is false for texts that fail the counts
-    (fewer than 20 words, or more than 30% of them repeated) and for those outside their script's bands. Null reads as
-    an empty text, which fails. Nothing is shuffled.
+    ``model`` is a piece vocabulary with byte fallback, ``byte_model`` a byte-level one, both at paths every worker can
+    read; without the second only the first decides. Tokens are those of each word on its own, so a worker keeps the ids of a
+    fixed number of short words. ``kept`` is false for texts that fail the counts (fewer than 20 words, or more than 30% of
+    them repeated) and for those outside the bands of their script; every text has a script, be it "other" or "none". Null
+    reads as an empty text, which fails. Nothing is shuffled.
     """
 
     def measure(texts: list[bytes]):
-        pieces = once("quality", ("pieces", model), lambda: sentencepiece.SentencePieceProcessor(model_file=model))
-        make = lambda w: np.array(pieces.encode(w.decode("utf-8", "replace")), np.uint16).tobytes()
-        cache = once("quality", ("word ids", model), lambda: WordCache(make))
-        rows = []
-        for text in texts:
-            words = text.split()
-            points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-            spaces = len(text) - len(text.translate(None, SPACES))
-            characters, n = len(points) - spaces, len(words)
-            repeats = repeated_words(words)
-            failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
-            measures = fertility(np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint16), characters)
-            name = script(points)
-            rows.append((
-                n, characters, len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text), repeats, failed,
-                not failed and within(name, *measures), name, *measures,
-            ))
-        return list(zip(*rows)) if rows else [[]] * 11
+        table, rows = once("quality", ("word ids", model, byte_model), lambda: _word_ids(model, byte_model)), []
+        for start in range(0, len(texts), TOGETHER):
+            some = texts[start : start + TOGETHER]
+            split = [text.split() for text in some]
+            for text, words, (ids, second) in zip(some, split, table.reduced(split, _joined)):
+                points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+                spaces = len(text) - len(text.translate(None, SPACES))
+                characters, n = len(points) - spaces, len(words)
+                repeats = repeated_words(words)
+                failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
+                measures = fertility(ids, characters)
+                more = fertility(second, characters)[::2] if byte_model else (None, None)
+                name = script(points[points > 32])
+                judged = (*measures, *more) if byte_model else measures
+                rows.append((
+                    n, characters, len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text), repeats, failed,
+                    not failed and within(name, *judged), name, *measures, *more,
+                ))
+        return list(zip(*rows)) if rows else [[]] * 13
 
     schema = (
         "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-        "kept boolean, script string, chars_per_token double, byte_share double, token_entropy double"
+        "kept boolean, script string, chars_per_token double, byte_share double, token_entropy double, "
+        "chars_per_byte_token double, byte_token_entropy double"
     )
     return per_text(docs, measure, schema, list(keep))

@@ -58,7 +58,8 @@ def op6_personal_data(spark, sf_dir):
 
 @query
 def op7_quality_fertility(spark, sf_dir):
-    return quality.quality(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
+    vocabularies = [public_tokenizers.path(v) for v in (PIECE_VOCABULARY, BYTE_VOCABULARY)]
+    return quality.quality(read(spark, sf_dir, "documents"), *vocabularies)
 
 
 @query

@@ -31,7 +31,8 @@ def test_ids_are_those_of_the_library(library, monkeypatch):
     rng = random.Random(4)
     texts = ["".join(rng.choice(SCRAPS) for _ in range(rng.randrange(30))) for _ in range(4000)]
     texts += [" ".join(rng.choice(SCRAPS) for _ in range(rng.randrange(30))) for _ in range(2000)]
-    monkeypatch.setattr(packing, "KEPT_PARTS", 100)
+    for name in ("KEPT", "FRESH", "KEPT_PARTS"):
+        monkeypatch.setattr(packing, name, 100)
     encoder = packing.Encoder(PATH)
     for start in range(0, len(texts), 500):
         some = texts[start : start + 500]

@@ -290,6 +290,30 @@ def test_footrule():
         assert neighbours.footrule(orders[0], orders, 12).tolist() == wanted
 
 
+@pytest.mark.parametrize("together", [neardup.ONE_TASK, 0])
+def test_components(spark, monkeypatch, together):
+    """Chains, stars, cycles and repeated links, in one task and over many."""
+    monkeypatch.setattr(neardup, "ONE_TASK", together)
+    rng = random.Random(31)
+    links = [(i, i + 1) for i in range(100, 140)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 8), (8, 9), (9, 7), (7, 8)]
+    links += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)]
+    rng.shuffle(links)
+    leader = {x: x for link in links for x in link}
+
+    def find(x):
+        while leader[x] != x:
+            x = leader[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        leader[b] = a
+    found = neardup.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()
+    alone = {a for a, b in links if a == b}
+    got = {r["node"]: r["component"] for r in found}
+    assert len(found) == len(got) and all(got.get(x, x) == find(x) for x in leader) and set(leader) - set(got) <= alone
+
+
 # Pipeline
 
 
@@ -304,8 +328,8 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
         assert 0 < len(ids(after)) <= len(ids(before)) and ids(after) <= ids(before)
         if name == "near_duplicates":
-            wanted = plain.near([(r["doc_id"], r["text"]) for r in before.collect()])
-            assert ids(after) == {i for i, (_, c) in wanted.items() if i == c}
+            found = sorted((r["doc_id"], r["text"]) for r in before.collect())
+            assert ids(after) == {found[k][0] for k in _near(found, 5, 80)}
         if name == "personal_data":
             texts = {r["doc_id"]: r["text"] for r in before.collect()}
             for r in after.collect():
@@ -322,5 +346,5 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
 
 def test_every_dealt_query_is_registered():
     names = list(queries.REGISTRY)
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
