@@ -24,7 +24,10 @@ def id_fingerprints(rows: DataFrame, by: list[str], on: str = "id") -> DataFrame
     The sums depend on no order and hold 128 bits beside the number, so two sets are equal if all three are; that a
     different set has the same has a probability of about 10⁻³⁸.
     """
-    distinct = rows.select(*by, on).distinct()
+    return _prints(rows.select(*by, on).distinct(), by, on)
+
+
+def _prints(distinct: DataFrame, by: list[str], on: str) -> DataFrame:
     hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), on).cast("decimal(20,0)"))
     return distinct.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -41,7 +44,8 @@ def check_ids(predictions: DataFrame, references: DataFrame, on: str = "id") ->
     run is paired with every reference id. ``same_ids`` is the check that both id sets are equal; ``complete`` the one that
     counts match and nothing is missing. A null id counts, and equals none.
     """
-    prints = materialize(id_fingerprints(predictions, ["run"], on), "id-prints")
+    seen = materialize(predictions.select("run", on).distinct(), "ids-seen")
+    prints = materialize(_prints(seen, ["run"], on), "id-prints")
     total = materialize(id_fingerprints(references, [], on), "id-print").select(
         F.col("n").alias("n_references"), F.col("print_a").alias("ref_a"), F.col("print_b").alias("ref_b")
     )
@@ -55,8 +59,7 @@ def check_ids(predictions: DataFrame, references: DataFrame, on: str = "id") ->
     if not prints.where("NOT _alike").isEmpty():
         other = prints.where("NOT _alike").select("run", "n_predicted")
         known = references.select(on).distinct().withColumn("_known", F.lit(1))
-        seen = predictions.select("run", on).distinct().join(other, "run", "left_semi")
-        matched = seen.join(known, on, "left").groupBy("run").agg(F.count("_known").alias("_matched"))
+        matched = seen.join(other.select("run"), "run", "left_semi").join(known, on, "left").groupBy("run").agg(F.count("_known").alias("_matched"))
         found = found.unionByName(other.join(matched, "run"))
     return found.withColumn("n_references", n_references).select(
         "run",

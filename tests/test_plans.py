@@ -21,10 +21,12 @@ PYTHON = {
     "generate_batches",
     "generate_routed",
     "generate_with_retry",
+    "generate_with_settings",
     "rewrite_fields",
     "meld_distance_edit",
     "meld_distance_ratio",
     "meld_summary",
+    "meld_rate",
     "meld_results",
     "meld_recompute",
     "meld_distance_turns",
