@@ -73,7 +73,7 @@ FAMILIES = (
     ("busl", "business source|busl", r"business source|busl", ("1 1", "1")),
     ("elastic", "elastic", r"elastic", ("2", "1")),
     ("llama", "llama", r"llama (?:2|3|3 1)? ?community", ("",)),
-    ("openrail", "openrail|responsible ai", r"(?:bigscience|creativeml)? ?openrail(?: m)?|responsible ai", ("",)),
+    ("openrail", "openrail|creativeml|bigscience|responsible ai", r"(?:bigscience|creativeml)? ?openrail(?: m)?|responsible ai", ("",)),
 )
 
 #: The parts of Creative Commons licenses, their words, and the versions in use.
@@ -296,12 +296,12 @@ def gated(joined: bytes) -> bool:
 
 
 def detections(joined: str, table: list[Rule]) -> list[Detection]:
-    """What stays of the matches of all rules one of whose keywords stands in the text, as words."""
-    found, padded, stands = [], f" {joined} ", {}
+    """What stays of the matches of all rules one of whose keywords begins at a word of the text."""
+    found, padded, stands = [], f" {joined}", {}
     for rule in table:
         for k in rule.keywords:
             if k not in stands:
-                stands[k] = f" {k} " in padded
+                stands[k] = f" {k}" in padded
         if any(stands[k] for k in rule.keywords):
             found += [Detection(m.start(), m.end(), rule.priority, rule.label) for m in rule.pattern.finditer(joined)]
     return resolve(found)

@@ -217,9 +217,10 @@ def _sample(rng, tree):
         elif name == "SUBPATTERN":
             out += _sample(rng, arg[3])
         elif name == "MAX_REPEAT":
-            out += "".join(_sample(rng, arg[2]) for _ in range(rng.randint(arg[0], arg[1])))
+            out += "".join(_sample(rng, arg[2]) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 12))))
         else:
-            assert name == "ASSERT_NOT", name
+            assert name in ("ASSERT_NOT", "NOT_LITERAL"), name
+            out += "x" if name == "NOT_LITERAL" else ""
     return out
 
 
