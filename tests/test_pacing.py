@@ -40,6 +40,15 @@ def test_rate_holds_over_uneven_tasks(spark, clock):
     assert {r["generated"].split()[1] for r in rows} == {"None"}
 
 
+def test_high_rate_is_reached(spark, clock):
+    """30,000 calls at 20,000 a second are one round, not over a hundred that each wait a second for the driver."""
+    df = spark.range(30_000).selectExpr("id", "cast(id as string) prompt")
+    rows = generate_at_rate(df, clock, per_second=20_000, tasks=2).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(30_000))
+    moments = [float(r["generated"].split()[0]) for r in rows]
+    assert 1.4 < max(moments) - min(moments) < 5
+
+
 def test_rate_of_no_rows(spark, clock):
     empty = spark.createDataFrame([], "prompt string")
     assert generate_at_rate(empty, clock, per_second=5, tasks=2).collect() == []
