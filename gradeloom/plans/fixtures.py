@@ -158,9 +158,13 @@ def mcq(t: Tables) -> DataFrame:
 
 
 def generations(t: Tables) -> DataFrame:
-    """Text of three runs in the ways models write: the order's priority and status pick the way."""
+    """Text of three runs in the ways models write: the order's priority and status pick the way.
+
+    Orders are joined before the runs part, so a row for each order is sorted and not one for each run.
+    """
     orders = t("orders").select(F.col("o_orderkey").alias("okey"), "o_orderpriority", "o_orderstatus")
-    rows = _by_run(answer_sheet(t), "okey", "id", "n_options", "gold").join(orders, "okey")
+    sheet = answer_sheet(t).join(orders, "okey")
+    rows = _by_run(sheet, "okey", "id", "n_options", "gold", "o_orderpriority", "o_orderstatus")
     labels, priority, status = F.col("labels"), F.col("o_orderpriority"), F.col("o_orderstatus")
     marked = gold_letters(labels)
     text = (

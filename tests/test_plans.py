@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from gradeloom.plans import queries as Q
+from gradeloom.plans import fixtures as D, queries as Q
 from gradeloom.plans.queries import REGISTRY
 
 
@@ -78,3 +78,9 @@ def test_join_side_follows_its_size(spark, sf_dir):
     finally:
         spark.conf.set(setting, before)
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_generations_part_into_runs_after_the_join(spark, sf_dir):
+    """The join sorts a row for each order, not one for each run."""
+    plan = D.generations(D.Tables(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join Inner")
