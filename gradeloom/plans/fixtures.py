@@ -224,14 +224,18 @@ def limited_generator():
 
 
 def flaky_generator():
-    """A stand-in that fails zero to three times per prompt before it answers."""
-    calls: dict[str, int] = {}
+    """A stand-in that fails zero to three times per prompt before it answers.
+
+    Calls are repeated until they answer or are given up, so only those of the prompt at hand are counted.
+    """
+    asked, calls = None, 0
 
     def answer(prompts, params):
+        nonlocal asked, calls
         texts = []
         for prompt in prompts:
-            calls[prompt] = calls.get(prompt, 0) + 1
-            if calls[prompt] <= int(digest(prompt)[0], 16) // 4:
+            asked, calls = prompt, calls + 1 if prompt == asked else 1
+            if calls <= int(digest(prompt)[0], 16) // 4:
                 raise Throttled("try again")
             texts.append(stub_text(prompt))
         return texts

@@ -207,3 +207,19 @@ def test_llama_assumes_five_options(spark):
 def test_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_flaky_stand_in_counts_only_the_prompt_at_hand():
+    """Copies of a prompt fail alike wherever they stand, and nothing is kept for prompts that are done."""
+    generator = D.flaky_generator()
+    tries = {}
+    for prompt in ["p0", "p1", "p2", "p3", "p4", "p0", "p3"]:
+        n = 1
+        while True:
+            try:
+                generator([prompt], [{}])
+                break
+            except D.Throttled:
+                n += 1
+        assert tries.setdefault(prompt, n) == n == int(D.digest(prompt)[0], 16) // 4 + 1
+    assert max(tries.values()) > 1
