@@ -2,8 +2,7 @@
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +12,7 @@ from gradeloom.sources.predictions import RUN_IN_PATH, last_wins, parse_lenient
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _LINE = "file string, row long, answer string"
 _CHANGE = "run string, id string, file string, row long, answer string, replaced boolean, earlier string"
+_ChangeRow = Row(*[field.split()[0] for field in _CHANGE.split(", ")])
 
 
 class LastLine(StatefulProcessor):
@@ -21,18 +21,15 @@ class LastLine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", _LINE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.last.get()) if self.last.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.last.get()
         best = known
-        for some in rows:
-            for line in zip(some["file"], some["row"].astype(int), some["answer"]):
-                if best is None or (len(line[0]), *line[:2]) > (len(best[0]), *best[:2]):
-                    best = line
+        for line in rows:
+            if best is None or (len(line["file"]), line["file"], line["row"]) > (len(best[0]), best[0], best[1]):
+                best = (line["file"], line["row"], line["answer"])
         if best is not known:
-            file, row, answer = best[0], int(best[1]), best[2] if isinstance(best[2], str) else None
-            self.last.update((file, row, answer))
-            change = [*key, file, row, answer, known is not None, known[2] if known else None]
-            yield pd.DataFrame([change], columns=[c.split()[0] for c in _CHANGE.split(", ")]).astype({"answer": object, "earlier": object})
+            self.last.update(best)
+            yield _ChangeRow(*key, *best, known is not None, known[2] if known else None)
 
     def close(self) -> None:
         pass
@@ -58,7 +55,7 @@ def changes(lines: DataFrame) -> DataFrame:
     ``replaced`` tells whether there was one. Lines that arrive late and stand before the known one, in the order of
     file names (shorter first) and lines, are passed over. Needs the state store ``STATE_STORE``.
     """
-    return lines.groupBy("run", "id").transformWithStateInPandas(LastLine(), _CHANGE, "Append", "None")
+    return lines.groupBy("run", "id").transformWithState(LastLine(), _CHANGE, "Append", "None")
 
 
 def _keeps_state(spark: SparkSession) -> None:
