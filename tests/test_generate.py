@@ -96,6 +96,35 @@ def test_retry_and_dead_letters(spark):
     assert G.failed(again).count() == 0
 
 
+def test_no_column_is_sent_for_settings_that_there_are_none_of(spark):
+    """A map column of nulls took longer to reach Python than the prompts."""
+    df = spark.createDataFrame([("chat", "x"), ("none", "y")], "kind string, prompt string")
+
+    def make():
+        return lambda prompts, params: [f"{p}{x}" for p, x in zip(prompts, params, strict=True)]
+
+    found = [
+        G.generate(df, make),
+        G.generate_with_retry(df, make, retry_on=(ValueError,)).drop("attempts", "error"),
+        G.generate_by_kind(df, {"chat": make}),
+    ]
+    for rows in found:
+        assert "null" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    texts = [{r["prompt"]: r["generated"] for r in rows.collect()} for rows in found]
+    assert texts == [{"x": "x{}", "y": "y{}"}, {"x": "x{}", "y": "y{}"}, {"x": "x{}", "y": None}]
+
+
+def test_no_wait_is_no_sleep(monkeypatch):
+    """A sleep of zero seconds costs more than the call it comes before."""
+    slept = []
+    monkeypatch.setattr(G.time, "sleep", slept.append)
+    for tries in range(1, 5):
+        G.wait_to_retry(tries, 0.0, 60.0)
+    assert slept == []
+    G.wait_to_retry(9, 1.0, 0.5)
+    assert len(slept) == 1 and 0 < slept[0] <= 0.5
+
+
 def test_other_errors_are_not_retried(spark):
     def factory():
         def answer(prompts, params):
