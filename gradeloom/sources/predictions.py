@@ -6,7 +6,8 @@ from gradeloom.functions.letters import join_labels, label_count
 from gradeloom.functions.text import strip
 from gradeloom.operators.order import numbered
 
-RUN_IN_PATH = r"([^/]+)_prompt\d+\.txt(?:\.task2)?(?:/[^/]*)?$"
+#: A name begins behind a slash: tried at every place of it, the pattern would take the square of the path's length.
+RUN_IN_PATH = r"(?<![^/])([^/]+)_prompt\d+\.txt(?:\.task2)?(?:/[^/]*)?$"
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:

@@ -1,12 +1,15 @@
 """Readers and writers."""
 
 import json
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators.scoring import check_ids
 from gradeloom.sources import corpus as C, predictions as I
+from gradeloom.sources.predictions import RUN_IN_PATH
 
 QUESTIONS = [
     {"id": "q1", "question": "Où ?", "answers": {"b": "B", "a": "A"}, "correct_answers": ["a", "b"], "type": 1},
@@ -201,3 +204,15 @@ def test_meld_results_round_trip(spark, tmp_path):
     assert read.select("meld.*").first().asDict() == row["meld"]
     C.write_rows(read, str(tmp_path / "again"))
     assert C.read_meld_results(spark, str(tmp_path / "again")).select(F.to_json("saved_answers")).first()[0] == '{"b":"B","a":"A"}'
+
+
+def test_run_of_a_path_takes_its_length():
+    """The name of a run begins behind a slash, so the pattern is not tried at every place of a long name."""
+    earlier = RUN_IN_PATH.replace("(?<![^/])", "")
+    assert earlier != RUN_IN_PATH
+    for path in ("a_prompt0.txt", "file:/x/b c_prompt1.txt.task2", "/x/d_prompt_prompt12.txt/part-0.txt", "/x/_prompt1.txt", "/y/e.txt"):
+        found, before = re.search(RUN_IN_PATH, path), re.search(earlier, path)
+        assert (found and found.group(1)) == (before and before.group(1))
+    start = time.monotonic()
+    assert re.search(RUN_IN_PATH, "file:/" + "x" * 100_000 + "/part-0.txt") is None
+    assert time.monotonic() - start < 2
