@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm.common import LONGEST_KEPT, TOGETHER, once, stored, tokenizer
+from gradeloom.llm.common import LONGEST_KEPT, TOGETHER, once, stored, tokenizer, uncollected
 from gradeloom.operators.order import numbered
 
 CAPACITY = 2048
@@ -128,17 +128,20 @@ class Encoder:
         found = [list(map(self.kept.get, stretches)) for stretches in split]
         holes, missing, earlier = [], {}, self.fresh.get
         for stretches, values in zip(split, found):
+            still = []
             for at in [i for i, value in enumerate(values) if value is None]:
                 stretch = stretches[at]
                 value = earlier(stretch)
                 if value is None:
                     missing[stretch] = None
-                    holes.append((values, at, stretch))
+                    still.append(at)
                 else:
                     self.kept[stretch] = values[at] = value
+            holes.append((stretches, values, still))
         new = self._new(list(missing))
-        for values, at, stretch in holes:
-            values[at] = new[stretch]
+        for stretches, values, still in holes:
+            for at in still:
+                values[at] = new[stretches[at]]
         if len(self.kept) > KEPT:
             self.kept.clear()
         if len(self.fresh) + len(new) > FRESH:
@@ -154,7 +157,8 @@ class Encoder:
             if found:
                 found[0] = "\0" + found[0]
             split.append(found)
-        out = self._ids(split)
+        with uncollected():
+            out = self._ids(split)
         for i in whole:
             out[i] = self._encoded([texts[i]])[0].tobytes()
         return out
