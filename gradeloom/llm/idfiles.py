@@ -30,6 +30,8 @@ from gradeloom.session import scratch_path
 
 MAGIC = b"GLIDS001"
 BLOCK = 1 << 16
+#: Pieces met once that a worker keeps, about 150 bytes each.
+FRESH = 500_000
 _SIGNS_LAST = re.compile(rb"([A-Za-z]+)([!-&(-/:;=-@\[-`{-~]+)")
 _TRAILER = "<8Q"
 KINDS = {"byte": 4, "bit": 32}
@@ -171,11 +173,15 @@ class Encoder:
 
     def __init__(self, path: str):
         loaded = tokenizer(path)
-        self.ids = lambda text: np.array(loaded.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        self.library = loaded
         end = loaded.model.end_of_word_suffix
         self.closes = np.zeros(loaded.get_vocab_size(), bool)
         self.closes[[i for piece, i in loaded.get_vocab().items() if end and piece.endswith(end)]] = True
-        self.table = WordTable(self._new)
+        self.table = WordTable(self._new, FRESH)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. One call for all: a call for each costs as much as its ids."""
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def pieces(text: bytes) -> list[bytes]:
@@ -193,12 +199,15 @@ class Encoder:
         found: dict[bytes, bytes] = {}
         for start in range(0, len(plain), 128):
             some = plain[start : start + 128]
-            ids = self.ids(" ".join([texts[w] for w in some]))
+            ids = self.ids([" ".join([texts[w] for w in some])])[0]
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
                 raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
                 found.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
-        found |= {w: self.ids(t).tobytes() for w, t in texts.items() if w not in found}
+        rest = [w for w in texts if w not in found]
+        for start in range(0, len(rest), TOGETHER):
+            some = rest[start : start + TOGETHER]
+            found.update((w, ids.tobytes()) for w, ids in zip(some, self.ids([texts[w] for w in some])))
         of = lambda w: found[w] if w in found else known(w)
         found |= {word: of(body) + of(signs) for word, (body, signs) in ends.items()}
         return found
