@@ -4,7 +4,7 @@ import sentencepiece
 import numpy as np
 from pyspark.sql import DataFrame
 
-from gradeloom.llm.common import TOGETHER, WordTable, once, per_text, sequence_hashes, word_hashes
+from gradeloom.llm.common import TOGETHER, WordTable, once, per_text, sequence_hashes, uncollected, word_hashes
 from gradeloom.llm.packing import Encoder
 
 WINDOW = 8
@@ -30,6 +30,7 @@ BANDS = {
 #: Characters of which fewer than one in ``LETTERS`` is a letter are a text in no script.
 LETTERS = 4
 
+_LATIN, _UP_TO_SPACE = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]), bytes(range(33))
 _RANGES = (
     ("latin", ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F))),
     ("greek", ((0x370, 0x3FF),)),
@@ -50,6 +51,16 @@ def script(points: np.ndarray) -> str:
     return _RANGES[best][0] if counts[best] >= max(1, others) else "other"
 
 
+def characters_and_script(text: bytes) -> tuple[int, str]:
+    """Code points of a text, and the script of those behind the space; of ASCII, counted without an array of them."""
+    if text.isascii():
+        seen = text.translate(None, _UP_TO_SPACE)
+        letters = len(seen) - len(seen.translate(None, _LATIN))
+        return len(text), "none" if LETTERS * letters < len(seen) else "latin" if letters else "other"
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return len(points), script(points[points > 32])
+
+
 def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     """Words that stand in a window of ``size`` words found twice or more in the text."""
     windows = sequence_hashes(word_hashes(words, "quality"), size)
@@ -79,8 +90,9 @@ def fertility(ids: np.ndarray, characters: int) -> tuple[float, float, float]:
     n = len(ids)
     if not n:
         return 0.0, 0.0, 0.0
-    counts = np.bincount(ids)
-    counts = counts[counts > 0]
+    ranked = np.sort(ids)
+    edges = np.flatnonzero(ranked[1:] != ranked[:-1]) + 1
+    counts = np.diff(edges, prepend=0, append=n)
     fallback = int(((ids >= FIRST_BYTE_ID) & (ids < FIRST_BYTE_ID + BYTES)).sum())
     shares = counts / n
     highest = np.log2(min(n, SETTLED))
@@ -135,15 +147,16 @@ def quality(docs: DataFrame, model: str, byte_model: str | None = None, keep: tu
         for start in range(0, len(texts), TOGETHER):
             some = texts[start : start + TOGETHER]
             split = [text.split() for text in some]
-            for text, words, (ids, second) in zip(some, split, table.reduced(split, _joined)):
-                points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+            with uncollected():
+                found = table.reduced(split, _joined)
+            for text, words, (ids, second) in zip(some, split, found):
+                points, name = characters_and_script(text)
                 spaces = len(text) - len(text.translate(None, SPACES))
-                characters, n = len(points) - spaces, len(words)
+                characters, n = points - spaces, len(words)
                 repeats = repeated_words(words)
                 failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
                 measures = fertility(ids, characters)
                 more = fertility(second, characters)[::2] if byte_model else (None, None)
-                name = script(points[points > 32])
                 judged = (*measures, *more) if byte_model else measures
                 rows.append((
                     n, characters, len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text), repeats, failed,
