@@ -531,7 +531,8 @@ def scores_in_file_order(t):
     joined = S.join_predictions(refs, sheet.select("id", F.col("strict").alias("labels")))
     rows = rounded(S.score_rows(joined), "overlap")
     line = F.concat_ws(";", "id", F.col("exact").cast("string"), F.format_string("%.6f", "overlap"))
-    I.write_in_order(rows.select("position", line.alias("value")), paths[1], ["position"])
+    scores = materialize(rows.select("position", line.alias("value")), "score-lines")  # else joined again for the ranges
+    I.write_in_order(scores, paths[1], ["position"])
     fields = F.split("value", ";")
     return I.in_file_order(I.read_lines(t.spark, paths[1]), ["run"]).select(
         "position", fields[0].alias("id"), fields[1].cast("boolean").alias("exact"), fields[2].cast("double").alias("overlap")

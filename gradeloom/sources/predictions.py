@@ -1,12 +1,18 @@
 """Prediction and reference files: one ``id;answer`` line per question."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gradeloom.functions.letters import join_labels, label_count
 from gradeloom.functions.text import strip
 from gradeloom.operators.order import numbered
+from gradeloom.session import materialize
+
+_AT, _FILE, _OFFSET, _FIRST, _SIZE, _BEFORE, _WHOLE = (
+    f"_order_{n}" for n in ("at", "file", "offset", "first", "size", "before", "whole")
+)
 
 #: A name begins behind a slash: tried at every place of it, the pattern would take the square of the path's length.
+#: It reaches back over two names at most, so only those are searched, and only where the sign of a run stands at all.
 RUN_IN_PATH = r"(?<![^/])([^/]+)_prompt\d+\.txt(?:\.task2)?(?:/[^/]*)?$"
 
 
@@ -18,7 +24,8 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     needs no shuffle and no pass over the data.
     """
     lines = spark.read.text(path)
-    found = F.regexp_extract(F.col("_metadata.file_path"), RUN_IN_PATH, 1)
+    names = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+    found = F.when(F.contains(names, F.lit("_prompt")), F.regexp_extract(names, RUN_IN_PATH, 1)).otherwise("")
     run = F.col("run").cast("string") if "run" in lines.columns else found
     return lines.select(
         run.alias("run"),
@@ -80,11 +87,37 @@ def unique_or_fail(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFr
 def in_file_order(rows: DataFrame, by: list[str], *, position: str = "position", seq: str = "seq") -> DataFrame:
     """Add each row's place among those of ``by``, from 0, in the order of files, splits and rows.
 
-    Splits of a file come in the order of their offset. The place follows from counts of range partitions; no sort meets
-    in one task. ``rows`` should be a read of files, with ``seq`` as :func:`read_lines` gives it.
+    Splits of a file come in the order of their offset. ``rows`` should be a read of files, with ``seq`` as
+    :func:`read_lines` gives it. They are stored as they are read; a place follows from the row in the split and the counts
+    of earlier splits, so nothing is sorted or shuffled. Where the rows of a split are not all there, once each and in one
+    group, all are numbered after a range exchange instead; no sort meets in one task.
     """
-    parts = [F.length(F.col(seq)["file"]), *[F.col(seq)[c] for c in ("file", "offset", "row")]]
-    return numbered(rows, parts, by=by, number=position)
+    stored = materialize(rows.withColumn(_AT, F.monotonically_increasing_id()), "file-order")
+    at = {_FILE: F.col(seq)["file"], _OFFSET: F.col(seq)["offset"]}
+    row = F.col(seq)["row"]
+    shift = F.col(_AT) - row
+    spans = stored.groupBy(*by, *[c.alias(n) for n, c in at.items()]).agg(
+        F.min(row).alias(_FIRST),
+        F.count(F.lit(1)).alias(_SIZE),
+        # _AT is unique, so rows a fixed step before it are too, and as many as their span if none is missing
+        F.coalesce(
+            (F.min(shift) == F.max(shift)) & (F.count(shift) == F.count(F.lit(1)))
+            & (F.max(row) - F.min(row) + 1 == F.count(F.lit(1))),
+            F.lit(False),
+        ).alias(_WHOLE),
+    )
+    spans = materialize(spans, "file-order-spans")
+    if not spans.where(~F.col(_WHOLE)).isEmpty():
+        parts = [F.length(F.col(seq)["file"]), *[F.col(seq)[c] for c in ("file", "offset", "row")]]
+        return numbered(stored.drop(_AT), parts, by=by, number=position)
+    earlier = Window.partitionBy(*by).orderBy(F.length(_FILE), _FILE, _OFFSET).rowsBetween(Window.unboundedPreceding, -1)
+    names = {b: f"_order_by_{i}" for i, b in enumerate(by)}
+    before = F.coalesce(F.sum(_SIZE).over(earlier), F.lit(0)) - F.col(_FIRST)
+    spans = spans.select(*[F.col(b).alias(n) for b, n in names.items()], *at, before.alias(_BEFORE))
+    same = F.lit(True)
+    for name, key in [*((n, F.col(b)) for b, n in names.items()), *at.items()]:
+        same &= key.eqNullSafe(F.col(name))
+    return stored.join(spans, same).select(*[F.col(c) for c in rows.columns], (row + F.col(_BEFORE)).alias(position))
 
 
 def write_in_order(lines: DataFrame, path: str, order: list[Column | str], line: str = "value") -> None:

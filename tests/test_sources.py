@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.operators.order import numbered
 from gradeloom.operators.scoring import check_ids
 from gradeloom.sources import corpus as C, predictions as I
 from gradeloom.sources.predictions import RUN_IN_PATH
@@ -187,6 +188,36 @@ def test_places_in_file_order(spark, tmp_path):
         assert found == [x for part in range(2) for x in [f"{part}-{i};a" for i in range(n)] + ["same;a"] * 5]
 
 
+def test_places_of_whole_splits_need_no_sort(spark, tmp_path, monkeypatch):
+    """Rows left out, repeated or in other groups than their split still get places by their order."""
+    asked = []
+    monkeypatch.setattr(I, "numbered", lambda *given, **named: asked.append(1) or numbered(*given, **named))
+    for part in range(3):
+        (tmp_path / f"part-{part}").write_text("".join(f"{part}-{i};{'ab'[i % 2]}\n" for i in range(200)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        lines = I.read_lines(spark, str(tmp_path))
+        wanted = [f"{part}-{i}" for part in range(3) for i in range(200)]
+        for rows, by, sort, left in [
+            (lines, ["run"], False, wanted),
+            (lines, [], False, wanted),
+            (lines.where("NOT value LIKE '%-7%'"), ["run"], True, [x for x in wanted if "-7" not in x]),
+            (lines.union(lines), ["run"], True, [x for x in wanted for _ in range(2)]),
+            (lines.withColumn("n", F.explode(F.array(F.lit(0), F.lit(0)))), ["run"], True, [x for x in wanted for _ in range(2)]),
+        ]:
+            asked.clear()
+            found = I.in_file_order(rows, by).collect()
+            assert [r["value"][:-2] for r in sorted(found, key=lambda r: r["position"])] == left
+            assert sorted(r["position"] for r in found) == list(range(len(left))) and bool(asked) == sort
+        groups = I.in_file_order(lines.withColumn("g", F.substr("value", F.lit(-1))), ["g"]).collect()
+        for g in "ab":
+            some = sorted((r for r in groups if r["g"] == g), key=lambda r: r["position"])
+            assert [r["position"] for r in some] == list(range(300))
+            assert [r["value"][:-2] for r in some] == [x for i, x in enumerate(wanted) if "ab"[i % 2] == g]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_splits(spark):
     a, b = spark.range(2), spark.range(3)
     rows = C.with_splits({"train": a, "validation": b}).groupBy("split").count().collect()
