@@ -13,7 +13,6 @@ Byte planes put the first bytes of all ids of a block together, then the second
 each bit. High planes are almost constant and shrink to nothing, low planes shrink by what ids repeat.
 """
 
-import re
 import struct
 import uuid
 import zlib
@@ -32,7 +31,8 @@ MAGIC = b"GLIDS001"
 BLOCK = 1 << 16
 #: Pieces met once that a worker keeps, about 150 bytes each.
 FRESH = 500_000
-_SIGNS_LAST = re.compile(rb"([A-Za-z]+)([!-&(-/:;=-@\[-`{-~]+)")
+#: Signs that are words of their own after Latin letters.
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
 _TRAILER = "<8Q"
 KINDS = {"byte": 4, "bit": 32}
 
@@ -190,10 +190,22 @@ class Encoder:
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces. Signs after Latin letters are words of their own, so a piece of both is made of two."""
-        ends = {w: m.groups() for w in words if (m := _SIGNS_LAST.fullmatch(w))}
         known = self.table.known
-        todo = dict.fromkeys([w for w in words if w not in ends])
-        todo.update((part, None) for parts in ends.values() for part in parts if known(part) is None)
+        ends: dict[bytes, bytes] = {}
+        todo: dict[bytes, None] = {}
+        held: dict[bytes, bytes] = {}
+        for word in words:
+            body = word.rstrip(_SIGNS)
+            if len(body) < len(word) and body.isalpha():
+                ends[word] = body
+                for part in (body, word[len(body) :]):
+                    if part not in held and part not in todo:
+                        if (ids := known(part)) is None:
+                            todo[part] = None
+                        else:
+                            held[part] = ids
+            else:
+                todo[word] = None
         texts = {w: w.decode("utf-8", "replace") for w in todo}
         plain = [w for w, t in texts.items() if t.isalpha()]
         found: dict[bytes, bytes] = {}
@@ -203,13 +215,13 @@ class Encoder:
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
                 raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
-                found.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+                found.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
         rest = [w for w in texts if w not in found]
         for start in range(0, len(rest), TOGETHER):
             some = rest[start : start + TOGETHER]
             found.update((w, ids.tobytes()) for w, ids in zip(some, self.ids([texts[w] for w in some])))
-        of = lambda w: found[w] if w in found else known(w)
-        found |= {word: of(body) + of(signs) for word, (body, signs) in ends.items()}
+        held |= found
+        found.update((word, held[body] + held[word[len(body) :]]) for word, body in ends.items())
         return found
 
     def encode(self, found: list[bytes]) -> list[bytes]:

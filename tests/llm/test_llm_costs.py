@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gradeloom.llm import idfiles, packing, quality
+from gradeloom.llm import common, idfiles, packing, quality
 
 
 def test_signs_and_numbers_are_encoded_together():
@@ -54,3 +54,32 @@ def test_entropy_needs_no_count_of_the_whole_vocabulary():
     entropy = float(-(shares * np.log2(shares)).sum()) / np.log2(quality.SETTLED)
     assert quality.fertility(ids, 1800)[::2] == (2.0, min(1.0, entropy))
     assert quality.fertility(np.zeros(1, np.uint16), 3) == (3.0, 0.0, 1.0)
+
+
+def test_kept_words_are_looked_up_once():
+    """Gathering the words of a group in a set costs as much as their values."""
+    hashed = []
+
+    class Word(str):
+        def __hash__(self):
+            hashed.append(str(self))
+            return super().__hash__()
+
+    made = []
+    table = common.WordTable(lambda words: made.append(len(words)) or {w: w.upper() for w in words}, fresh=6)
+    for _ in range(2):
+        assert table.reduced([["a", "b"], ["b"], []], list) == [["A", "B"], ["B"], []]
+    assert made == [2, 0]
+    hashed.clear()
+    assert table.reduced([[Word("a"), Word("b")], [Word("a")]], list) == [["A", "B"], ["A"]]
+    assert sorted(hashed) == ["a", "a", "b"]
+    assert table.reduced([["c", "a", "c"], ["d"]], "".join) == ["CAC", "D"] and made[-1] == 2
+    assert table.known("c") == "C" and table.known("x") is None
+
+
+def test_pieces_of_letters_and_signs_are_parted_as_before():
+    encoder = idfiles.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "abc. abc abc... don't. x< (x) y); é. a1. --- ,; q'. R{}~ z[]^_` \"w\" v=+*/ s@#$%& t<|u"
+    for _ in range(3):
+        (found,) = encoder.encode([text.encode()])
+        assert np.frombuffer(found, "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
