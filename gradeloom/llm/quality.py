@@ -1,7 +1,11 @@
 """Quality rules: word and line counts, and the fertility of public vocabularies."""
 
+from collections.abc import Sequence
+from itertools import accumulate, chain
+
 import sentencepiece
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 
 from gradeloom.llm.common import TOGETHER, WordTable, once, per_text, sequence_hashes, uncollected, word_hashes
@@ -14,6 +18,7 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 FIRST_BYTE_ID, BYTES = 3, 256
 SETTLED = 200
+_BYTE_IDS, _TRUE = np.array([FIRST_BYTE_ID, FIRST_BYTE_ID + BYTES], np.uint16), np.ones(1, bool)
 
 #: Rejection bands by script: least characters per token by the piece vocabulary and by the byte vocabulary, most
 #: byte-fallback share, least entropy of the tokens, by either, as a share of the highest possible. Set below the
@@ -61,9 +66,9 @@ def characters_and_script(text: bytes) -> tuple[int, str]:
     return len(points), script(points[points > 32])
 
 
-def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
-    """Words that stand in a window of ``size`` words found twice or more in the text."""
-    windows = sequence_hashes(word_hashes(words, "quality"), size)
+def repeated_words(words: list[bytes], size: int = WINDOW, hashes: np.ndarray | None = None) -> int:
+    """Words that stand in a window of ``size`` words found twice or more in the text; ``hashes`` of the words, if known."""
+    windows = sequence_hashes(word_hashes(words, "quality") if hashes is None else hashes, size)
     if not len(windows):
         return 0
     order = np.argsort(windows, kind="stable")
@@ -91,9 +96,10 @@ def fertility(ids: np.ndarray, characters: int) -> tuple[float, float, float]:
     if not n:
         return 0.0, 0.0, 0.0
     ranked = np.sort(ids)
-    edges = np.flatnonzero(ranked[1:] != ranked[:-1]) + 1
-    counts = np.diff(edges, prepend=0, append=n)
-    fallback = int(((ids >= FIRST_BYTE_ID) & (ids < FIRST_BYTE_ID + BYTES)).sum())
+    edges = np.flatnonzero(np.concatenate((_TRUE, ranked[1:] != ranked[:-1], _TRUE)))
+    counts = edges[1:] - edges[:-1]
+    first, end = ranked.searchsorted(_BYTE_IDS)
+    fallback = int(end - first)
     shares = counts / n
     highest = np.log2(min(n, SETTLED))
     entropy = float(-(shares * np.log2(shares)).sum())
@@ -109,27 +115,40 @@ def within(name: str, per_piece: float, fallback: float, entropy: float, per_tok
     )
 
 
+def _narrowed(flat: np.ndarray, sizes: Sequence[int]) -> list[bytes]:
+    """Runs of ``sizes`` ids as 16-bit numbers."""
+    raw, cuts = flat.astype(np.uint16).tobytes(), [2 * n for n in accumulate(sizes, initial=0)]
+    return list(map(raw.__getitem__, map(slice, cuts, cuts[1:])))
+
+
 def _word_ids(model: str, byte_model: str | None) -> WordTable:
-    """Ids of words by the piece vocabulary and, if there is one, by the byte vocabulary, which sees a space before each."""
+    """Ids of words by the piece vocabulary and, if there is one, by the byte vocabulary, which sees a space before each.
+
+    Their hash comes third. Ids of all words are narrowed at once: an array for each costs as much as its ids.
+    """
     library = sentencepiece.SentencePieceProcessor(model_file=model)
     tokens = Encoder(byte_model) if byte_model else None
 
-    def make(words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+    def make(words: list[bytes]) -> dict[bytes, tuple[bytes, bytes, bytes]]:
+        if not words:
+            return {}
         texts = [w.decode("utf-8", "replace") for w in words]
-        found = library.encode(texts, num_threads=1) if texts else []
-        second = tokens.words(texts) if tokens else {}
-        narrow = lambda raw: np.frombuffer(raw, "<u4").astype(np.uint16).tobytes()
-        return {
-            w: (np.array(ids, np.uint16).tobytes(), narrow(second[t]) if tokens else b"")
-            for w, t, ids in zip(words, texts, found)
-        }
+        found = library.encode(texts, num_threads=1)
+        first = _narrowed(np.fromiter(chain.from_iterable(found), np.uint16), list(map(len, found)))
+        second = [b""] * len(words)
+        if tokens:
+            of = tokens.words(texts)
+            wide = list(map(of.__getitem__, texts))
+            second = _narrowed(np.frombuffer(b"".join(wide), "<u4"), [len(raw) // 4 for raw in wide])
+        return dict(zip(words, zip(first, second, map(xxhash.xxh3_64_digest, words))))
 
     return WordTable(make)
 
 
-def _joined(values) -> tuple[np.ndarray, np.ndarray]:
-    held = list(values)
-    return tuple(np.frombuffer(b"".join([v[k] for v in held]), np.uint16) for k in (0, 1))
+def _joined(values) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids by both vocabularies and hashes of a text's words."""
+    first, second, hashes = (b"".join([v[k] for v in values]) for k in range(3))
+    return np.frombuffer(first, np.uint16), np.frombuffer(second, np.uint16), np.frombuffer(hashes, ">u8").astype(np.uint64)
 
 
 def quality(docs: DataFrame, model: str, byte_model: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -149,11 +168,11 @@ def quality(docs: DataFrame, model: str, byte_model: str | None = None, keep: tu
             split = [text.split() for text in some]
             with uncollected():
                 found = table.reduced(split, _joined)
-            for text, words, (ids, second) in zip(some, split, found):
+            for text, words, (ids, second, hashes) in zip(some, split, found):
                 points, name = characters_and_script(text)
                 spaces = len(text) - len(text.translate(None, SPACES))
                 characters, n = points - spaces, len(words)
-                repeats = repeated_words(words)
+                repeats = repeated_words(words, hashes=hashes)
                 failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
                 measures = fertility(ids, characters)
                 more = fertility(second, characters)[::2] if byte_model else (None, None)

@@ -83,3 +83,15 @@ def test_pieces_of_letters_and_signs_are_parted_as_before():
     for _ in range(3):
         (found,) = encoder.encode([text.encode()])
         assert np.frombuffer(found, "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_hashed_with_their_ids(monkeypatch):
+    """A second table of words for their hashes takes a look-up each."""
+    texts = [" ".join(f"w{i % 11} é{i}" for i in range(40)).encode(), b"", b"one two"] + [b"a b c d e f g h i " * 6]
+    wanted = [quality.repeated_words(t.split()) for t in texts]
+    assert wanted[0] == 0 and wanted[3] == 54
+    monkeypatch.setattr(quality, "per_text", lambda docs, measure, schema, keep: measure)
+    monkeypatch.delattr(quality, "word_hashes")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    measured = quality.quality(None, model, public_tokenizers.path("byte_bpe_50k.json"))(texts)
+    assert list(measured[4]) == wanted and list(quality.quality(None, model)(texts)[4]) == wanted
