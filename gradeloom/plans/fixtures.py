@@ -40,15 +40,19 @@ MARKS = {
     "broad": lambda line: line["returned"] != "N",
     "status": lambda line: line["filled"] == "F",
 }
+_MARK_BITS = len(MARKS)
+_NO_LINE = -(1 << 40)  # below every int
 
 
 def _line_numbers(lines) -> Column:
     return F.array_sort(F.array_distinct(F.transform(lines, lambda x: x["line"])))
 
 
-def _labels(marked) -> Column:
-    """Letters of the marked lines of an order, ``a`` if none is marked."""
-    found = F.array_distinct(F.transform(F.filter("lettered", marked), lambda x: x["letter"]))
+def _labels(bit: int) -> Column:
+    """Letters of the lines of an order that have the mark of ``bit``, ``a`` if none has it."""
+    marked = F.filter("placed", lambda x: x.bitwiseAND(F.lit(bit)) != 0)
+    letter = lambda x: F.when(x >= 0, _letter_at(F.shiftright(x, _MARK_BITS).cast("int")))
+    found = F.array_distinct(F.transform(marked, letter))
     return F.when(F.size(found) == 0, F.array(F.lit(fixed.DEFAULT_LABEL))).otherwise(found)
 
 
@@ -56,25 +60,28 @@ def answer_sheet(t: Tables) -> DataFrame:
     """One row per order: number of options, gold letters and the letters of each run.
 
     Distinct lines are gathered in one aggregation, combined before the shuffle; whichever columns are asked for, the
-    aggregation is the same, so a plan that uses the sheet twice shuffles it once. An order's lines are sorted and lettered
-    once for all label sets. Orders may have any number of lines.
+    aggregation is the same, so a plan that uses the sheet twice shuffles it once. A line is one number: its line number (an
+    int; null is below all) before a bit for each mark. An order's lines are sorted and lettered once for all label sets; a
+    line without a number takes a place, but has no letter. Orders may have any number of lines.
     """
-    line = F.struct(
-        F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("returned"), F.col("l_linestatus").alias("filled")
-    )
-    orders = t("lineitem").groupBy(F.col("l_orderkey").alias("okey")).agg(F.array_sort(F.collect_set(line)).alias("lines"))
-    orders = orders.withColumn("numbers", F.array_distinct(F.col("lines")["line"]))
-    lettered = F.transform(
-        "lines",
-        lambda x: F.struct(
-            _letter_at((F.array_position("numbers", x["line"]) - 1).cast("int")).alias("letter"), x["returned"], x["filled"]
-        ),
-    )
-    return orders.withColumn("lettered", lettered).select(
+    values = {"returned": F.col("l_returnflag"), "filled": F.col("l_linestatus")}
+    line = F.coalesce(F.shiftleft(F.col("l_linenumber").cast("long"), _MARK_BITS), F.lit(_NO_LINE << _MARK_BITS))
+    for i, mark in enumerate(MARKS.values()):
+        line += F.when(mark(values), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    orders = t("lineitem").groupBy(F.col("l_orderkey").alias("okey")).agg(F.sort_array(F.collect_set(line)).alias("lines"))
+    orders = orders.withColumn("numbers", F.array_distinct(F.transform("lines", lambda x: F.shiftright(x, _MARK_BITS))))
+
+    def placed(x):
+        """Place among the numbers, -1 for the one that stands for null, before the bits."""
+        number = F.shiftright(x, _MARK_BITS)
+        place = F.when(number == _NO_LINE, F.lit(-1).cast("long")).otherwise(F.array_position("numbers", number) - 1)
+        return F.shiftleft(place, _MARK_BITS) + x.bitwiseAND(F.lit((1 << _MARK_BITS) - 1))
+
+    return orders.withColumn("placed", F.transform("lines", placed)).select(
         "okey",
         question_id(F.col("okey")).alias("id"),
         F.size("numbers").cast("long").alias("n_options"),
-        *[_labels(marked).alias(name) for name, marked in MARKS.items()],
+        *[_labels(1 << i).alias(name) for i, name in enumerate(MARKS)],
     )
 
 

@@ -7,8 +7,8 @@ from gradeloom.functions.text import strip
 from gradeloom.operators.order import numbered
 from gradeloom.session import materialize
 
-_AT, _FILE, _OFFSET, _FIRST, _SIZE, _BEFORE, _WHOLE = (
-    f"_order_{n}" for n in ("at", "file", "offset", "first", "size", "before", "whole")
+_AT, _SPAN, _KEY, _FILE, _OFFSET, _FIRST, _SIZE, _BEFORE, _WHOLE = (
+    f"_order_{n}" for n in ("at", "span", "key", "file", "offset", "first", "size", "before", "whole")
 )
 
 #: A name begins behind a slash: tried at every place of it, the pattern would take the square of the path's length.
@@ -89,15 +89,16 @@ def in_file_order(rows: DataFrame, by: list[str], *, position: str = "position",
 
     Splits of a file come in the order of their offset. ``rows`` should be a read of files, with ``seq`` as
     :func:`read_lines` gives it. They are stored as they are read; a place follows from the row in the split and the counts
-    of earlier splits, so nothing is sorted or shuffled. Where the rows of a split are not all there, once each and in one
+    of earlier splits, so nothing is sorted or shuffled; a row finds its split by one number, not by its path. Where the rows of a split are not all there, once each and in one
     group, all are numbered after a range exchange instead; no sort meets in one task.
     """
-    stored = materialize(rows.withColumn(_AT, F.monotonically_increasing_id()), "file-order")
     at = {_FILE: F.col(seq)["file"], _OFFSET: F.col(seq)["offset"]}
+    placed = rows.withColumns({_AT: F.monotonically_increasing_id(), _SPAN: F.xxhash64(*by, *at.values())})
+    stored = materialize(placed, "file-order")
     row = F.col(seq)["row"]
     shift = F.col(_AT) - row
-    spans = stored.groupBy(*by, *[c.alias(n) for n, c in at.items()]).agg(
-        F.min(row).alias(_FIRST),
+    spans = stored.groupBy(*by, _SPAN, *[c.alias(n) for n, c in at.items()]).agg(
+        F.min(_AT).alias(_FIRST),
         F.count(F.lit(1)).alias(_SIZE),
         # _AT is unique, so rows a fixed step before it are too, and as many as their span if none is missing
         F.coalesce(
@@ -109,15 +110,13 @@ def in_file_order(rows: DataFrame, by: list[str], *, position: str = "position",
     spans = materialize(spans, "file-order-spans")
     if not spans.where(~F.col(_WHOLE)).isEmpty():
         parts = [F.length(F.col(seq)["file"]), *[F.col(seq)[c] for c in ("file", "offset", "row")]]
-        return numbered(stored.drop(_AT), parts, by=by, number=position)
+        return numbered(stored.drop(_AT, _SPAN), parts, by=by, number=position)
     earlier = Window.partitionBy(*by).orderBy(F.length(_FILE), _FILE, _OFFSET).rowsBetween(Window.unboundedPreceding, -1)
-    names = {b: f"_order_by_{i}" for i, b in enumerate(by)}
     before = F.coalesce(F.sum(_SIZE).over(earlier), F.lit(0)) - F.col(_FIRST)
-    spans = spans.select(*[F.col(b).alias(n) for b, n in names.items()], *at, before.alias(_BEFORE))
-    same = F.lit(True)
-    for name, key in [*((n, F.col(b)) for b, n in names.items()), *at.items()]:
-        same &= key.eqNullSafe(F.col(name))
-    return stored.join(spans, same).select(*[F.col(c) for c in rows.columns], (row + F.col(_BEFORE)).alias(position))
+    spans = spans.select(F.col(_SPAN).alias(_KEY), _FIRST, _SIZE, before.alias(_BEFORE))
+    # a whole span is an unbroken run of _AT, which tells spans of the same hash apart
+    same = (F.col(_SPAN) == F.col(_KEY)) & (F.col(_AT) >= F.col(_FIRST)) & (F.col(_AT) < F.col(_FIRST) + F.col(_SIZE))
+    return stored.join(spans, same).select(*[F.col(c) for c in rows.columns], (F.col(_AT) + F.col(_BEFORE)).alias(position))
 
 
 def write_in_order(lines: DataFrame, path: str, order: list[Column | str], line: str = "value") -> None:
