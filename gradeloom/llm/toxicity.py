@@ -7,15 +7,16 @@ Several tasks learn from a bounded sample, each in an order of its own, and thei
 
 import struct
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.llm.common import WordCache, mixed, once, per_text, stored, texts
+from gradeloom.llm.common import WordCache, mixed, once, per_text, slices, stored, texts
 from gradeloom.llm.licenses import words_of
 
 BITS = 20
@@ -82,9 +83,9 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings = Settings(), epo
             z[buckets] = zs + error - (np.sqrt(ns + step) - root) / alpha * w
             seen += step
             intercept -= 0.1 * error / np.sqrt(seen)
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    kept = np.flatnonzero(w)
-    return Model(kept, w[kept], intercept)
+    kept = np.flatnonzero(np.abs(z) > l1)
+    zs, root = z[kept], np.sqrt(n[kept])
+    return Model(kept, -(zs - np.sign(zs) * l1) / ((beta + root) / alpha + l2), intercept)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -106,6 +107,13 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """Part, buckets and label of each row. Texts go as soon as their buckets are known."""
+    for batch in batches:
+        for some in slices(batch):
+            yield from zip(some["part"].to_pylist(), map(features, texts(some)), some["label"].to_pylist())
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), orders: int = ORDERS) -> Model:
     """Fit on a bounded sample, once for each of ``orders`` orders of it, and average the weights by bucket.
 
@@ -113,18 +121,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), o
     those of hashes, so reruns agree. Without a labelled row, no text is toxic.
     """
     rows = sample(docs, labels).select("doc_id", "text", "label", F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("part"))
-    rows = rows.select("part", F.xxhash64("part", "doc_id", "text").alias("order"), "text", "label")
-
-    def one(share: pd.DataFrame) -> pd.DataFrame:
-        share = share.sort_values("order", kind="stable")
-        found = [features((text or "").encode("utf-8", "replace")) for text in share["text"]]
-        model = fit(list(zip(found, share["label"].astype(int))), settings)
-        return pd.DataFrame({
-            "bucket": np.append(model.buckets, -1),
-            "weight": np.append(model.weights, model.intercept),
-        })
-
-    found = rows.groupBy("part").applyInPandas(one, "bucket long, weight double")
+    rows = rows.select("part", F.xxhash64("part", "doc_id", "text").alias("order"), "text", F.col("label").cast("int").alias("label"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "order")
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in groupby(_labelled(batches), itemgetter(0)):
+            model = fit([row[1:] for row in part], settings)
+            columns = np.append(model.buckets, -1), np.append(model.weights, model.intercept)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1])], ["bucket", "weight"])
+
+    found = rows.mapInArrow(one, "bucket long, weight double")
     found = found.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).toPandas()
     ends = found[found["bucket"] == -1]
     if ends.empty:
@@ -169,6 +175,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([v < THRESHOLD for v in scores(texts(batch))], pa.bool_()))
+            for some in slices(batch):
+                yield some.filter(pa.array([v < THRESHOLD for v in scores(texts(some))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,12 +1,15 @@
 """What the operators on words do beside their work."""
 
 import gc
+import weakref
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from gradeloom.llm import common, idfiles, packing, quality
+from gradeloom.llm import common, idfiles, packing, quality, toxicity
 
 
 def test_signs_and_numbers_are_encoded_together():
@@ -95,3 +98,41 @@ def test_words_are_hashed_with_their_ids(monkeypatch):
     model = public_tokenizers.path("piece_bpe_32k.model")
     measured = quality.quality(None, model, public_tokenizers.path("byte_bpe_50k.json"))(texts)
     assert list(measured[4]) == wanted and list(quality.quality(None, model)(texts)[4]) == wanted
+
+
+def test_tables_of_the_last_operator_go_at_once():
+    """Also those that refer to themselves, without waiting for a search for cycles."""
+    class Table:
+        pass
+
+    def build():
+        table = Table()
+        table.make = lambda: table
+        return table
+
+    with common.uncollected():
+        gone = weakref.ref(common.once("first of two", "table", build))
+        assert common.once("first of two", "table", build) is gone()
+        common.once("second of two", "table", dict)
+        assert gone() is None
+
+
+def test_texts_are_worked_on_a_part_of_a_batch_at_a_time(spark):
+    """What is made of texts is held for some rows, not for all that Spark sends at once."""
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).coalesce(1)
+    met = common.per_text(docs, lambda found: ([len(found)] * len(found), found), "n long, same string", ["doc_id"])
+    rows = met.collect()
+    assert [r["doc_id"] for r in rows] == list(range(5000)) and all(r["same"] == f"text {r['doc_id']}" for r in rows)
+    assert max(r["n"] for r in rows) <= common.AT_ONCE
+
+
+def test_a_fit_holds_no_more_texts_than_a_part(monkeypatch):
+    """Texts of a sample are read as its rows are asked for."""
+    read = []
+    monkeypatch.setattr(toxicity, "texts", lambda some: read.append(some.num_rows) or common.texts(some))
+    n = 3 * common.AT_ONCE
+    batch = pa.RecordBatch.from_pydict({"part": [1] * n, "text": [f"word{i} of many" for i in range(n)], "label": [i % 2 for i in range(n)]})
+    rows = toxicity._labelled(iter([batch]))
+    part, buckets, label = next(rows)
+    assert (part, label) == (1, 0) and (buckets == toxicity.features(b"word0 of many")).all() and read == [common.AT_ONCE]
+    assert len(list(rows)) == n - 1 and sum(read) == n
