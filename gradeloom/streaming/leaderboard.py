@@ -1,8 +1,10 @@
 """Predictions that are corrected while they arrive: the last line of each question, and scores that follow it."""
 
+import pickle
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -10,26 +12,45 @@ from gradeloom.functions import letters
 from gradeloom.sources.predictions import RUN_IN_PATH, last_wins, parse_lenient
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_LINE = "file string, row long, answer string"
+#: Questions share a state by their hash: calls for a state cost far more than a question does. Well above the number of
+#: tasks, and the same for the whole life of a checkpoint.
+GROUPS = 1024
+#: So many parts are kept before they are written as one.
+PARTS = 8
 _CHANGE = "run string, id string, file string, row long, answer string, replaced boolean, earlier string"
-_ChangeRow = Row(*[field.split()[0] for field in _CHANGE.split(", ")])
+_CHANGE_NAMES = [field.split()[0] for field in _CHANGE.split(", ")]
 
 
-class LastLine(StatefulProcessor):
-    """Keeps the last line of a question of a run, by file name and place in the file; older lines change nothing."""
+class LastLines(StatefulProcessor):
+    """Keeps the last line of each question of a group, by file name and place in the file; older lines change nothing.
+
+    The state of a group is a list of parts: a batch adds the lines that it changed, and a question's line is in the last
+    part that has it. A batch reads the groups that it has lines of, and writes only what it changed.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _LINE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.last.get()
-        best = known
-        for line in rows:
-            if best is None or (len(line["file"]), line["file"], line["row"]) > (len(best[0]), best[0], best[1]):
-                best = (line["file"], line["row"], line["answer"])
-        if best is not known:
-            self.last.update(best)
-            yield _ChangeRow(*key, *best, known is not None, known[2] if known else None)
+        self.parts = handle.getListState("parts", "lines binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known, parts = {}, 0
+        for (part,) in self.parts.get():
+            known.update(pickle.loads(part))
+            parts += 1
+        changed, names = {}, {}
+        for lines in rows:
+            for run, question, file, row, answer in zip(*[lines[c] for c in ("run", "id", "file", "row", "answer")]):
+                last = changed.get((run, question)) or known.get((run, question))
+                if last is None or (len(file), file, row) > (len(last[0]), last[0], last[1]):
+                    # one object for each name, which is pickled once
+                    changed[run, question] = (names.setdefault(file, file), row, answer)
+        if changed:
+            if parts < PARTS:
+                self.parts.appendValue((pickle.dumps(changed),))
+            else:
+                self.parts.put([(pickle.dumps(known | changed),)])
+            none = (None, None, None)
+            found = [(*k, *line, k in known, known.get(k, none)[2]) for k, line in changed.items()]
+            yield pd.DataFrame(found, columns=_CHANGE_NAMES)
 
     def close(self) -> None:
         pass
@@ -41,11 +62,9 @@ def read_line_stream(spark: SparkSession, path: str, files_per_batch: int = 100)
     files = files.option("recursiveFileLookup", True).text(path, wholetext=True)
     file = F.col("_metadata.file_path")
     in_folder, in_name = F.regexp_extract(file, r"/run=([^/]+)/", 1), F.regexp_extract(file, RUN_IN_PATH, 1)
-    lines = files.select(
-        F.url_decode(F.coalesce(F.nullif(in_folder, F.lit("")), in_name)).alias("run"),
-        file.alias("file"),
-        F.posexplode(F.split("value", "\r?\n")).alias("row", "value"),
-    )
+    run = F.url_decode(F.coalesce(F.nullif(in_folder, F.lit("")), in_name))
+    files = files.select(run.alias("run"), file.alias("file"), "value")  # before the lines part: once a file
+    lines = files.select("run", "file", F.posexplode(F.split("value", "\r?\n")).alias("row", "value"))
     return parse_lenient(lines.withColumn("row", F.col("row").cast("long"))).where("id IS NOT NULL")
 
 
@@ -55,7 +74,8 @@ def changes(lines: DataFrame) -> DataFrame:
     ``replaced`` tells whether there was one. Lines that arrive late and stand before the known one, in the order of
     file names (shorter first) and lines, are passed over. Needs the state store ``STATE_STORE``.
     """
-    return lines.groupBy("run", "id").transformWithState(LastLine(), _CHANGE, "Append", "None")
+    grouped = lines.withColumn("questions", F.pmod(F.xxhash64("run", "id"), F.lit(GROUPS)).cast("int")).groupBy("questions")
+    return grouped.transformWithStateInPandas(LastLines(), _CHANGE, "Append", "None")
 
 
 def _keeps_state(spark: SparkSession) -> None:

@@ -85,3 +85,32 @@ def test_last_lines_and_leaderboard_of_a_growing_folder(spark, tmp_path):
     last.unlink()
     Board.stream_leaderboard(spark, str(source), refs, board, str(tmp_path / "s2"), files_per_batch=1).awaitTermination()
     assert sorted(map(str, Board.leaderboard(spark, board).collect())) == before
+
+
+def test_questions_share_a_state(spark, tmp_path, monkeypatch):
+    """3,000 questions in at most 1,024 states, some merged; each change names the answer that the one before it gave."""
+    monkeypatch.setattr(Board, "PARTS", 2)
+    rng = random.Random(8)
+    source, out = tmp_path / "in" / "run=x", str(tmp_path / "out")
+    source.mkdir(parents=True)
+    keys, wanted, steps = [f"q{i}" for i in range(3000)], {}, {}
+    for number in range(5):
+        lines = [(k, rng.choice(["a", "b", "a|c", "", None])) for k in rng.sample(keys, 3000 if number == 0 else 1500)]
+        lines += [(k, "d") for k in rng.sample(keys, 20)]
+        (source / str(number)).write_text("".join(k + (";" + a if a is not None else "") + "\n" for k, a in lines))
+        for k in dict(lines):
+            steps[k] = steps.get(k, 0) + 1
+        wanted |= dict(lines)
+        query = Board.stream_last_lines(spark, str(tmp_path / "in"), out, str(tmp_path / "s"), files_per_batch=1)
+        query.awaitTermination()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert states and max(states) <= Board.GROUPS < len(keys)
+    assert {r["id"]: r["answer"] for r in Board.last_lines(spark, out).collect()} == wanted
+    found = {}
+    for r in spark.read.parquet(out).collect():
+        found.setdefault(r["id"], []).append(r)
+    assert {k: len(rows) for k, rows in found.items()} == steps
+    for rows in found.values():
+        rows.sort(key=lambda r: (len(r["file"]), r["file"], r["row"]))
+        assert [r["replaced"] for r in rows] == [False, *[True] * (len(rows) - 1)]
+        assert [r["earlier"] for r in rows] == [None, *[r["answer"] for r in rows[:-1]]]
