@@ -104,7 +104,7 @@ def test_questions_share_a_state(spark, tmp_path, monkeypatch):
         query = Board.stream_last_lines(spark, str(tmp_path / "in"), out, str(tmp_path / "s"), files_per_batch=1)
         query.awaitTermination()
         states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
-        assert states and max(states) <= Board.GROUPS < len(keys)
+        assert states and max(states) <= 1024
     assert {r["id"]: r["answer"] for r in Board.last_lines(spark, out).collect()} == wanted
     found = {}
     for r in spark.read.parquet(out).collect():
@@ -114,3 +114,19 @@ def test_questions_share_a_state(spark, tmp_path, monkeypatch):
         rows.sort(key=lambda r: (len(r["file"]), r["file"], r["row"]))
         assert [r["replaced"] for r in rows] == [False, *[True] * (len(rows) - 1)]
         assert [r["earlier"] for r in rows] == [None, *[r["answer"] for r in rows[:-1]]]
+
+
+def test_leaderboard_asks_for_the_state_of_groups(spark, tmp_path):
+    """2,000 questions share at most 1,024 states; sums are those of the last lines, with half of all answers replaced."""
+    source, board = tmp_path / "in" / "run=x", str(tmp_path / "board")
+    source.mkdir(parents=True)
+    (source / "1").write_text("".join(f"q{i};{'ab'[i % 2]}\n" for i in range(2000)))
+    (source / "2").write_text("".join(f"q{i};a\n" for i in range(1000)))
+    refs = spark.range(2000).selectExpr("concat('q', id) id", "array('a') gold")
+    query = Board.stream_leaderboard(spark, str(tmp_path / "in"), refs, board, str(tmp_path / "s"), files_per_batch=1)
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert states and max(states) <= 1024
+    assert [r.asDict() for r in Board.leaderboard(spark, board).collect()] == [
+        {"run": "x", "n": 2000, "exact_match": 0.75, "hamming_score": 0.75}
+    ]
